@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, mixing, sharding, url_filter
+from . import chat_format, decontaminate, fingerprint, mixing, pii, quality, repeats, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,36 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fingerprint.edited_prints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint.as_text(d["prints"]).alias("fingerprint"),
+        fingerprint.as_text(d["edited_prints"]).alias("edited_fingerprint"),
+        fingerprint.likeness(d["prints"], d["edited_prints"]).alias("near_edited"),
+        fingerprint.likeness(d["prints"], d["next_prints"]).alias("near_next"),
+    )
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, out = quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+    s = F.col(out)["score"]
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found, out = pii.find_pii(docs, pii.fit(docs))
+    base = F.filter(out, lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["s"], s["e"])), ",")
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(out)).alias("spans"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, hits = decontaminate.find_passages(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     h = F.col(hits)
@@ -35,6 +65,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = repeats.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["e"] - s["s"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -57,7 +98,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_kd_shards": op2_kd_shards,
+    "op3_imatch": op3_imatch,
+    "op4_quality_crf": op4_quality_crf,
+    "op5_pii_crf": op5_pii_crf,
     "op6_decontaminate": op6_decontaminate,
+    "op7_simhash_trie": op7_simhash_trie,
+    "op8_suffix_repeats": op8_suffix_repeats,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
 }
