@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "search")
+MODULES = ("timeline", "search", "people")
 
 
 def _all(name: str) -> dict:
