@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "search", "people")
+MODULES = ("timeline", "search", "people", "chunks")
 
 
 def _all(name: str) -> dict:
