@@ -156,7 +156,8 @@ def expand_parents(hits: DataFrame, parents: DataFrame, token_budget: int, max_p
     """Hits (query_id, rank, text, parent_id, chunk_kind) with ``context_text`` and ``context_source``.
 
     The first distinct parents of a query, as many as the budget carries at a useful
-    size, share it evenly; other hits, self-contained kinds and missing parents keep their own text.
+    size, share it evenly; other hits and missing parents keep their own text.  A self-contained
+    kind selects no parent, but shows one that another hit has selected.
     """
     budget = max(token_budget, 1) * chars_per_token
     limit = min(max(max_parents, 1), max(budget // least, 1))

@@ -22,9 +22,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table of Parquet files as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
+    """A table (one Parquet file, or a folder of them) as a stream."""
+    batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files_per_trigger)
+    if all(f.endswith(f"/{name}.parquet") for f in batch.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
