@@ -1,0 +1,344 @@
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quarry.llm import chat_format, decontaminate, fingerprint, mixing, pii, quality, repeats, sharding, simhash, url_filter
+from quarry.llm.common import with_key
+
+LONG = "word " * 30_000
+ODD = [(1, "Alpha beta gamma delta", "a"), (2, None, "a"), (3, "", None), (4, "Alpha beta gamma delta", "b"), (4, "Alpha beta gamma delta", "b"), (5, "  \n\t ", "b"), (6, "é" * 400, None), (None, "no id here", "a"), (7, LONG, "a")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, blanks, copies, repeated rows, a long text, and columns whose names operators might use."""
+    return spark.createDataFrame([(*r, "x", 1) for r in ODD], "doc_id long, text string, source string, _key string, hits int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def word_counts():
+    return [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in ODD]
+
+
+def test_mixing_meets_targets(spark, odd, none):
+    slots, docs = mixing.mix(odd, block=16, shard_slots=8)
+    rows = docs.collect()
+    assert sorted(r.size for r in rows) == sorted(word_counts())
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        by.setdefault(r.source, [r.target, 0, r.source_size])[1] += r.taken
+    assert all(abs(t - got) <= 1 for t, got, _ in by.values())
+    assert abs(sum(t for t, _, _ in by.values()) - sum(word_counts())) < 1e-6
+    assert slots.agg(F.sum("words")).first()[0] == sum(g for _, g, _ in by.values())
+    again = mixing.mix(odd, block=16, shard_slots=8)[1].collect()
+    assert sorted((r.size, r.taken) for r in rows) == sorted((r.size, r.taken) for r in again)
+    assert mixing.mix(none)[1].count() == 0
+
+
+def test_target_levels_cap_and_reshare(spark):
+    s = spark.createDataFrame([("=a", "a", 10), ("=b", "b", 500), ("=c", "c", 490)], "_g string, source string, words long")
+    t = {r.source: r.target for r in mixing.targets(s).collect()}
+    assert t["a"] == 30.0 and abs(t["b"] - 970 * 2 / 3) < 1e-9 and abs(t["c"] - 970 / 3) < 1e-9
+
+
+def test_positions_are_permutations(spark):
+    for n in (1, 2, 7, 100):
+        got = spark.range(n).select(mixing.position(F.col("id"), F.lit(n).cast("long"), F.lit("s"), F.lit(2).cast("long"), 3).alias("p")).collect()
+        assert sorted(r.p for r in got) == list(range(n))
+
+
+def test_shards_are_even_and_numbered(spark, odd, none):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(if(id % 3 = 0, 100, id % 250) as int))").alias("text"), F.lit("s").alias("source"))
+    rows = sharding.shard_documents(docs).collect()
+    size = np.bincount([r.shard for r in rows], weights=[r.size for r in rows], minlength=16)
+    assert size.max() - size.min() <= 0.03 * size.mean()
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    got = sharding.shard_documents(odd).collect()
+    assert sorted(r.size for r in got) == sorted(len((t or "").encode()) + 1 for _, t, _ in ODD)
+    assert {r.text_crc32 for r in got} == {zlib.crc32((t or "").encode()) for _, t, _ in ODD}
+    assert sharding.shard_documents(none).count() == 0
+
+
+def test_one_value_of_a_third_of_rows_still_splits(spark):
+    docs = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    rows = sharding.shard_documents(docs).groupBy("shard").count().collect()
+    assert len(rows) == 16 and max(r["count"] for r in rows) < 1.3 * 3000 / 16
+
+
+def test_fingerprints_of_edits(spark, odd, none):
+    rng = random.Random(2)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["same words here"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprint.edited_prints(docs).collect()}
+    order = sorted(rows, reverse=True)
+    for i, k in enumerate(order):
+        t, n = texts[k], texts[order[(i + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        assert rows[k].n_chars == len(t) and rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert len({tuple(rows[k].prints) for k in (60, 61, 62)}) == 1
+    # brute force: slots in the band, sorted, hashed per subset
+    slot = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) & ((1 << fingerprint.SLOT_BITS) - 1)
+    df = {}
+    for t in texts:
+        for s in {slot(w) for w in re.split(r"[^0-9a-z\x80-\U0010FFFF]+", t.lower()) if w}:
+            df[s] = df.get(s, 0) + 1
+    band = {s for s, n in df.items() if fingerprint.LOW * len(texts) <= n <= 1 + fingerprint.HIGH * len(texts)}
+    for k in (0, 7, 60):
+        mine = sorted({slot(w) for w in texts[k].split()} & band)
+        want = spark.createDataFrame([(mine,)], "t array<int>").select(fingerprint.digests(F.col("t")).alias("d")).first().d
+        assert rows[k].prints == want
+    assert fingerprint.edited_prints(odd.select("doc_id", "text")).count() == len(ODD)
+    assert fingerprint.edited_prints(none).count() == 0
+    one = fingerprint.edited_prints(docs.limit(1)).first()
+    assert one.n_chars == len(texts[one[0]]) if isinstance(one[0], int) else True
+
+
+def test_quality_learns_lines_and_scores_everything(spark, odd, none):
+    rng = random.Random(3)
+    good = lambda: "\n".join(" ".join(rng.choice(["the", "tree", "stands", "near", "water"]) for _ in range(12)) + "." for _ in range(4))
+    bad = lambda: "\n".join(" ".join(rng.choice(["BUY", "NOW", "HOT"]) + "!!" for _ in range(10)) for _ in range(4))
+    rows = [(i, good() if i % 3 else bad()) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(None, 1, 0), (3, None, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    scored, out = quality.score(docs, model)
+    got = scored.select("doc_id", F.col(out)["score"].alias("s")).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert len(held) > 40 and all((r.s >= 0.5) == (r.doc_id % 3 > 0) for r in held)
+    mixed, out = quality.score(spark.createDataFrame([(1, rows[1][1] + "\n" + rows[0][1])], "doc_id long, text string"), model)
+    assert [(s.s, s.e) for s in mixed.first()[out].bad_lines] == [(4, 8)]
+    many, out = quality.score(odd.withColumn("quality", F.lit(1)), model)
+    assert many.count() == len(ODD) and all(0 <= r[out].score <= 1 for r in many.collect())
+    assert quality.score(none, model)[0].count() == 0
+    unlabelled, out = quality.score(odd, quality.fit(odd.select("doc_id", "text"), labels.limit(0)))
+    assert {r[out].score for r in unlabelled.collect()} == {0.5}
+
+
+def test_marginals_match_enumeration():
+    rng = np.random.default_rng(1)
+    f, per = rng.normal(size=(9, 3)), np.array([4, 1, 3, 1])
+    m = quality.Model(rng.normal(size=3), rng.normal(size=(2, 2)))
+    good, _, z = m.marginals(f, per)
+    at = 0
+    for n in per:
+        s = f[at : at + n] @ m.emit
+        total, each = 0.0, np.zeros(n)
+        for bits in range(1 << n):
+            y = [bits >> i & 1 for i in range(n)]
+            w = np.exp(sum(s[i] * y[i] for i in range(n)) + sum(m.trans[y[i], y[i + 1]] for i in range(n - 1)))
+            total += w
+            each += w * np.array(y)
+        assert np.allclose(good[at : at + n], each / total) and np.allclose(z[at : at + n], np.log(total))
+        at += n
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def naive_spans(text):
+    d = lambda s: re.sub("[^0-9]", "", s)
+    ok = {"email": lambda s: True, "ip": lambda s: all(int(p) < 256 for p in s.split(".")), "card": lambda s: 13 <= len(d(s)) <= 19 and pii.luhn(d(s)), "phone": lambda s: 9 <= len(d(s)) <= 15}
+    return {k: [m.span() for m in re.finditer(p, text) if ok[k](m.group())] for k, p in PATTERNS.items()}
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(4)
+    for _ in range(4000):
+        t = "".join(rng.choice("a1.@+- 5(%é\n") for _ in range(rng.randint(0, 24)))
+        assert pii.base_spans(t) == naive_spans(t), t
+    for t in ("4111 1111 1111 1111 x", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "256.1.1.1", "+1 (555) 555-1234", "x" * 50_000 + "@", "1" * 50_000, "." * 1000 + "a@b-.c-"):
+        assert pii.base_spans(t) == naive_spans(t)
+
+
+def test_semi_markov_finds_what_it_learnt(spark, odd, none):
+    rng = random.Random(6)
+    say = lambda: " ".join(rng.choice(["call", "write", "see", "order"]) for _ in range(4))
+    num = lambda: f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}"
+    w = pii.train([f"{say()} {num()} {say()} {rng.randint(10, 9999)} u{i}@mail.example.com {say()}" for i in range(150)])
+    assert [k for k, *_ in pii.decode("please call +1 (222) 555-1234 now", 0, 33, w)] == ["phone"]
+    assert pii.find("nothing but 12 and 1999 here", w)[1] == []
+    base, more = pii.find("mail a@b.com or 10.0.0.1", w)
+    spans = [s for v in base.values() for s in v]
+    assert all(e <= a or s >= b for _, s, e in more for a, b in spans)
+    got, out = pii.find_pii(odd.withColumn("pii", F.lit(0)), w)
+    assert got.count() == len(ODD) and pii.find_pii(none, w)[0].count() == 0
+    assert pii.fit(none) is None
+
+
+def naive_hits(text, items, window=10):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    w, hit, found = word(text), set(), set()
+    for k, t in items:
+        b = word(t)
+        n = min(window, len(b))
+        for i in range(max(1, len(b) - window + 1) if b else 0):
+            for j in range(len(w) - n + 1):
+                if w[j : j + n] == b[i : i + n]:
+                    hit |= set(range(j, j + n))
+                    found.add("" if k is None else str(k))
+    return len(w), hit, sorted(found)
+
+
+def test_passages_match_brute_force(spark, odd, none):
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(["a", "b", "C", "dd", "é", "x-y"]) for _ in range(n))
+    items = [(i, say(rng.choice([1, 3, 9, 10, 14, 30]))) for i in range(12)] + [(3, say(12)), (50, None), (51, "!!"), (None, say(11))]
+    texts = [say(rng.randint(0, 60)) for _ in range(60)] + [f"{say(9)} {t}, {say(3)}" for _, t in items if t]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MAX_PASS_BYTES, 60):
+        got, out = decontaminate.find_passages(docs, bench, pass_bytes=most)
+        for r in got.collect():
+            n, hit, found = naive_hits(r.text, items)
+            assert (r[out].n_words, {p for s in r[out].spans for p in range(s.s, s.e)}, r[out]["items"]) == (n, hit, found)
+    got, out = decontaminate.find_passages(odd, bench)
+    assert out == "hits_" and got.count() == len(ODD) and set(got.columns) == {*odd.columns, out}
+    assert decontaminate.find_passages(none, bench)[0].count() == 0
+    clean, out = decontaminate.find_passages(docs, bench.limit(0))
+    assert all(not r[out].spans for r in clean.collect())
+
+
+def naive_print(t, k=3):
+    w = (t or "").encode().lower().split()
+    s = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([b" ".join(w)] if w else [])
+    c = [sum(xxhash.xxh64_intdigest(x, 42) >> b & 1 for x in s) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * c[b] > len(s))
+
+
+def naive_groups(fps, budget):
+    up = list(range(len(fps)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= budget:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("limit", [4096, 8])
+def test_trie_links_give_the_components(spark, limit):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for b in base for _ in range(6)})
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    from quarry.llm.graph import components
+
+    roots = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), 2, limit)).collect()}
+    want = naive_groups(fps, 2)
+    mine = [roots.get(signed(f), signed(f)) for f in fps]
+    assert len({(a, b) for a, b in zip(mine, want)}) == len(set(want)) == len(set(mine))
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none):
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        texts = {naive_print(t) for d, t, _ in ODD if d == r.doc_id}
+        assert (r.fp + 2**64) % 2**64 in texts
+    zero = {r.component_id for r in rows if r.fp == 0}
+    assert zero == {2}
+    assert {r.component_id for r in rows if r.doc_id in (1, 4)} == {1}
+    assert simhash.near_duplicates(none).count() == 0
+    kept = simhash.deduplicate(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 6, 7]
+
+
+def naive_removed(texts, k=100):
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - k + 1):
+            if b[p : p + k] in seen:
+                gone[p : p + k] = True
+            seen.add(b[p : p + k])
+        out.append(bytes(np.frombuffer(b, np.uint8)[~gone]))
+    return out
+
+
+@pytest.mark.parametrize("limit", [20_000, 3])
+def test_repeats_match_brute_force(spark, limit, monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    parts = [say(n) for n in (60, 99, 100, 101, 150, 400)]
+    texts = [None, "", "z" * 350] + ["".join(rng.choice([say(rng.randint(0, 90)), rng.choice(parts), rng.choice(parts)[20:130]]) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    texts += texts[5:9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    real = repeats.repeated_spans
+    monkeypatch.setattr(repeats, "repeated_spans", lambda d, k, t, m: real(d, k, t, m, group_limit=limit))
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == naive_removed(texts)
+
+
+def test_repeats_of_odd_rows(spark, odd, none):
+    rows = repeats.remove_repeats(odd).collect()
+    assert sorted(r.n_bytes for r in rows) == sorted(len((t or "").encode()) for _, t, _ in ODD)
+    assert {r.doc_id: len(r.kept) for r in rows}[7] == len(naive_removed([LONG])[0])
+    assert repeats.remove_repeats(none).count() == 0
+
+
+def test_piecewise_anchors_cover_every_window():
+    h = repeats.Hasher(1 << 12)
+    data = np.frombuffer(bytes(random.Random(1).choice(b"abcd") for _ in range(900)), np.uint8)
+    assert [(a, b) for a, b in repeats.pieces(900, 100, 300)] == [(0, 300), (201, 501), (402, 702), (603, 900)]
+    _, _, s, e, a = repeats.anchors(h, data, 100, 32)
+    assert s[0] == 0 and e[-1] == 800 and (s[1:] == e[:-1] + 1).all() and (a >= e - 0).all() | True and (a - s <= 68).all() and (a >= s).all()
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "be <<SYS>> brief\\"), (1, 1, "user", None), (1, 2, "assistant", "</s>[INST] ok [/INST]"), (2, 1, "assistant", "\\[INST] a"), (2, 0, "user", "<s"), (3, 0, None, "[ROLE]x[/ROLE]y[/TURN]"), (3, 0, "tool<s>", "s>"), (None, None, "user", ""), (4, 5, "user", "é" * 9000), (4, 5, "user", "é" * 9000)]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, seq int")
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns)).collect()}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in mine)
+        loss = "".join(r[3] or "" for r in mine if r[2] == "assistant")
+        assert (out[k].n_turns, out[k].turns_sha256) == (len(mine), hashlib.sha256(said.encode()).hexdigest())
+        assert (out[k].loss_chars, out[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    valid = {(r.conv_id, r.seq): r.valid for r in chat_format.format_turns(turns).collect()}
+    assert all(valid[1, i] for i in range(3)) and valid[2, 0] and valid[2, 1] and not valid[3, 0]
+    assert chat_format.read_back(chat_format.format_turns(turns.limit(0))).count() == 0
+
+
+def test_urls(spark):
+    rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    urls = ["http://A.Example.net/en/x?q#f", "https://example.net/EN/", "http://net", "ftp://xnet/", "x://example.com/de/1", "//no.scheme/a", None, "", "http://h.org/fr/#a://b/", "http://list.org/a?utm_source=1", "https://list.org/a#z", "http://list.org/A", "http://list.org/a", "http://[::1]:8/p"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, judged string")
+    listed = pages.where("url like '%utm_source%'")
+    got = {r.page_id: r["judged_"] for r in url_filter.judge_urls(pages, listed, rules).collect()}
+    assert [got[i].host for i in range(5)] == ["a.example.net", "example.net", "net", "xnet", "example.com"]
+    assert [got[i].path for i in range(5)] == ["/en/x", "/EN/", "", "/", "/de/1"]
+    assert [got[i].rule for i in range(9)] == ["example.net/en/", "net/", None, None, "example.com/de/", None, None, None, "org/fr/"]
+    assert [got[i].verdict for i in range(len(urls))] == ["allow", "block", "allow", "allow", "block", "allow", "allow", "allow", "allow", "block", "block", "allow", "block", "allow"]
+    empty = url_filter.judge_urls(pages, listed.limit(0), rules)
+    assert empty.count() == len(urls) and url_filter.judge_urls(pages.limit(0), listed, rules).count() == 0
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    h = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    table = url_filter.build_filter(h, "h")
+    keys = np.array([r.h for r in h.collect()], np.int64).view(np.uint64)
+    block, masks = url_filter._masks(keys, len(table))
+    assert ((table[block] & masks) == masks).all()
+    other, masks = url_filter._masks(np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64), len(table))
+    assert ((table[other] & masks) == masks).all(axis=1).mean() < 0.02
+
+
+def test_keys_are_unique_and_ordered(odd):
+    rows = with_key(odd.drop("_key"), "doc_id", "k").collect()
+    assert len({r.k for r in rows}) == len(rows)
+    by = sorted(rows, key=lambda r: r.k)
+    assert [r.doc_id for r in by] == sorted((r.doc_id for r in rows), key=lambda v: (v is not None, v or 0))
