@@ -90,9 +90,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, sh
     slots = slots.join(F.broadcast(src.select("_g", "source", "words", "blocks", "_epochs", "_rest", "_lack", "_short")) if src.count() <= 100_000 else src.select("_g", "source", "words", "blocks", "_epochs", "_rest", "_lack", "_short"), "_g")
     slots = slots.withColumn("epoch", F.expr("ordinal div blocks")).withColumn("pos", F.pmod("ordinal", "blocks"))
     before = F.col("pos") * block - F.when(F.col("pos") > F.col("_short"), F.col("_lack")).otherwise(F.lit(0))
-    full = F.when((F.col("pos") == F.col("_short")) & (F.col("epoch") == F.col("_epochs")), block - F.col("_lack")).otherwise(F.lit(block))
-    # words of a block that the slot takes: all, but for the cut end of the partial pass
-    slots = slots.withColumn("take", F.when(F.col("epoch") < F.col("_epochs"), F.lit(block)).otherwise(F.least(full, F.col("_rest") - before)).cast("long"))
+    # words of a block that the slot takes: all it has, but for the cut end of the partial pass
+    last = F.col("pos") == position(F.col("blocks") - 1, F.col("blocks"), F.col("_g"), F.col("epoch"), seed)
+    full = F.when(last, block - F.col("_lack")).otherwise(F.lit(block))
+    slots = slots.withColumn("take", F.when(F.col("epoch") < F.col("_epochs"), full).otherwise(F.least(full, F.col("_rest") - before)).cast("long"))
 
     placed = running_total(sized.where("size > 0"), ["_g"], ["_tie", "_n"], "size", "start", n_docs)
     placed = placed.join(src.select("_g", "blocks", "_epochs", "_part", F.col("words").alias("source_size"), "target"), "_g")
