@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
+from ..operators import typed_chunks as K
 from .inputs import table
 
 S = F.col
@@ -167,12 +168,45 @@ def piece_metadata(spark, d):
     return table(spark, d, "nation").select("n_nationkey", m["chunk_type"].alias("chunk_type"), m["clause_no"].alias("clause_no"), f["faq_id"].alias("faq_id"))
 
 
-QUERIES = {f.__name__: f for f in (fixed_window_chunks, paragraph_split, heading_lines, filled_sections, table_row_text, row_prefix, table_summaries, unique_column_names, markdown_tables, formula_pages, doc_type_vote, triage_kind, ocr_page_runs, page_override, useful_images, sheet_row_groups, chunk_geometry, markdown_blocks, section_paths, markdown_round_trip, parent_child_plan, plan_chunks, table_and_image_chunks, sentence_pack_chunks, line_windows, degraded_blocks, piece_metadata)}
+def _typed(spark, d):
+    """Five lines per document: an introduction, two clauses or questions or steps with a line each."""
+    i = S("doc_id").cast("string")
+    a, b = F.element_at(F.array(*(F.lit(x) for x in ("第一条 ", "问：", "第一步："))), (S("doc_id") % 3 + 1).cast("int")), F.element_at(F.array(*(F.lit(x) for x in ("第2条 ", "Q2: ", "步骤 2："))), (S("doc_id") % 3 + 1).cast("int"))
+    md = F.concat(F.lit("# H\nintro\n"), a, i, F.lit("\nmore\n"), b, F.lit("x\nrest\n\n| k | v |\n|---|---|\n| "), i, F.lit(" | 1 |\n"))
+    return C.sections(C.blocks(_docs(spark, d).select("doc_id", md.alias("markdown"))))
+
+
+def policy_chunks(spark, d):
+    return K.policy_chunks(_typed(spark, d).where("doc_id % 3 = 0")).select("doc_id", "chunk_type", S("number").alias("clause_no"), "text")
+
+
+def faq_chunks(spark, d):
+    return K.faq_chunks(_typed(spark, d).where("doc_id % 3 = 1")).select("doc_id", "number", "text")
+
+
+def sop_chunks(spark, d):
+    return K.sop_chunks(_typed(spark, d).where("doc_id % 3 = 2")).select("doc_id", S("number").alias("step_no"), "text")
+
+
+def table_row_groups(spark, d):
+    return K.table_groups(_typed(spark, d)).select("doc_id", "table_no", "row_start", "row_end", "text")
+
+
+def section_chunks(spark, d):
+    c = K.typed_chunks(_typed(spark, d), "generic", 30, 5)
+    return c.select("doc_id", "chunk_index", "text")
+
+
+QUERIES = {f.__name__: f for f in (fixed_window_chunks, paragraph_split, heading_lines, filled_sections, table_row_text, row_prefix, table_summaries, unique_column_names, markdown_tables, formula_pages, doc_type_vote, triage_kind, ocr_page_runs, page_override, useful_images, sheet_row_groups, chunk_geometry, markdown_blocks, section_paths, markdown_round_trip, parent_child_plan, plan_chunks, table_and_image_chunks, sentence_pack_chunks, line_windows, degraded_blocks, piece_metadata, policy_chunks, faq_chunks, sop_chunks, table_row_groups, section_chunks)}
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) t, CAST(unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS INT) seq FROM documents)"
 _HEAD = r"(length(t) <= 60 AND t != '' AND NOT regexp_matches(t, '^\d+$') AND NOT regexp_matches(t, '[。！？!?;；]$') AND (NOT regexp_matches(t, '[a-zA-Z]{4,}') OR len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w != '')) <= 12))"
 
 ORACLE_SQL = {
+    "policy_chunks": "SELECT doc_id, unnest(['policy_intro', 'policy_clause', 'policy_clause']) chunk_type, unnest(['', '第一条', '第2条']) clause_no, unnest(['intro', '第一条 ' || doc_id || chr(10) || 'more', '第2条 x' || chr(10) || 'rest']) AS text FROM documents WHERE doc_id % 3 = 0",
+    "faq_chunks": "SELECT doc_id, unnest(['1', '2']) number, unnest(['Q: ' || doc_id || chr(10) || 'A: more', 'Q: x' || chr(10) || 'A: rest']) AS text FROM documents WHERE doc_id % 3 = 1",
+    "sop_chunks": "SELECT doc_id, unnest(['一', '2']) step_no, unnest(['intro' || chr(10) || '一. ' || doc_id || chr(10) || 'more', '2. x' || chr(10) || 'rest']) AS text FROM documents WHERE doc_id % 3 = 2",
+    "table_row_groups": "SELECT doc_id, CAST(1 AS INT) table_no, CAST(1 AS BIGINT) row_start, CAST(1 AS BIGINT) row_end, '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| ' || doc_id || ' | 1 |' AS text FROM documents",
     "fixed_window_chunks": "WITH t AS (SELECT doc_id, coalesce(text, '') x, CASE WHEN length(coalesce(text, '')) <= 800 THEN 0 ELSE CAST(ceil((length(text) - 800) / 720) AS INT) END n FROM documents), w AS (SELECT doc_id, x, unnest(range(n + 1)) i FROM t) SELECT doc_id, CAST(i AS INT) i, CAST(length(substr(x, i * 720 + 1, 800)) AS INT) n, md5(substr(x, i * 720 + 1, 800)) h FROM w",
     "heading_lines": f"WITH {_LINES} SELECT doc_id, seq, {_HEAD} heading FROM l",
     "filled_sections": f"WITH {_LINES} SELECT doc_id, seq, md5(coalesce(last_value(CASE WHEN {_HEAD} THEN substr(t, 1, 200) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq), '前言')) h FROM l",

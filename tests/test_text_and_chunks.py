@@ -76,3 +76,25 @@ def test_workbook_round_trip_merged_cells_and_hidden_rows(spark, tmp_path):
     assert [(r.sheet, r.row, r.cells) for r in W.rows_of(files).orderBy("row").collect()] == [("S", 0, ["name", "n"]), ("S", 1, ["甲", "2"]), ("S", 2, ["", "2.5"])]
     spark.dataSource.register(W.XlsxRows)
     assert spark.read.format("xlsx_rows").load(str(tmp_path / "a.xlsx")).count() == 3
+
+
+def chunk_texts(spark, markdown, make, **more):
+    docs = spark.createDataFrame([("d", markdown)], "doc_id string, markdown string")
+    return [r.text for r in make(C.sections(C.blocks(docs)), **more).orderBy("at", "piece").collect()]
+
+
+def test_typed_chunks(spark):
+    from quarry.operators import typed_chunks as K
+
+    assert chunk_texts(spark, "# S\n总则\n第一条 甲\n乙\n\n1.2 丙\n## T\n丁", K.policy_chunks) == ["总则", "第一条 甲\n乙", "1.2 丙", "丁"]
+    assert chunk_texts(spark, "# S\n略\n什么？\n答：是\n真的？\n问：为何\n因为", K.faq_chunks) == ["Q: 什么？\nA: 是\n真的？", "Q: 为何\nA: 因为"]
+    assert chunk_texts(spark, "# S\n准备\n第一步：开\n等\n# T\n再备\n步骤2：关", K.sop_chunks) == ["准备\n一. 开\n等", "再备\n2. 关"]
+    assert chunk_texts(spark, "# S\naaa\n\nbbbb\n\n" + "c" * 9 + "\n\ndd", K.section_chunks, size=8) == ["# S\naaa", "bbbb", "c" * 9, "dd"]
+
+
+def test_table_groups_repeat_the_header(spark):
+    from quarry.operators import typed_chunks as K
+
+    docs = spark.createDataFrame([("d", "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n| 5 | 6 |")], "doc_id string, markdown string")
+    rows = K.table_groups(C.sections(C.blocks(docs)), size=45).orderBy("row_start").collect()
+    assert [(r.row_start, r.row_end) for r in rows] == [(1, 2), (3, 3)] and all(r.text.startswith("| a | b |\n|---|---|\n") for r in rows)
