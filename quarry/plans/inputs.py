@@ -87,7 +87,7 @@ CASE WHEN event_id % 7 != 0 THEN CAST(ts AS DATE) + CAST(event_id % 3 AS INT) EN
     "pday": "pday AS (SELECT person, work_date, bool_or(address LIKE '%总部%') hq, bool_and(address = '') blank, count(*) n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 span FROM punch GROUP BY ALL)",
     "trips": """ok AS (SELECT * FROM travel WHERE status LIKE '%通过%'),
 trips AS (SELECT seq, applicant person, s, e, least(e, coalesce(min(work_date) FILTER (hq), e)) ae, coalesce(bool_or(blank), false) unknown FROM ok LEFT JOIN pday ON person = applicant AND work_date BETWEEN s AND e WHERE e IS NOT NULL AND category = '项目出差' GROUP BY seq, applicant, s, e)""",
-    "merged": """isl AS (SELECT *, sum(CASE WHEN s <= reach + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY person ORDER BY s, ae ROWS UNBOUNDED PRECEDING) island FROM (SELECT *, max(ae) OVER (PARTITION BY person ORDER BY s, ae ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM trips)),
+    "merged": """isl AS (SELECT *, sum(CASE WHEN s <= reach + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY person ORDER BY s, ae, seq ROWS UNBOUNDED PRECEDING) island FROM (SELECT *, max(ae) OVER (PARTITION BY person ORDER BY s, ae, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM trips)),
 segs AS (SELECT person, island, min(s) ss, max(e) se, min(s) a, max(ae) b, max(ae) - min(s) + 1 AS days, floor((max(ae) - min(s) + 1) / 30) * 2.0 credit FROM isl GROUP BY person, island)""",
     "credits": """credits AS (SELECT o.seq, o.applicant person, o.work_date, h.d IS NOT NULL holiday, CASE WHEN p.n IS NULL THEN 'ot_missing_punch' WHEN hours >= 8 AND span < 4 THEN 'ot_half_day_mismatch' ELSE 'credited' END reason
 FROM overtime o LEFT JOIN holidays h ON h.d = o.work_date LEFT JOIN pday p ON p.person = o.applicant AND p.work_date = o.work_date

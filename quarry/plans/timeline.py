@@ -164,7 +164,7 @@ ORACLE_SQL = {
     "stint_stage_counts": f"WITH {_STAGE} SELECT user_id, stage, count(*) AS days FROM stage WHERE trim(stage) != '' GROUP BY ALL",
     "stint_stage_labels": f"WITH {_RUNS}, {_STAGE}, s AS (SELECT user_id, run, min(day) entry_date, count(*) AS days FROM runs GROUP BY ALL), c AS (SELECT user_id, run, stage, count(*) n FROM runs JOIN stage USING (user_id, day) GROUP BY ALL) SELECT user_id, CAST(run AS INT) AS \"index\", CAST(any_value(entry_date) AS VARCHAR) entry_date, any_value(days) AS days, string_agg(CASE WHEN n = days THEN stage ELSE stage || '(' || n || '天)' END, '、' ORDER BY stage) stage_label FROM s JOIN c USING (user_id, run) GROUP BY user_id, run",
     "stint_texts": f"WITH {_RUNS}, s AS (SELECT user_id, run, min(day) a, max(day) b, count(*) n FROM runs GROUP BY ALL) SELECT user_id, string_agg(run || ': ' || strftime(a, '%m-%d') || '~' || strftime(b, '%m-%d'), '; ' ORDER BY run) compact, string_agg('第' || run || '次 ' || a || '入→' || b || '出（' || n || '天）', '；' ORDER BY run) summary FROM s GROUP BY user_id",
-    "interval_merge_credit": ctes("travel") + ", i AS (SELECT *, sum(CASE WHEN s <= reach + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY applicant ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM (SELECT *, max(e) OVER (PARTITION BY applicant ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM travel WHERE e IS NOT NULL)) SELECT applicant, CAST(min(s) AS VARCHAR) AS start, CAST(max(e) AS VARCHAR) AS \"end\", CAST(max(e) - min(s) + 1 AS BIGINT) AS days, floor((max(e) - min(s) + 1) / 30) * 2.0 credit FROM i GROUP BY applicant, g",
+    "interval_merge_credit": ctes("travel") + ", i AS (SELECT *, sum(CASE WHEN s <= reach + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY applicant ORDER BY s, e, seq ROWS UNBOUNDED PRECEDING) g FROM (SELECT *, max(e) OVER (PARTITION BY applicant ORDER BY s, e, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM travel WHERE e IS NOT NULL)) SELECT applicant, CAST(min(s) AS VARCHAR) AS start, CAST(max(e) AS VARCHAR) AS \"end\", CAST(max(e) - min(s) + 1 AS BIGINT) AS days, floor((max(e) - min(s) + 1) / 30) * 2.0 credit FROM i GROUP BY applicant, g",
     "interval_truncate_by_punch": ctes("travel", "punch", "pday") + " SELECT t.seq, CAST(least(e, coalesce(min(work_date) FILTER (hq), e)) AS VARCHAR) actual_end, coalesce(bool_or(blank), false) unknown_address FROM travel t LEFT JOIN pday ON person = applicant AND work_date BETWEEN s AND e WHERE e IS NOT NULL GROUP BY t.seq, e",
     "first_day_in_span": ctes("travel", "punch") + " SELECT t.seq, CAST(min(work_date) FILTER (address = 'site') AS VARCHAR) first_day, count(*) n_points FROM travel t JOIN punch ON person = applicant AND work_date BETWEEN s AND e GROUP BY t.seq",
     "interval_membership": ctes("travel", "overtime") + " SELECT seq, applicant FROM overtime o WHERE EXISTS (SELECT 1 FROM travel t WHERE t.applicant = o.applicant AND work_date BETWEEN s AND e)",
