@@ -169,6 +169,17 @@ def _runs(key: np.ndarray, step: int):
         at = end
 
 
+def _union(k: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of the same key merged where they overlap or touch."""
+    by = np.lexsort((s, k))
+    k, s, e = k[by], s[by], e[by]
+    number = np.cumsum(np.r_[True, k[1:] != k[:-1]]).astype(np.int64) << 42
+    reach = np.maximum.accumulate(e + number)
+    first = np.flatnonzero(np.r_[True, s[1:] + number[1:] > reach[:-1]])
+    last = np.r_[first[1:], len(k)] - 1
+    return k[first], s[first], reach[last] - number[last]
+
+
 def _sorted_stream(batches, columns: int, most: int):
     """Blocks of rows sorted by their first column that part no equal values (of any number)."""
     held, size = [], 0
@@ -302,7 +313,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, min_bytes: int = MIN_BY
                 others = (k[o] != k[o][least]) | (where != where[least])
                 out.append((k[o][others], where[others], where[others] + depth))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["k", "s", "e"])
+                # nested repeats hold the same bytes many times: their union says as much
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _union(*(np.concatenate(c) for c in zip(*out)))], names=["k", "s", "e"])
 
     spans.append(small_groups.select("ak", "k", "at", "starts", "bytes").repartition(n, "ak").sortWithinPartitions("ak").mapInArrow(scan, "k long, s long, e long"))
     every = spans[0]
