@@ -219,16 +219,23 @@ def repeated_spans(docs: DataFrame, key: str, text: str, min_bytes: int = MIN_BY
                     ak, ctx, s, e, _ = anchors(hasher, raw[lo:hi], min_bytes, anchor)
                     out.append((ak.view(np.int64), ctx.view(np.int64), np.full(len(s), k), ((s + lo) << 8) | (e - s)))
                     size += len(s)
-                if size > 50_000:
+                if size > 200_000:
                     yield _batch(out)
                     out, size = [], 0
             if out:
                 yield _batch(out)
 
     def _batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["ak", "ctx", "k", "at"])
-
-    rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(anchor_rows, "ak long, ctx long, k long, at long")
+        """Rows with ``again``: an equal context stands earlier in this very batch, so where the row goes no longer matters."""
+        ak, ctx, k, at = (np.concatenate(c) for c in zip(*out))
+        by = np.lexsort((at, k, ctx, ak))
+        ak, ctx, k, at = ak[by], ctx[by], k[by], at[by]
+        again = np.r_[False, (ak[1:] == ak[:-1]) & (ctx[1:] == ctx[:-1])]
+        # a text that many documents share is spread by document instead of meeting in one task
+        ak = np.where(again, _mix(k.astype(np.uint64)).view(np.int64), ak)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (ak, ctx, k, at, again))], names=["ak", "ctx", "k", "at", "again"])
+
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).mapInArrow(anchor_rows, "ak long, ctx long, k long, at long, again boolean")
     rows = rows.repartition(n, "ak").sortWithinPartitions("ak", "ctx", "k", "at")
 
     def equal_contexts(batches):
@@ -236,7 +243,11 @@ def repeated_spans(docs: DataFrame, key: str, text: str, min_bytes: int = MIN_BY
         ak0 = ctx0 = None
         first, number, sent = None, 0, False
         for b in batches:
-            ak, ctx, k, at = (b.column(i).to_numpy() for i in range(4))
+            ak, ctx, k, at, again = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if again.any():
+                zero = np.zeros(int(again.sum()), np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (zero.astype(np.int32), ak[again], k[again], at[again], zero))], names=["kind", "ak", "k", "at", "nth"])
+                ak, ctx, k, at = ak[~again], ctx[~again], k[~again], at[~again]
             if not len(ak):
                 continue
             new_ak = np.r_[ak[0] != ak0 if ak0 is not None else True, ak[1:] != ak[:-1]]
