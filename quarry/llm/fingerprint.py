@@ -22,6 +22,8 @@ SCALES = ((4, 8), (6, 8), (8, 8), (10, 6))
 EMPTY = 42
 #: Rows of one range bucket of the next-document window, on average, and the ranges found from quantiles.
 BUCKET_ROWS, RANGES = 1000, 64
+#: Buckets at most, so that their first keys are a broadcast of at most 1 MB; larger tables have larger buckets.
+MAX_BUCKETS = 1 << 16
 
 
 def slots(text: Column) -> Column:
@@ -71,43 +73,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.aggregate(used, F.lit(0), lambda s, v: s + v) / F.greatest(F.size(used), F.lit(1)))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "prints") -> tuple[DataFrame, str, list[int]]:
-    """``docs`` with the array of hashes (its name is returned too, and the lexicon).
+def fingerprints(docs: DataFrame, bitmap: list[int], text: str = "text", out: str = "prints") -> tuple[DataFrame, str]:
+    """``docs`` with the array of hashes under a lexicon (the column's name is returned too).
 
     Null texts are empty; a text without lexicon terms has the hash of the empty list in
     every subset; equal texts have equal hashes; texts are read whole.
     """
-    out = free_name(docs, out)
-    bitmap = lexicon(docs.select(F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")), "t")
-    terms = free_name(docs, "_terms")
+    out, terms = free_name(docs, out), free_name(docs, "_terms")
     d = docs.withColumn(terms, hashed_terms(F.coalesce(docs[text].cast("string"), F.lit("")), bitmap))
-    return d.withColumn(out, digests(F.col(terms))).drop(terms), out, bitmap
+    return d.withColumn(out, digests(F.col(terms))).drop(terms), out
 
 
-def with_next(d: DataFrame, key: str, carried: list[str]) -> DataFrame:
+def with_next(d: DataFrame, key: str, carried: list[str], prepare=lambda rows: rows) -> DataFrame:
     """Each row with ``next_<c>`` of the row with the next smaller ``key`` (unique longs); the least row gets the greatest one's.
 
-    Rows are dealt by range of the key.  Each range also gets the first row of the range
-    below it as a last row of its own, so no window spans the whole table.
+    Rows are dealt by range of the key, in one shuffle.  Each range also gets the first row of
+    the range below it as a last row of its own, so no window spans the whole table.
+    ``prepare`` adds columns to a row before it is dealt.
     """
     keys = d.select(key)
     stats = keys.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 1000).alias("q")).first()
     if not stats.n:
-        return d.select("*", *(d[c].alias(f"next_{c}") for c in carried))
+        p = prepare(d)
+        return p.select("*", *(p[c].alias(f"next_{c}") for c in carried))
     edges = sorted({stats.lo, *stats.q, stats.hi + 1})
-    per = max(1, -(-stats.n // (BUCKET_ROWS * (len(edges) - 1))))
+    per = max(1, min(-(-stats.n // (BUCKET_ROWS * (len(edges) - 1))), MAX_BUCKETS // RANGES))
     bucket = F.lit(0).cast("long")
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         place = F.least(F.lit(per - 1), F.floor((F.col(key) - a).cast("double") / float(b - a) * per))
         bucket = F.when(F.col(key) >= a, place + i * per).otherwise(bucket)
     placed = d.withColumn("_b", bucket)
     firsts = keys.withColumn("_b", bucket).groupBy("_b").agg(F.max(key).alias("_first"))
-    # few rows per bucket range: one per bucket
     above = Window.orderBy("_b")
     firsts = firsts.withColumn("_to", F.coalesce(F.lead("_b").over(above), F.min("_b").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    small = firsts.select("_first", "_to")
+    small = F.broadcast(firsts.select("_first", "_to"))
     ghosts = placed.join(small, placed[key] == small["_first"]).drop("_b", "_first").withColumnRenamed("_to", "_b").withColumn("_ghost", F.lit(True))
-    rows = placed.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+    rows = prepare(placed.withColumn("_ghost", F.lit(False)).unionByName(ghosts))
     w = Window.partitionBy("_b").orderBy("_ghost", F.col(key).desc())
     return rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).where("not _ghost").drop("_b", "_ghost")
 
@@ -120,8 +121,9 @@ def edited_prints(docs: DataFrame) -> DataFrame:
     the first; a table of one row is its own next.
     """
     d = with_key(docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")))
-    d, prints, bitmap = fingerprints(d)
-    d = with_next(d, "_key", ["text", prints])
+    bitmap = lexicon(d, "text")
+    prints = "prints"
+    d = with_next(d, "_key", ["text", prints], lambda rows: fingerprints(rows, bitmap)[0])
     n = F.char_length("text")
     third = F.expr("char_length(text) div 3").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
