@@ -240,7 +240,10 @@ def find(text: str, w: np.ndarray | None) -> tuple[dict[str, list[tuple[int, int
 def fit(docs: DataFrame, most: int = TRAIN_DOCS, text: str = "text") -> np.ndarray | None:
     """Weights from at most ``most`` documents with a digit or an @, those with the least hash of their text."""
     t = docs[text].cast("string")
-    rows = docs.select(t.alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") < 20_000)).orderBy(F.xxhash64("t"), "t").limit(most).collect()
+    usable = docs.select(t.alias("t")).where(F.col("t").rlike("[0-9@]") & (F.length("t") < 20_000)).withColumn("h", F.xxhash64("t"))
+    # hashes first, so that no task sends the driver more than ``most`` numbers
+    edge = usable.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    rows = usable.where(F.col("h") <= edge).select("t", "h").distinct().orderBy("h", "t").collect() if edge is not None else []
     return train([r.t for r in rows]) if rows else None
 
 
