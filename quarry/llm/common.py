@@ -6,6 +6,8 @@ import gc
 import math
 import tempfile
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def byte_slices(batch, column: int, most: int = 8 << 20):
+    """An Arrow batch in slices whose ``column`` (text or binary) holds about ``most`` bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores added until no column of ``df`` has that name (names compare without case)."""
     taken = {c.lower() for c in df.columns}

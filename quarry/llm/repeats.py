@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, release, with_key
+from .common import byte_slices, cut, release, with_key
 
 MIN_BYTES = 100
 ANCHOR = 32
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Contexts of one anchor beyond which its windows are grouped by hash over the cluster instead of in one task.
 GROUP_LIMIT = 20_000
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 2 << 20
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
 
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, min_bytes: int = MIN_BY
 
     def anchor_rows(batches):
         hasher = Hasher(CHUNK_BYTES)
-        for b in batches:
+        for b in (part for whole in batches for part in byte_slices(whole, 1, 2 << 20)):
             keys = b.column(0).to_numpy()
             out, size = [], 0
             for k, t in zip(keys, b.column(1).cast(pa.large_binary())):
@@ -219,7 +219,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, min_bytes: int = MIN_BY
                     ak, ctx, s, e, _ = anchors(hasher, raw[lo:hi], min_bytes, anchor)
                     out.append((ak.view(np.int64), ctx.view(np.int64), np.full(len(s), k), ((s + lo) << 8) | (e - s)))
                     size += len(s)
-                if size > 200_000:
+                if size > 50_000:
                     yield _batch(out)
                     out, size = [], 0
             if out:
@@ -293,7 +293,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, min_bytes: int = MIN_BY
     cases = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(listed, "k")
 
     def contexts(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in byte_slices(whole, 1)):
             out = []
             for k, t, marks in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()), b.column(2)):
                 raw = t.as_py()
@@ -360,7 +360,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     with a smaller id, or in the same document; matches don't cross documents.  Null texts are empty; nulls
     and repeated ids are put in one fixed order; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     d = with_key(docs.select(docs[id_col].alias("doc_id"), F.encode(F.coalesce(docs[text].cast("string"), F.lit("")), "UTF-8").alias("text")))
     spans = repeated_spans(d, "_key", "text", min_bytes)
     # ranges of one document that overlap or touch are merged before they meet its text
@@ -368,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     both = d.join(per, "_key", "left").select("doc_id", "text", "list")
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in byte_slices(whole, 1)):
             spans_out, kept = [], []
             texts = b.column(1).cast(pa.large_binary())
             for t, marks in zip(texts, b.column(2)):
