@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontaminate, mixing, quality, sharding, simhash
+from quarry.llm import common, decontaminate, mixing, neardup, quality, sharding
 
 #: What each stage writes isn't expressible in SQL (trained model, tries, weighted medians).
 ORACLE_SQL = None
@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every near-duplicate group."""
-    return simhash.deduplicate(docs)
+    """The document with the least id of every group of five-word Jaccard similarity 0.8 or more."""
+    return neardup.deduplicate(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", keep_good),
-    ("SimHash near-dedup", keep_one_of_each),
+    ("near-dedup", keep_one_of_each),
     ("benchmark decontamination", keep_uncontaminated),
     ("mixing sources to target weights", mix_to_targets),
     ("sharding", shard),
