@@ -311,14 +311,15 @@ def export_rows(ledger: DataFrame) -> DataFrame:
 def longest_named(texts: DataFrame, names: DataFrame) -> DataFrame:
     """For each text (text_id, text) the longest of the names (name) that it contains, all of them if they tie.
 
-    Names are met through their words' n-grams of the text, not by comparing every name with every text.
+    A name is met through its first 1, 2, 4 ... or 64 characters, as many as it has, at any place of the text; then the whole name is looked for.
     """
-    lengths = [r[0] for r in names.select(F.length("name").alias("n")).distinct().orderBy("n").limit(64).collect()]
-
-    def windows(n):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-
-    grams = F.array_distinct(F.flatten(F.array(*map(windows, lengths)))) if lengths else F.array().cast("array<string>")
-    hits = texts.select("text_id", F.explode(grams).alias("name")).join(names.select("name").distinct(), "name")
+    n = names.select("name").where("name is not null").distinct()
+    n = n.withColumn("_g", F.least(F.lit(64), F.expr("cast(pow(2, floor(log2(greatest(length(name), 1)))) as int)"))).withColumn("_gram", F.expr("substring(name, 1, _g)"))
+    sizes = sorted(r[0] for r in n.select("_g").distinct().collect())
+    # a lookahead finds the runs at every character in one pass
+    runs = [F.regexp_extract_all(F.col("text"), F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)) for g in sizes]
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *runs))
+    met = texts.select("text_id", F.explode(grams).alias("_gram")).join(n, "_gram").select("text_id", "name").distinct()
+    hits = met.join(texts.select("text_id", "text"), "text_id").where(F.contains("text", "name")).select("text_id", "name")
     best = Window.partitionBy("text_id").orderBy(F.length("name").desc())
     return hits.withColumn("_r", F.rank().over(best)).where("_r = 1").select("text_id", "name")

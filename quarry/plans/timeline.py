@@ -134,13 +134,20 @@ def longest_name_match(spark, d):
     return ledger.longest_named(texts, names)
 
 
+def longest_name_match_whole(spark, d):
+    """Whole documents against whole names: nations in both cases and the benchmark's passages."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text").where("text is not null")
+    n = table(spark, d, "nation")
+    return ledger.longest_named(texts, n.select(F.col("n_name").alias("name")).union(n.select(F.lower("n_name"))).union(table(spark, d, "benchmark").select("text")))
+
+
 def open_blocking_warnings(spark, d):
     w = ledger.warnings(inputs.travel(spark, d), inputs.overtime(spark, d), inputs.leave(spark, d), inputs.punch(spark, d), inputs.HQ, inputs.holidays(spark, d)).where("code like 'ot_%'")
     done = w.where(F.crc32("person") % 2 == 0).select("code", F.concat_ws(":", "person", "date").alias("key"))
     return ledger.open_warnings(w, done).select("code", "person", "date")
 
 
-QUERIES = {f.__name__: f for f in (stints_by_user, stint_stage_labels, stint_stage_counts, stint_texts, interval_merge_credit, interval_truncate_by_punch, first_day_in_span, interval_membership, travel_segments, ot_credit_rules, punch_span, leave_bounds, ledger_full, ledger_totals, ledger_export_rows, ledger_warnings, ledger_merge_prior, ledger_prior_keys, missing_source_roles, longest_name_match, open_blocking_warnings)}
+QUERIES = {f.__name__: f for f in (stints_by_user, stint_stage_labels, stint_stage_counts, stint_texts, interval_merge_credit, interval_truncate_by_punch, first_day_in_span, interval_membership, travel_segments, ot_credit_rules, punch_span, leave_bounds, ledger_full, ledger_totals, ledger_export_rows, ledger_warnings, ledger_merge_prior, ledger_prior_keys, missing_source_roles, longest_name_match, longest_name_match_whole, open_blocking_warnings)}
 
 _RUNS = """days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
 runs AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) = 1 THEN 0 ELSE 1 END opens FROM days))"""
@@ -178,4 +185,5 @@ ORACLE_SQL = {
     "ledger_prior_keys": ctes(*_BASE) + " SELECT DISTINCT person, CAST(work_date AS VARCHAR) date FROM credits",
     "missing_source_roles": "SELECT 'missing_source_' || role code, role FROM (SELECT unnest(['travel', 'overtime', 'leave', 'punch']) role) WHERE role NOT IN (SELECT CASE event_type WHEN 'purchase' THEN 'overtime' WHEN 'signup' THEN 'leave' WHEN 'view' THEN 'punch' ELSE '' END FROM events)",
     "longest_name_match": "WITH n AS (SELECT DISTINCT lower(substr(n_name, 1, k)) AS name FROM nation, (SELECT unnest([2, 3]) k)), h AS (SELECT item_id text_id, name, rank() OVER (PARTITION BY item_id ORDER BY length(name) DESC) r FROM benchmark JOIN n ON contains(lower(text), name)) SELECT text_id, name FROM h WHERE r = 1",
+    "longest_name_match_whole": "WITH n AS (SELECT n_name AS name FROM nation UNION SELECT lower(n_name) FROM nation UNION SELECT text FROM benchmark), h AS (SELECT doc_id text_id, name, rank() OVER (PARTITION BY doc_id ORDER BY length(name) DESC) r FROM documents JOIN n ON contains(text, name)) SELECT text_id, name FROM h WHERE r = 1",
 }
