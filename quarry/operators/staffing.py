@@ -114,15 +114,20 @@ def correct_names(rows: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFr
 def match_projects(codes: DataFrame, projects: DataFrame) -> DataFrame:
     """codes (doc, code) against project codes, either being a prefix of the other: doc, status, project_id, n.
 
-    Prefixes of both sides are exploded and meet by equality.
+    Prefixes of both sides are exploded and meet by equality; equal codes of many docs are matched once.
     """
     prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i))
-    c = codes.where("code != ''")
+    c = codes.where("code != ''").select("code").distinct()
     p = projects.select(F.col("id").alias("project_id"), F.col("code").alias("pcode")).where("pcode != ''")
-    short = c.select("doc", "code").join(p.select("project_id", F.explode(prefixes("pcode")).alias("code")), "code")
-    long = c.select("doc", F.explode(prefixes("code")).alias("pcode")).join(p, "pcode")
-    hits = short.select("doc", "project_id").unionByName(long.select("doc", "project_id")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.min("project_id").alias("p"))
-    out = codes.select("doc").distinct().join(hits, "doc", "left")
+    short = c.join(p.select("project_id", F.explode(prefixes("pcode")).alias("code")), "code")
+    long = c.select("code", F.explode(prefixes("code")).alias("pcode")).join(p, "pcode")
+    pairs = short.select("code", "project_id").unionByName(long.select("code", "project_id")).distinct()
+    found = [F.count(F.lit(1)).alias("n"), F.min("project_id").alias("p")]
+    # a doc of one code has its code's hits; only docs of several codes are met with projects one by one
+    per = codes.where("code != ''").groupBy("doc").agg(F.collect_set("code").alias("c"))
+    one = per.where("size(c) = 1").select("doc", F.col("c")[0].alias("code")).join(pairs.groupBy("code").agg(*found), "code").select("doc", "n", "p")
+    several = per.where("size(c) > 1").select("doc", F.explode("c").alias("code")).join(pairs, "code").select("doc", "project_id").distinct().groupBy("doc").agg(*found)
+    out = codes.select("doc").distinct().join(one.unionByName(several), "doc", "left")
     status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("unmatched")
     return out.select("doc", status.alias("status"), F.when(F.col("n") == 1, F.col("p")).alias("project_id"), F.coalesce("n", F.lit(0)).alias("n"))
 
