@@ -1,22 +1,30 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found through a prefix-filter join."""
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash tries find the pairs, the texts decide.
+
+Sets of five-word shingles with a similarity of 0.8 have SimHashes that differ in up to
+22 of 64 bits.  Stretches of bits that such fingerprints must agree on would be of three
+bits, and every trie a large part of the corpus.  So the tries are keyed by bands of least
+hashes of the same shingles instead; inside a trie, node pairs are traversed with the
+wide budget.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import byte_slices, cut, free_name, release, text_of, with_key
 from .graph import components
 
 SHINGLE = 5
 SEED = 42
-#: Documents (about) among which frequent shingles are looked for, documents of these that make one frequent, and how many are kept.
-#: They only order the shingles: any order gives the same groups.
-SAMPLE, FREQUENT, MAX_FREQUENT = 4000, 3, 100_000
-_PAIRS = 1 << 21
-#: Cells of the histogram of a set's hashes by their first bits.
+#: Least hashes of one band, and bands: sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS (0.8: 0.998).
+ROWS, BANDS = 6, 20
+#: Bits by which SimHashes of sets of similarity 0.8 differ at most: 10 on average, and four standard deviations more.
+BUDGET = 22
+#: Cells of the histogram of a set's hashes by their first bits; counts stop at 255, which only lets more pairs through.
 CELLS = 128
 
 
@@ -37,67 +45,83 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
-def _prefix(h: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of which sets of similarity 0.8 must share one: all but four fifths, frequent ones last."""
-    n = len(h)
-    if not n:
-        return h
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-        h = h[np.argsort(np.where(hot[at] == h, rank[at], 0), kind="stable")]
-    return h[: n - (4 * n + 4) // 5 + 1]
+def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the set, SimHash of its members, hash of each band) of every set; empty sets have no bands' worth of hashes."""
+    import xxhash
+
+    node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
+    sizes = np.array([len(h) for h in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    fp, bands = np.zeros(len(sets), np.uint64), np.zeros((len(sets), BANDS), np.uint64)
+    if len(full):
+        n = sizes[full]
+        every, starts = np.concatenate(sets), np.cumsum(n) - n
+        bits = np.unpackbits(every.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        fp[full] = np.packbits(np.add.reduceat(bits, starts, axis=0, dtype=np.int32) * 2 > n[:, None], axis=1).view(">u8").ravel()
+        odd = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for b in range(BANDS):
+            got = np.full(len(full), np.uint64(b + 1))
+            for r in range(ROWS):
+                low = np.minimum.reduceat(every * odd[b, r], starts)
+                got = (got ^ low) * np.uint64(0x9E3779B97F4A7C15)
+                got ^= got >> np.uint64(32)
+            bands[full, b] = got
+    return node, fp, bands
+
+
+def possible(i: tuple, j: tuple, budget: int) -> np.ndarray:
+    """Which pairs of (fp, n, cells) can be alike: sizes and SimHashes are near, and so are the histograms.
+
+    Two histograms differ by no more than their sets do, which is a ninth of both sizes at similarity 0.8.
+    """
+    (fa, na, ca), (fb, nb, cb) = i, j
+    on = (np.bitwise_count(fa ^ fb) <= budget) & (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+    at = np.flatnonzero(on)
+    for lo in range(0, len(at), 1 << 15):
+        k = at[lo : lo + (1 << 15)]
+        on[k] = 9 * np.abs(ca[k].astype(np.int16) - cb[k]).sum(axis=1, dtype=np.int64) <= na[k].astype(np.int64) + nb[k]
+    return on
+
 
+def _cells(column) -> np.ndarray:
+    """A column of histograms (binary, each of CELLS bytes) as rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
 
-def _frequent(d: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sample of the documents (sorted) and their places by frequency, from 1."""
-    of = max(1, d.count() // SAMPLE)
-    sample = d.where(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(of)) == 0).select(text_of(d).alias("text"))
+
+def _sketches(d: DataFrame, key: str) -> DataFrame:
+    """key, node (hash of the shingle set), n (its size), fp, cells (histogram), bands of every document."""
 
     def run(batches):
         for batch in batches:
-            for b in byte_slices(batch, 0):
-                for t in b.column(0).cast(pa.large_binary()):
-                    yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], names=["s"])
+            for b in byte_slices(batch, 1, 2 << 20):
+                sets = [shingles(t.as_py()) for t in b.column(1).cast(pa.large_binary())]
+                node, fp, bands = sketch(sets)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
+                cells = [np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node.view(np.int64)), pa.array([len(h) for h in sets], pa.int32()), pa.array(fp.view(np.int64)), pa.array(cells, pa.binary()), lists], names=["key", "node", "n", "fp", "cells", "bands"])
 
-    many = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
-    rows = many.orderBy(F.desc("count"), "s").limit(MAX_FREQUENT).select("s").collect()
-    hot = np.array([r.s for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    return hot[order], (len(hot) - order).astype(np.int64)
+    return cut(d.select(F.col(key).alias("key"), text_of(d).alias("text")).mapInArrow(run, "key long, node long, n int, fp long, cells binary, bands array<long>"))
 
 
-def _nodes(d: DataFrame, key: str) -> DataFrame:
-    """node (hash of the shingle set), least (key of its first document), n, cells (histogram), prefix: one row per distinct set."""
-    hot, rank = _frequent(d, key)
+def _possible(pairs: DataFrame, about: DataFrame, budget: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that can be alike by what ``about`` says of both."""
+    side = lambda to: about.select(F.col("node").alias(to), *(F.col(c).alias(c + to) for c in ("fp", "n", "cells")))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches):
-        import xxhash
+        for t in batches:
+            side = lambda k: (t.column(k).to_numpy().view(np.uint64), t.column(k + 1).to_numpy(), _cells(t.column(k + 2)))
+            if t.num_rows:
+                yield t.select([0, 1]).filter(pa.array(possible(side(2), side(5), budget)))
 
-        for batch in batches:
-            for b in byte_slices(batch, 1):
-                sets = [shingles(t.as_py()) for t in b.column(1).cast(pa.large_binary())]
-                node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
-                parts = [_prefix(h, hot, rank) for h in sets]
-                ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-                values = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
-                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                cells = pa.array([np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=CELLS).astype(np.int32) for h in sets], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(0), pa.array([len(h) for h in sets], pa.int32()), cells, prefix], names=["node", "least", "n", "cells", "prefix"])
-
-    sets = d.select(F.col(key).alias("least"), text_of(d).alias("text")).mapInArrow(run, "node long, least long, n int, cells array<int>, prefix array<long>")
-    return cut(sets.groupBy("node").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix")))
+    return both.select("a", "b", "fpa", "na", "cellsa", "fpb", "nb", "cellsb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, d: DataFrame, key: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are alike, by the texts themselves."""
-    # what two histograms differ by is no more than what the sets do: a ninth of both sizes at similarity 0.8
-    side = lambda to: nodes.select(F.col("node").alias(to), F.col("n").alias(f"n{to}"), F.col("cells").alias(f"c{to}"))
-    off = F.expr("aggregate(zip_with(ca, cb, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
-    pairs = cut(pairs.join(side("b"), "b").join(side("a"), "a").where(off * 9 <= F.col("na") + F.col("nb")).select("a", "b"))
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     some = nodes.select("node", "least").join(ids, "node", "left_semi")
     texts = cut(d.select(F.col(key).alias("least"), text_of(d).alias("text")).join(some, "least").select("node", "text"))
-    release(d.sparkSession)
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
 
     def run(batches):
@@ -111,74 +135,62 @@ def _verified(pairs: DataFrame, nodes: DataFrame, d: DataFrame, key: str) -> Dat
                 keep.append(alike(own, shingles(y[i].as_py())))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
-
-
-def _unlinked(rest: DataFrame) -> DataFrame:
-    """All pairs (a, b) of fitting sizes and different labels that share a shingle."""
-    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs(s, node, n, label):
-        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        found, size = [], 0
-        for i, j in zip(starts, np.r_[starts[1:], len(s)]):
-            for k in range(i, j - 1):
-                # sizes ascend: those that fit come first
-                to = k + 1 + int(np.searchsorted(4 * n[k + 1 : j], 5 * n[k], "right"))
-                other = node[k + 1 : to][label[k + 1 : to] != label[k]]
-                found.append(np.stack([np.minimum(other, node[k]), np.maximum(other, node[k])], axis=1))
-                size += len(other)
-                if size > _PAIRS:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    yield found.pop()
-                    size = 0
-        if found:
-            yield np.unique(np.concatenate(found), axis=0)
+    found = cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    release(d.sparkSession)
+    return found
+
+
+def _apart(rows: DataFrame, budget: int) -> DataFrame:
+    """All pairs (a, b) of one trie that can be alike and whose labels differ; rows: trie, fp, n, cells, node, label."""
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            held = [np.r_[h, batch.column(i).to_numpy().astype(np.int64)] for i, h in enumerate(held)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last shingle may go on
-            if last > 50_000:
-                for p in pairs(*(h[:last] for h in held)):
+        for t in simhash.by_trie(batches):
+            trie, fp, n, _, node, label = (t.column(i).to_numpy() if i != 3 else None for i in range(6))
+            fp, cells = fp.view(np.uint64), _cells(t.column(3))
+            for i, j in simhash.trie_pairs(trie, fp, budget):
+                other = label[i] != label[j]
+                i, j = i[other], j[other]
+                on = possible((fp[i], n[i], cells[i]), (fp[j], n[j], cells[j]), budget)
+                if on.any():
+                    p = np.unique(np.sort(np.stack([node[i[on]], node[j[on]]], axis=1), axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-                held = [h[last:] for h in held]
-        if len(held[0]):
-            for p in pairs(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-    return rest.select("s", "node", "n", "label").repartition(parts, "s").sortWithinPartitions("s", "n").mapInArrow(run, "a long, b long").distinct()
+    return simhash.tries(rows, budget, simhash.TRIE_LIMIT).select("trie", "fp", "n", "cells", "node", "label").mapInArrow(run, "a long, b long").distinct()
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """``docs`` with one document of each group kept: the one with the least id.
 
-    Groups are the connected components of all pairs whose sets of five-word shingles
-    have a Jaccard similarity of 0.8 or more (up to 64-bit hashes).  Such sets share a shingle of their
-    prefixes, so no pair is missed.  Members of a shingle's list are compared with one of
-    them first; only what stays apart after that is compared in pairs, so a large group of
-    near copies costs about its size.  Null and blank texts are one group.
+    Groups are the connected components of the pairs whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more, of those that meet in a trie: all but a few in a
+    thousand.  No pair is taken that is less alike.  Documents of equal sets are one node.
+    Nodes of a band are first compared with that of them which shares most bands with others;
+    only those that stay apart from others of their band then meet in the band's trie, and
+    only pairs that SimHash, sizes and histograms let through are written, so a large
+    group of near copies costs about its size.  Null and blank texts are one group; repeated and null ids are told
+    apart by a key of their own; an empty table gives an empty one.
     """
     key = free_name(docs, "_key")
     d = with_key(docs, id_col, key)
     named = d.select(d[key], d[text].alias("text"))
-    nodes = _nodes(named, key)
-    beside = Window.partitionBy("s").orderBy("n")
-    lists = nodes.select(F.explode("prefix").alias("s"), "node", "n")
-    near = (F.lag("n").over(beside) * 5 >= F.col("n") * 4) | (F.lead("n").over(beside) * 4 <= F.col("n") * 5)
-    shared = cut(lists.withColumn("_near", near).where("_near").drop("_near"))
+    prints = _sketches(named, key)
+    nodes = cut(prints.groupBy("node").agg(F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "cells", "bands"))))
+    rows = nodes.where("n > 0").select(F.explode("bands").alias("trie"), "node")
+    shared = cut(rows.join(rows.groupBy("trie").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "trie"))
     release(docs.sparkSession)
-    first = shared.groupBy("s").agg(F.min(F.struct("node", "n")).alias("p"))
-    stars = shared.join(first, "s").where("node != p.node and 5 * least(n, p.n) >= 4 * greatest(n, p.n)")
-    stars = cut(stars.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
+    weight = shared.groupBy("node").agg(F.sum("c").alias("w"))
+    heads = shared.join(weight, "node").groupBy("trie").agg(F.max(F.struct("w", "node"))["node"].alias("h"))
+    stars = shared.join(heads, "trie").where("node != h").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
+    about = nodes.select("node", "fp", "n", "cells")
+    stars = cut(_possible(stars, about, budget))
     edges = _verified(stars, nodes, named, key)
-    release(docs.sparkSession)
     roots = components(edges)
-    labelled = shared.join(roots, "node", "left").select("s", "node", "n", F.coalesce("root", "node").alias("label"))
-    apart = labelled.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("s")
-    pairs = cut(_unlinked(labelled.join(apart, "s")).join(stars, ["a", "b"], "left_anti"))
-    release(docs.sparkSession)
+    labelled = shared.join(roots, "node", "left").select("trie", "node", F.coalesce("root", "node").alias("label"))
+    split = labelled.groupBy("trie").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("trie")
+    apart = cut(labelled.join(split, "trie").join(about, "node").select("trie", "fp", "n", "cells", "node", "label"))
+    pairs = cut(_apart(apart, budget).join(stars, ["a", "b"], "left_anti"))
     roots = components(edges.unionByName(_verified(pairs, nodes, named, key)))
-    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("least").alias("_keep")).select("_keep")
-    return d.join(kept, d[key] == kept["_keep"], "left_semi").select(*(d[c] for c in docs.columns))
+    groups = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("g"))
+    keep = groups.groupBy("g").agg(F.min("least").alias("_keep"))
+    drop = prints.select("key", "node").join(groups.join(keep, "g").select("node", "_keep"), "node").where("key != _keep").select(F.col("key").alias("_drop"))
+    return d.join(drop, d[key] == drop["_drop"], "left_anti").select(*(d[c] for c in docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ SHINGLE = 3
 SEED = 42
 #: Largest number of fingerprints that one trie holds before it is split into pairs of subtries.
 TRIE_LIMIT = 4096
-#: Bits by which an over-full trie is split.
-SPLIT_BITS = 6
+#: Pairs of subtries in which a fingerprint of an over-full trie meets others, at most: bounds the bits that it is split by.
+MASKS = 512
 CHUNK_BYTES = 2 << 20
 _PAIRS = 1 << 20
 
@@ -49,16 +50,15 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between distinct fingerprints of one key that differ in at most ``budget`` bits, as (fingerprint, least linked one).
+def _close(keys: np.ndarray, fps: np.ndarray, budget: int):
+    """Pairs (i, j) of places of distinct fingerprints of one key that differ in at most ``budget`` bits, as arrays.
 
     ``keys`` are sorted and ``fps`` sorted inside each key, so every node of a key's binary
     trie is a range.  Pairs of nodes are traversed together from the roots: each step goes
     one bit down, adds 1 to a pair's differing bits where its sides part, and drops
-    the pair beyond the budget.  Only a forest is returned, not the pairs.
+    the pair beyond the budget.
     """
     n = len(fps)
-    label = np.arange(n)
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.zeros(0, np.int64)
     ends = np.r_[at[1:], n]
     many = ends - at > 1
@@ -75,7 +75,7 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarr
         if single.any():
             i, j = al[single], bl[single]
             near = (i != j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
-            _union(label, i[near], j[near])
+            yield i[near], j[near]
             al, ah, bl, bh, diff = (x[~single] for x in (al, ah, bl, bh, diff))
         if d == 64 or not len(al):
             continue
@@ -87,11 +87,40 @@ def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarr
         al, ah, bl, bh, diff = (np.concatenate(x) for x in zip(*kids))
         on = (ah > al) & (bh > bl) & (diff <= budget)
         stack.append((d + 1, *(x[on] for x in (al, ah, bl, bh, diff))))
+
+
+def trie_links(keys: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links of each key's trie, as (fingerprint, least linked one): no pairs are kept."""
+    label = np.arange(len(fps))
+    for i, j in _close(keys, fps, budget):
+        _union(label, i, j)
     label = _flatten(label)
-    moved = np.flatnonzero(label != np.arange(n))
+    moved = np.flatnonzero(label != np.arange(len(fps)))
     return fps[moved], fps[label[moved]]
 
 
+def trie_pairs(keys: np.ndarray, fps: np.ndarray, budget: int):
+    """All pairs (i, j) of rows of one key within the budget, rows of equal fingerprints too, a bounded number at a time."""
+    if not len(fps):
+        return
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])])
+    size = np.diff(np.r_[first, len(fps)])
+    for i, j in _products(first, size, *[np.flatnonzero(size > 1)] * 2):
+        yield i[i < j], j[i < j]
+    for i, j in _close(keys[first], fps[first], budget):
+        yield from _products(first, size, i, j)
+
+
+def _products(first: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """Every member of group i[k] with every member of group j[k], for all k, in slices."""
+    total = np.r_[0, np.cumsum(size[i] * size[j])]
+    for at in range(0, int(total[-1]), _PAIRS):
+        flat = np.arange(at, min(at + _PAIRS, int(total[-1])))
+        k = np.searchsorted(total, flat, "right") - 1
+        left, right = np.divmod(flat - total[k], size[j[k]])
+        yield first[i[k]] + left, first[j[k]] + right
+
+
 def _flatten(label: np.ndarray) -> np.ndarray:
     while True:
         up = label[label]
@@ -116,53 +145,79 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(64 - b, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _masks(budget: int) -> list[int]:
+    """Ways in which the split bits of two fingerprints within the budget can differ, by number of split bits; at most MASKS."""
+    most = 1
+    while most < 40 and sum(comb(most + 1, i) for i in range(min(budget, most + 1) + 1)) <= MASKS:
+        most += 1
+    return [sum(1 << b for b in bits) for k in range(min(budget, most) + 1) for bits in combinations(range(most), k)]
+
+
+def tries(rows: DataFrame, budget: int, limit: int = TRIE_LIMIT) -> DataFrame:
+    """``rows`` (trie, fp and more), with tries over ``limit`` split by their most balanced bits, in order of trie and fp.
+
+    A trie is split by as many bits as make its subtries about ``limit`` long.  Subtries meet in
+    pairs whose split bits are within the budget, so no pair of rows is lost (one may meet
+    twice) and none is compared in one place only because a group is large.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    counts = rows.groupBy("trie").agg(F.count(F.lit(1)).alias("n"), *sums)
+    skew = F.array(*(F.struct(F.abs(F.col(f"b{b}") * 2 - F.col("n")).alias("off"), F.lit(b).alias("bit")) for b in range(64)))
+    masks = _masks(budget)
+    wanted = F.ceil(F.log2(F.col("n") / limit)).cast("int")
+    large = counts.where(F.col("n") > limit).select("trie", F.least(wanted, F.lit(max(masks).bit_length())).alias("k"), F.sort_array(skew).alias("skew"))
+    large = cut(large.select("trie", F.transform(F.slice("skew", F.lit(1), F.col("k")), lambda s: s["bit"]).alias("bits")))
+    if not large.isEmpty():
+        own = [c for c in rows.columns if c != "trie"]
+        both = rows.join(large, "trie", "left")
+        code = F.expr("aggregate(bits, 0L, (acc, b) -> acc * 2 + (shiftrightunsigned(fp, b) & 1L))")
+        fits = F.filter(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: m < F.shiftleft(F.lit(1).cast("long"), F.size("bits")))
+        split = both.where("bits is not null").withColumn("code", code).withColumn("mask", F.explode(fits))
+        other = F.col("code").bitwiseXOR(F.col("mask"))
+        split = split.select(F.xxhash64("trie", F.least("code", other), F.greatest("code", other)).alias("trie"), *own)
+        rows = both.where("bits is null").select("trie", *own).unionByName(split)
+    return rows.repartition(n, "trie").sortWithinPartitions("trie", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
+
+
+def by_trie(batches, most: int = 50_000):
+    """Arrow tables of about ``most`` rows from sorted batches; no trie (first column) is in two of them."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        if size > most and keys[0] != last:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+        elif size > most and keys[-1] != last:  # where the trie that was begun ends
+            end = int(np.flatnonzero(keys != last)[0])
+            yield pa.Table.from_batches([*held, batch.slice(0, end)]).combine_chunks()
+            held, size, batch = [], 0, batch.slice(end)
+        held.append(batch)
+        size, last = size + batch.num_rows, keys[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def links(distinct: DataFrame, budget: int, limit: int = TRIE_LIMIT) -> DataFrame:
     """Edges (a, b) of a forest with the components of all pairs of fingerprints (long column fp) within the budget.
 
-    Each fingerprint goes to one trie per stretch of bits.  A trie over ``limit``
-    is split by its most balanced bits: its subtries meet in pairs whose split bits are
-    within the budget, so no pair is lost and none is compared in one place only
-    because a group of copies is large.
+    Each fingerprint goes to one trie per stretch of bits.
     """
-    spark = distinct.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = None
     for i, (shift, width) in enumerate(_blocks(budget)):
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-        part = distinct.select("fp", F.xxhash64(F.lit(i), value).alias("trie"))
+        part = distinct.select(F.xxhash64(F.lit(i), value).alias("trie"), "fp")
         rows = part if rows is None else rows.unionByName(part)
-    counts = rows.groupBy("trie").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)))
-    large = counts.where(F.col("n") > limit)
-    skew = F.array(*(F.struct(F.abs(F.col(f"b{b}") * 2 - F.col("n")).alias("off"), F.lit(b).alias("bit")) for b in range(64)))
-    large = cut(large.select("trie", F.transform(F.slice(F.sort_array(skew), 1, SPLIT_BITS), lambda s: s["bit"]).alias("bits")))
-    if not large.isEmpty():
-        masks = [sum(1 << b for b in bits) for k in range(min(budget, SPLIT_BITS) + 1) for bits in combinations(range(SPLIT_BITS), k)]
-        both = rows.join(large, "trie", "left")
-        code = F.expr("aggregate(bits, 0L, (acc, b) -> acc * 2 + (shiftrightunsigned(fp, b) & 1L))")
-        split = both.where("bits is not null").withColumn("code", code).withColumn("mask", F.explode(F.array(*(F.lit(m) for m in masks))))
-        other = F.col("code").bitwiseXOR(F.col("mask").cast("long"))
-        split = split.select("fp", F.xxhash64("trie", F.least("code", other), F.greatest("code", other)).alias("trie"))
-        rows = both.where("bits is null").select("fp", "trie").unionByName(split)
-    rows = rows.repartition(n, "trie").sortWithinPartitions("trie", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
 
     def join(batches):
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def linked(k, f):
-            a, b = trie_links(k, f, budget)
+        for t in by_trie(batches):
+            a, b = trie_links(t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64), budget)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        for batch in batches:
-            keys = np.r_[keys, batch.column("trie").to_numpy()]
-            fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last trie may go on
-            if last > 50_000:
-                yield from linked(keys[:last], fps[:last])
-                keys, fps = keys[last:], fps[last:]
-        yield from linked(keys, fps)
-
-    return rows.select("trie", "fp").mapInArrow(join, "a long, b long")
+    return tries(rows, budget, limit).select("trie", "fp").mapInArrow(join, "a long, b long")
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", out: str = "fp") -> DataFrame:

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from quarry.llm import neardup
+from quarry.llm import simhash
 
 
 def runs(text):
@@ -60,4 +60,4 @@ def test_near_dedup_stage_finds_all_edited_copies(spark, monkeypatch):
         assert len(want) < len(rows) - 30
         got = corpus_pipeline.keep_one_of_each(spark, docs, "")
         assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
-        monkeypatch.setattr(neardup, "FREQUENT", 10**9)  # the order of the shingles changes nothing
+        monkeypatch.setattr(simhash, "TRIE_LIMIT", 8)
