@@ -70,67 +70,99 @@ _TOKEN = re.compile(r"\\.|" + "|".join(re.escape(c) for c in CONTROLS), re.S)
 _CLOSE = {"<<SYS>>": ("<</SYS>>", "system"), "[INST]": ("[/INST]", "user"), "<s>": ("</s>", "assistant")}
 
 
+class Parser:
+    """Turns of a conversation from its formatted text, fed in pieces of any size: only unescaped control strings count."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """The (role, text) of the turns that end in what was fed so far and not returned yet."""
+        text, turns, done = self.rest + piece, [], 0
+        at, until, role = 0, None, ""
+        for m in _TOKEN.finditer(text):
+            c = m.group()
+            if c[0] == "\\":
+                continue
+            if until is None:
+                if m.start() != done:
+                    raise ValueError("text between turns")
+                if c == OTHER[0]:
+                    until, at, role = OTHER[1], m.end(), None
+                else:
+                    until, role = _CLOSE[c]
+                    at = m.end() + (c == "[INST]")
+            elif c == until:
+                said = unescape(text[at : m.start() - (c == "[/INST]")])
+                if role is None:
+                    role, until, at = said, OTHER[2], m.end()
+                else:
+                    turns.append((role, said))
+                    until, done = None, m.end()
+        self.rest = text[done:]
+        return turns
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) turns of a formatted conversation: only unescaped control strings count."""
-    turns, at, until, role = [], 0, None, ""
-    for m in _TOKEN.finditer(formatted):
-        c = m.group()
-        if c[0] == "\\":
-            continue
-        if until is None:
-            if c == OTHER[0]:
-                until, at, role = OTHER[1], m.end(), None
-            else:
-                until, role = _CLOSE[c]
-                at = m.end() + (c == "[INST]")
-        elif c == until:
-            piece = unescape(formatted[at : m.start() - (c == "[/INST]")])
-            if role is None:
-                role, until, at = piece, OTHER[2], m.end()
-            else:
-                turns.append((role, piece))
-                until = None
+    """The (role, text) turns of a formatted conversation."""
+    parser = Parser()
+    turns = parser.feed(formatted)
+    if parser.rest:
+        raise ValueError("a turn has no end")
     return turns
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what :func:`format_turns` wrote, parsed from its text alone.
+    """Digests of what :func:`format_turns` wrote, parsed from its text, and what its role machine found.
 
-    Rows are sorted by conversation and read as a stream that keeps one turn and the
-    running hashes, so a conversation of any length takes bounded memory.
+    Rows are sorted by conversation, and the joined text of a conversation goes through
+    one parser, which keeps a turn at a time: a conversation of any length takes bounded memory.
+    ``valid`` says whether the machine accepted every turn, ``first_bad`` which it rejected first (else null).
+    A null id is a conversation of its own; ids keep their type; an empty table gives an empty one.
     """
-    d = formatted.select("conv_id", "seq", "segments")
+    d = formatted.select("conv_id", "seq", "segments", "valid")
     n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartition(n, "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "seq")
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "first_bad"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
 
     def digest(batches):
-        done, now, state = [], None, None
+        now, state, done = None, None, []
 
         def end():
             if state:
-                done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                if state[5].rest:
+                    raise ValueError("a turn has no end")
+                done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[6] is None, state[6]))
 
+        def rows(kind):
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), [kind, *kinds])], names=names)
+            done.clear()
+            return out
+
+        kind = pa.int64()
         for b in batches:
-            for conv, segments in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            kind = b.schema.field(0).type
+            for conv, seq, segments, valid in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if state is None or conv != now:
                     end()
-                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                whole = "".join(s["text"] for s in segments)
-                state[4] += len(whole)
-                for role, text in parse(whole):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, Parser(), None]
+                if not valid and state[6] is None:
+                    state[6] = seq
                 for s in segments:
+                    state[4] += len(s["text"])
                     if s["loss"]:
                         plain = unescape(s["text"])
                         state[2] += len(plain)
                         state[3].update(plain.encode())
+                for role, text in state[5].feed("".join(s["text"] for s in segments)):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
             if done:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in done], schema=schema)
-                done = []
+                yield rows(kind)
         end()
         if done:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in done], schema=schema)
+            yield rows(kind)
 
-    return d.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    conv = formatted.schema["conv_id"].dataType.simpleString()
+    return d.mapInArrow(digest, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_bad long")

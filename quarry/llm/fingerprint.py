@@ -2,18 +2,20 @@
 
 Terms whose document frequency lies in a band form the lexicon; a document's distinct
 lexicon terms, sorted, are hashed once for each of several random subsets of the
-lexicon.  Terms are told apart by a slot of their XXH64, so the lexicon is a bitmap of fixed size.
+lexicon.  Terms are told apart by their 64-bit XXH64.  At least a share LOW of all documents
+holds each lexicon term, so there are at most (distinct terms of an average document) / LOW
+of them, however many documents there are: the lexicon is sent to every task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, with_key
 
-SLOT_BITS = 20
 #: A term is kept if at least LOW and at most HIGH of all documents (and one more) hold it.
 LOW, HIGH = 0.0005, 0.02
 #: (bits, subsets): a subset keeps each term with probability 2^-bits; fine ones serve long texts, coarse ones short texts.
@@ -26,30 +28,40 @@ BUCKET_ROWS, RANGES = 1000, 64
 MAX_BUCKETS = 1 << 16
 
 
-def slots(text: Column) -> Column:
-    """Slots of the lower-cased terms between ASCII characters that are no letters or digits; repeats included."""
+def term_keys(text: Column) -> Column:
+    """Hashes of the lower-cased terms between ASCII characters that are no letters or digits; repeats included."""
     words = F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int"))
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def lexicon(docs: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> list[int]:
-    """The band as a bitmap of 64-bit words: document frequencies are counted over all documents, per slot."""
-    n = docs.count()
-    df = docs.select(F.explode(F.array_distinct(slots(docs[text]))).alias("slot")).groupBy("slot").count()
-    kept = df.where((F.col("count") >= low * n) & (F.col("count") <= 1 + high * n))
-    words = kept.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).collect()
-    bitmap = [0] * (1 << SLOT_BITS - 6)
-    for r in words:
-        bitmap[r.w] = r.bits
-    return bitmap
+@dataclass
+class Lexicon:
+    """Term hashes in buckets by their low bits: where each bucket starts among ``keys``, and the keys by bucket."""
+
+    starts: list[int]
+    keys: list[int]
 
+    def holds(self, key: Column) -> Column:
+        # one literal each: Catalyst folds the casts
+        starts, keys = (F.split(F.lit(",".join(map(str, v))), ",").cast(f"array<{kind}>") for v, kind in ((self.starts, "int"), (self.keys or [0], "bigint")))
+        bucket = key.bitwiseAND(F.lit(len(self.starts) - 2)).cast("int")
+        at, end = F.get(starts, bucket), F.get(starts, bucket + 1)
+        return (end > at) & F.array_contains(F.slice(keys, at + 1, end - at), key)
 
-def hashed_terms(text: Column, bitmap: list[int]) -> Column:
-    """Sorted distinct lexicon slots."""
-    # one literal: Catalyst folds the cast
-    lex = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
-    kept = F.filter(slots(text), lambda s: F.getbit(F.get(lex, F.shiftright(s, 6)), s.bitwiseAND(F.lit(63))) == 1)
-    return F.sort_array(F.array_distinct(kept))
+
+def lexicon(docs: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> Lexicon:
+    """The band: document frequencies are counted over all documents, per term."""
+    n = docs.count()
+    df = docs.select(F.explode(F.array_distinct(term_keys(docs[text]))).alias("k")).groupBy("k").count()
+    kept = [r.k for r in df.where((F.col("count") >= low * n) & (F.col("count") <= 1 + high * n)).select("k").collect()]
+    buckets = 1 << max(4, len(kept).bit_length())
+    kept.sort(key=lambda k: (k & (buckets - 1), k))
+    starts, at = [], 0
+    for b in range(buckets + 1):
+        while at < len(kept) and (kept[at] & (buckets - 1)) < b:
+            at += 1
+        starts.append(at)
+    return Lexicon(starts, kept)
 
 
 def digests(terms: Column) -> Column:
@@ -63,25 +75,39 @@ def digests(terms: Column) -> Column:
     return F.array(*out)
 
 
+def printed(d: DataFrame, text: Column, lex: Lexicon, out: str) -> DataFrame:
+    """``d`` with ``out``: the hashes of the text's sorted distinct lexicon terms.
+
+    A text that has a term in no subset is hashed by all its distinct terms instead, in
+    every place, so only texts of the same terms are like it.
+    """
+    every, plain = free_name(d, "_every"), free_name(d, "_plain")
+    d = d.withColumn(every, F.sort_array(F.array_distinct(term_keys(text))))
+    d = d.withColumn(plain, digests(F.filter(every, lex.holds)))
+    alone = F.xxhash64(every).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    has = F.exists(plain, lambda h: h != EMPTY)
+    return d.withColumn(out, F.when(has, F.col(plain)).otherwise(F.transform(plain, lambda h: alone))).drop(every, plain)
+
+
 def as_text(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets in which either document has a term; 1 if neither has any."""
+    """Share of equal hashes among the subsets in which either document has a term; 1 if both have all equal."""
     used = F.filter(F.zip_with(a, b, lambda x, y: F.when((x != EMPTY) | (y != EMPTY), F.when(x == y, 1).otherwise(0))), lambda v: v.isNotNull())
     return F.when(a == b, F.lit(1.0)).otherwise(F.aggregate(used, F.lit(0), lambda s, v: s + v) / F.greatest(F.size(used), F.lit(1)))
 
 
-def fingerprints(docs: DataFrame, bitmap: list[int], text: str = "text", out: str = "prints") -> tuple[DataFrame, str]:
+def fingerprints(docs: DataFrame, lex: Lexicon, text: str = "text", out: str = "prints") -> tuple[DataFrame, str]:
     """``docs`` with the array of hashes under a lexicon (the column's name is returned too).
 
-    Null texts are empty; a text without lexicon terms has the hash of the empty list in
-    every subset; equal texts have equal hashes; texts are read whole.
+    Null texts are empty; a text without lexicon terms is hashed by all its terms, so only
+    texts of the same terms are like it; equal texts have equal hashes; texts are read whole;
+    repeated rows and ids have equal hashes; an empty table stays empty; clashing names get an underscore.
     """
-    out, terms = free_name(docs, out), free_name(docs, "_terms")
-    d = docs.withColumn(terms, hashed_terms(F.coalesce(docs[text].cast("string"), F.lit("")), bitmap))
-    return d.withColumn(out, digests(F.col(terms))).drop(terms), out
+    out = free_name(docs, out)
+    return printed(docs, F.coalesce(docs[text].cast("string"), F.lit("")), lex, out), out
 
 
 def with_next(d: DataFrame, key: str, carried: list[str], prepare=lambda rows: rows) -> DataFrame:
@@ -121,12 +147,12 @@ def edited_prints(docs: DataFrame) -> DataFrame:
     the first; a table of one row is its own next.
     """
     d = with_key(docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")))
-    bitmap = lexicon(d, "text")
+    lex = lexicon(d, "text")
     prints = "prints"
-    d = with_next(d, "_key", ["text", prints], lambda rows: fingerprints(rows, bitmap)[0])
+    d = with_next(d, "_key", ["text", prints], lambda rows: fingerprints(rows, lex)[0])
     n = F.char_length("text")
     third = F.expr("char_length(text) div 3").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
     d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), prints, F.col(f"next_{prints}").alias("next_prints"))
-    d = d.withColumn("_terms", hashed_terms(F.col("_edited"), bitmap))
-    return d.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), F.col(prints).alias("prints"), digests(F.col("_terms")).alias("edited_prints"), "next_prints")
+    d = printed(d, F.col("_edited"), lex, "edited_prints")
+    return d.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "prints", "edited_prints", "next_prints")

@@ -15,6 +15,8 @@ from .common import free_name
 TRAIN_DOCS = 4000
 TRAIN_LINES = 2000
 CHUNK_BYTES = 2 << 20
+#: How likely a line shares its document's label, as training takes it.
+AGREE = 0.9
 
 _OTHER, _LOWER, _UPPER, _DIGIT, _SPACE, _BANG, _PIPE, _MARK, _STOP, _HIGH = range(10)
 _CLASS = np.zeros(256, np.int64)
@@ -94,9 +96,12 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
 
-    def marginals(self, f: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good) of every line by forward-backward; pair expectations and log partition per text."""
-        score = f @ self.emit
+    def marginals(self, f: np.ndarray, per_text: np.ndarray, more: np.ndarray | float = 0.0, weight: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of every line by forward-backward; weighted pair expectations; log partition of each line's text.
+
+        ``more`` is added to the lines' scores for good; ``weight`` is how much each line's pair with the one before it counts.
+        """
+        score = f @ self.emit + more
         order = np.argsort(-per_text, kind="stable")  # longest first: the texts still running are a prefix
         first = (np.cumsum(per_text) - per_text)[order]
         sizes = per_text[order]
@@ -125,9 +130,10 @@ class Model:
         inner[np.cumsum(per_text) - per_text] = False
         i = np.flatnonzero(inner)
         pair = np.zeros((2, 2))
+        w = np.broadcast_to(weight, len(score))[i]
         for a in (0, 1):
             for b in (0, 1):
-                pair[a, b] = np.exp(alpha[i - 1, a] + self.trans[a, b] + (score[i] if b else 0) + beta[i, b] - z[i]).sum()
+                pair[a, b] = np.exp(alpha[i - 1, a] + self.trans[a, b] + (score[i] if b else 0) + beta[i, b] - z[i]) @ w
         return good, pair, z
 
     def documents(self, good: np.ndarray, per_text: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -139,28 +145,35 @@ class Model:
         return 1 / (1 + np.exp(-(self.scale * np.log(p / (1 - p)) + self.shift)))
 
 
+def likelihood(theta: np.ndarray, f: np.ndarray, per_text: np.ndarray, label: np.ndarray, w_doc: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the documents' labels, weighted and regularised, and its gradient.
+
+    The lines' labels are not known: a line has its document's label with probability
+    AGREE.  ``theta`` is the emission weights, then the scores of staying bad and staying good.
+    """
+    model = Model(theta[:-2], np.array([[theta[-2], 0.0], [0.0, theta[-1]]]))
+    known = np.repeat(np.where(label == 1, 1.0, -1.0), per_text) * np.log(AGREE / (1 - AGREE))
+    w, first = np.repeat(w_doc, per_text), np.cumsum(per_text) - per_text
+    free, free_pair, z = model.marginals(f, per_text, 0.0, w)
+    held, held_pair, zk = model.marginals(f, per_text, known, w)
+    value = w_doc @ (zk[first] - z[first]) - w @ np.maximum(known, 0) - l2 / 2 * theta @ theta
+    pairs = held_pair - free_pair
+    return value, np.r_[f.T @ (w * (held - free)), pairs[0, 0], pairs[1, 1]] - l2 * theta
+
+
 def train(x: np.ndarray, per_text: np.ndarray, size: np.ndarray, label: np.ndarray, rounds: int = 120, l2: float = 1e-3) -> Model:
-    """Maximum likelihood with every line labelled as its document (classes weighted alike), then a logistic calibration."""
+    """Emissions and transitions by maximum likelihood (see :func:`likelihood`), then a logistic calibration of documents."""
     f = chain_features(x, per_text)
-    y = np.repeat(label, per_text).astype(float)
     share = max(1e-9, label.mean()), max(1e-9, 1 - label.mean())
-    # a document counts once however many lines it has; both classes weigh the same
+    # a document counts less than its lines together; both classes weigh the same
     w_doc = np.where(label == 1, 0.5 / share[0], 0.5 / share[1]) / len(label) / np.sqrt(per_text)
-    w = np.repeat(w_doc, per_text)
     theta = np.zeros(f.shape[1] + 2)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    inner = np.ones(len(y), bool)
-    inner[np.cumsum(per_text) - per_text] = False
     for k in range(1, rounds + 1):
-        stay, base = theta[-2], theta[-1]
-        model = Model(theta[:-2], np.array([[stay, 0.0], [0.0, stay + base]]))
-        good, pair, _ = model.marginals(f, per_text)
-        pairs = max(1, inner.sum())
-        grad = np.r_[f.T @ (w * (y - good)), (pairs - pair[0, 0] - pair[1, 1]) / pairs * 0.1, 0.0] - l2 * theta
+        grad = likelihood(theta, f, per_text, label, w_doc, l2)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
-        theta[-2] = min(theta[-2], 2.0)  # labels may change inside a document
-    model = Model(theta[:-2], np.array([[theta[-2], 0.0], [0.0, theta[-2]]]))
+    model = Model(theta[:-2], np.array([[theta[-2], 0.0], [0.0, theta[-1]]]))
     p = model.documents(model.marginals(f, per_text)[0], per_text, size)
     logit = np.log(p / (1 - p))
     a, b = 1.0, 0.0
@@ -194,13 +207,14 @@ def _chunks(texts):
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, text: str = "text") -> Model:
     """Train on at most ``most`` labelled documents: those with the least hash of their id among the ones not held out.
 
-    Documents with more than TRAIN_LINES lines are left out of training (not of scoring).
+    Documents with more than TRAIN_LINES lines are left out of training (not of scoring); of a repeated id the least text counts.
     Without any usable label the model gives every document one half.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_y"), F.min("quality").alias("_y0")).where("_y = _y0")
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id", "_y")
-    rows = docs.select(docs["doc_id"].alias("_doc"), docs[text].cast("string").alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_text")
+    rows = docs.select(docs["doc_id"].alias("_doc"), docs[text].cast("string").alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
+    rows = rows.groupBy("_doc", "_y").agg(F.min("_text").alias("_text"))  # of repeated ids one text each, so the bound holds
 
     def run(batches):
         for b in batches:

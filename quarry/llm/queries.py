@@ -47,8 +47,9 @@ def op5_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(out, lambda s: s["base"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["s"], s["e"])), ",")
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    counts = [count(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(out)).alias("spans"))
+    counts = [count(k) for k in pii.BASE]
+    every = F.size(out).cast("long")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(out)).alias("spans"), every.alias("n_spans"), (every > 0).alias("personal"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +129,13 @@ FROM w LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op9_chat_format": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
 UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-f AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|<<SYS>>|<</SYS>>|</?s>|\[/?INST\]|\[/?ROLE\]|\[/TURN\]')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END n FROM c)
+f AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|<<SYS>>|<</SYS>>|</?s>|\[/?INST\]|\[/?ROLE\]|\[/TURN\]')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END n,
+row_number() OVER o - 1 AS seq, lag(role, 1, 'start') OVER o AS before, lead(role) OVER o AS after FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+g AS (SELECT *, CASE WHEN before || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AND (after IS NOT NULL OR role = 'assistant') THEN 0 ELSE 1 END bad FROM f)
 SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) turns_sha256,
 CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) loss_sha256,
-CAST(sum(n) AS BIGINT) formatted_chars FROM f GROUP BY conv_id""",
+CAST(sum(n) AS BIGINT) formatted_chars, coalesce(sum(bad), 0) = 0 AS valid, CAST(min(CASE WHEN bad = 1 THEN seq END) AS BIGINT) first_bad FROM g GROUP BY conv_id""",
     "op10_url_filter": f"""
 WITH p AS (SELECT page_id, url, {_HOST} host, {_PATH} path FROM (SELECT page_id, coalesce(url, '') url FROM pages)),
 k AS (SELECT DISTINCT host || path c FROM p WHERE contains(url, 'utm_source=') AND contains(url, '://'))
