@@ -4,7 +4,9 @@ Terms whose document frequency lies in a band form the lexicon; a document's dis
 lexicon terms, sorted, are hashed once for each of several random subsets of the
 lexicon.  Terms are told apart by their 64-bit XXH64.  At least a share LOW of all documents
 holds each lexicon term, so there are at most (distinct terms of an average document) / LOW
-of them, however many documents there are: the lexicon is sent to every task.
+of them, however many documents there are.  They are sent to every task as a bitmap of two
+bits a term, which about one term in seventy of the others passes too; the same ones
+everywhere, so equal texts stay equal.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .common import free_name, with_key
 LOW, HIGH = 0.0005, 0.02
 #: (bits, subsets): a subset keeps each term with probability 2^-bits; fine ones serve long texts, coarse ones short texts.
 SCALES = ((4, 8), (6, 8), (8, 8), (10, 6))
+#: Bits of the lexicon's bitmap for each of its terms, at least.
+BITS_PER_TERM = 16
 #: What the hash of an empty list of longs is.
 EMPTY = 42
 #: Rows of one range bucket of the next-document window, on average, and the ranges found from quantiles.
@@ -36,32 +40,28 @@ def term_keys(text: Column) -> Column:
 
 @dataclass
 class Lexicon:
-    """Term hashes in buckets by their low bits: where each bucket starts among ``keys``, and the keys by bucket."""
+    """Term hashes as a bitmap of 64-bit words in which each sets two bits: at least BITS_PER_TERM bits a term."""
 
-    starts: list[int]
-    keys: list[int]
+    words: list[int]
 
     def holds(self, key: Column) -> Column:
-        # one literal each: Catalyst folds the casts
-        starts, keys = (F.split(F.lit(",".join(map(str, v))), ",").cast(f"array<{kind}>") for v, kind in ((self.starts, "int"), (self.keys or [0], "bigint")))
-        bucket = key.bitwiseAND(F.lit(len(self.starts) - 2)).cast("int")
-        at, end = F.get(starts, bucket), F.get(starts, bucket + 1)
-        return (end > at) & F.array_contains(F.slice(keys, at + 1, end - at), key)
+        bitmap = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # a literal: Catalyst folds the cast
+        last = F.lit(len(self.words) * 64 - 1)
+        is_set = lambda at: F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return is_set(key.bitwiseAND(last)) & is_set(F.shiftrightunsigned(key, 32).bitwiseAND(last))
 
 
 def lexicon(docs: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> Lexicon:
-    """The band: document frequencies are counted over all documents, per term."""
+    """The band: document frequencies are counted over all documents, per term; the terms kept are a bounded number (see above)."""
     n = docs.count()
     df = docs.select(F.explode(F.array_distinct(term_keys(docs[text]))).alias("k")).groupBy("k").count()
     kept = [r.k for r in df.where((F.col("count") >= low * n) & (F.col("count") <= 1 + high * n)).select("k").collect()]
-    buckets = 1 << max(4, len(kept).bit_length())
-    kept.sort(key=lambda k: (k & (buckets - 1), k))
-    starts, at = [], 0
-    for b in range(buckets + 1):
-        while at < len(kept) and (kept[at] & (buckets - 1)) < b:
-            at += 1
-        starts.append(at)
-    return Lexicon(starts, kept)
+    bits = 1 << max(10, (BITS_PER_TERM * len(kept) - 1).bit_length())
+    words = [0] * (bits // 64)
+    for k in kept:
+        for at in (k & (bits - 1), (k >> 32) & 0xFFFFFFFF & (bits - 1)):
+            words[at >> 6] |= 1 << (at & 63)
+    return Lexicon([w - (1 << 64) if w >> 63 else w for w in words])
 
 
 def digests(terms: Column) -> Column:
@@ -81,12 +81,12 @@ def printed(d: DataFrame, text: Column, lex: Lexicon, out: str) -> DataFrame:
     A text that has a term in no subset is hashed by all its distinct terms instead, in
     every place, so only texts of the same terms are like it.
     """
-    every, plain = free_name(d, "_every"), free_name(d, "_plain")
+    every, kept, plain = free_name(d, "_every"), free_name(d, "_kept"), free_name(d, "_plain")
     d = d.withColumn(every, F.sort_array(F.array_distinct(term_keys(text))))
-    d = d.withColumn(plain, digests(F.filter(every, lex.holds)))
+    d = d.withColumn(kept, F.filter(every, lex.holds)).withColumn(plain, digests(F.col(kept)))  # each list once
     alone = F.xxhash64(every).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     has = F.exists(plain, lambda h: h != EMPTY)
-    return d.withColumn(out, F.when(has, F.col(plain)).otherwise(F.transform(plain, lambda h: alone))).drop(every, plain)
+    return d.withColumn(out, F.when(has, F.col(plain)).otherwise(F.transform(plain, lambda h: alone))).drop(every, kept, plain)
 
 
 def as_text(prints: Column) -> Column:

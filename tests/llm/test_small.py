@@ -98,6 +98,10 @@ def test_fingerprints_of_edits(spark, odd, none):
         for w in terms(t):
             df[w] = df.get(w, 0) + 1
     band = {w for w, n in df.items() if fingerprint.LOW * len(texts) <= n <= 1 + fingerprint.HIGH * len(texts)}
+    every = sorted({w for t in texts for w in terms(t)})
+    held = spark.createDataFrame([(w, key(w)) for w in every], "w string, k long").where(fingerprint.lexicon(docs, "text").holds(F.col("k"))).collect()
+    assert band <= {r.w for r in held} and len(held) <= len(band) + 0.05 * len(every)
+    band = {r.w for r in held}
     wanted = {}
     for i, k in enumerate(order):
         t, n = texts[k], texts[order[(i + 1) % len(order)]]
