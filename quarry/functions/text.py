@@ -209,8 +209,16 @@ def looks_like_formula(text: Column) -> Column:
 
 
 def format_number(x: Column) -> Column:
-    """Without trailing zeros."""
-    return F.when(x == F.floor(x), F.format_string("%d", x.cast("long"))).otherwise(F.regexp_replace(F.format_string("%.6f", x), r"0+$", ""))
+    """Six significant digits without trailing zeros; with an exponent below 1e-4 and from 1e6 on."""
+    parts = F.split(F.format_string("%.5e", x), "e")
+    head, power = parts[0], parts[1].cast("int")
+    bare = lambda c: F.when(c.contains("."), F.regexp_replace(c, r"\.?0+$", "")).otherwise(c)
+    plain = F.format_string("%.0f", x)
+    for digits in range(1, 10):
+        plain = F.when(5 - power == digits, F.format_string(f"%.{digits}f", x)).otherwise(plain)
+    sign = F.when(power < 0, "-").otherwise("+")
+    far = F.concat(bare(head), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").when((power < -4) | (power >= 6), far).otherwise(bare(plain))
 
 
 def geometry(doc_type: Column, chunk_size: Column, enabled: Column) -> Column:

@@ -41,10 +41,12 @@ def descendants(units: DataFrame, roots: DataFrame) -> DataFrame:
     already found is not followed again.
     """
     found = units.join(roots.select(F.col("code")).distinct(), "code").select(F.col("code").alias("root"), F.col("id"))
+    checkpointed = units.sparkSession.sparkContext.getCheckpointDir() is not None
     at = found
     while not at.isEmpty():
         below = at.join(units.select(F.col("id").alias("_c"), "parent_id"), at["id"] == F.col("parent_id")).select("root", F.col("_c").alias("id")).distinct()
-        at = below.join(found, ["root", "id"], "left_anti").checkpoint() if units.sparkSession.sparkContext.getCheckpointDir() else below.join(found, ["root", "id"], "left_anti")
+        at = below.join(found, ["root", "id"], "left_anti")
+        at = at.checkpoint() if checkpointed else at
         found = found.unionByName(at)
     return found
 

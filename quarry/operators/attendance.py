@@ -176,9 +176,8 @@ def month_grid(roster: DataFrame, work_dates: DataFrame, travel: DataFrame, leav
     seen = loc.where(~F.coalesce("status", F.lit("")).contains("缺卡")).groupBy("person", F.col("work_date").alias("day"), "side").agg(F.max(F.coalesce("status", F.lit("")).contains("迟到")).alias("late"), F.max(F.col("kind") == "base_company").alias("at_base"), F.max(F.coalesce("leave_apply", F.lit("")).contains("出差")).alias("says_travel"), F.max(F.col("abroad").isNotNull()).alias("punched_abroad"))
     people = roster.select(normalize_name(F.col("name")).alias("person"), marked_departed(F.col("name")).alias("departed"), "center").dropDuplicates(["person"])
     until = loc.groupBy("person").agg(F.max("work_date").alias("_until"))
-    days = work_dates.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select("day").distinct()
-    # the calendar of one month has at most 31 rows
-    grid = people.join(until, "person", "left").join(F.broadcast(days), F.lit(True)).withColumn("side", F.explode(F.array(F.lit("in"), F.lit("out"))))
+    month = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    grid = people.join(until, "person", "left").withColumn("day", F.explode(month)).join(work_dates.select("day").distinct(), "day", "left_semi").withColumn("side", F.explode(F.array(F.lit("in"), F.lit("out"))))
     grid = grid.where(~F.col("departed") | (F.col("day") <= F.coalesce("_until", F.lit("1970-01-01").cast("date"))))
     g = grid.join(away, ["person", "day"], "left").join(sides, ["person", "day", "side"], "left").join(seen.withColumn("punched", F.lit(True)), ["person", "day", "side"], "left")
     if resolutions is not None:
@@ -214,7 +213,7 @@ def conflicts(grid: DataFrame) -> DataFrame:
 
 def off_day_punches(punch: DataFrame, work_dates: DataFrame, resolutions: DataFrame | None = None) -> DataFrame:
     """person, day of punches on other than work days, with the plan: present, full_day or ignore as resolved, else blocking."""
-    d = punch.select(normalize_name(F.col("person_name")).alias("person"), F.col("work_date").alias("day")).distinct().join(F.broadcast(work_dates.select("day").distinct()), "day", "left_anti")
+    d = punch.select(normalize_name(F.col("person_name")).alias("person"), F.col("work_date").alias("day")).distinct().join(work_dates.select("day").distinct(), "day", "left_anti")
     if resolutions is None:
         return d.withColumn("plan", F.lit("blocking"))
     return d.join(resolutions.select("person", "day", "action"), ["person", "day"], "left").select("person", "day", F.coalesce("action", F.lit("blocking")).alias("plan"))

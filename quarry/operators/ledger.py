@@ -90,7 +90,7 @@ def overtime_credits(overtime: DataFrame, segments: DataFrame, punch: DataFrame,
     """
     days = segments.select("person_name", F.explode(days_between(F.col("actual_start"), F.col("actual_end"))).alias("work_date")).distinct().withColumn("in_travel", F.lit(True))
     o = overtime.select(F.col("applicant").alias("person_name"), "work_date", "hours", "seq")
-    o = o.join(days, ["person_name", "work_date"], "left").join(F.broadcast(holidays.select(F.col("day").alias("work_date"), F.lit(True).alias("holiday")).distinct()), "work_date", "left")
+    o = o.join(days, ["person_name", "work_date"], "left").join(holidays.select(F.col("day").alias("work_date"), F.lit(True).alias("holiday")).distinct(), "work_date", "left")
     o = o.join(punch_spans(punch), ["person_name", "work_date"], "left")
     if resolutions is not None:
         o = o.join(resolutions.select(F.col("person").alias("person_name"), F.col("date").alias("work_date"), "action"), ["person_name", "work_date"], "left")
@@ -171,7 +171,7 @@ def _counted(df: DataFrame, key: Column, include: DataFrame | None) -> DataFrame
     d = df.withColumn("_key", F.concat(F.lit("approval_not_passed:"), key))
     if include is None:
         return d.where(approved(F.col("status"))).drop("_key")
-    return d.join(F.broadcast(include.select(F.col("key").alias("_key"), F.lit(True).alias("_in")).distinct()), "_key", "left").where(approved(F.col("status")) | F.coalesce("_in", F.lit(False))).drop("_key", "_in")
+    return d.join(include.select(F.col("key").alias("_key"), F.lit(True).alias("_in")).distinct(), "_key", "left").where(approved(F.col("status")) | F.coalesce("_in", F.lit(False))).drop("_key", "_in")
 
 
 def totals(ledger: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def merge_ledgers(prior: DataFrame, current: DataFrame, holidays: DataFrame, gap
     first = lambda *k: Window.partitionBy("person_name", *k).orderBy("_p")  # noqa: E731  the prior period is 0
     ot = both.select("person_name", "_p", F.explode("ot_days").alias("d")).select("person_name", "_p", F.col("d.date").alias("date"), F.col("d.credit").alias("credit")).where("date != ''")
     ot = ot.withColumn("_r", F.row_number().over(first("date"))).where("_r = 1").withColumn("day", F.to_date(F.substring("date", 1, 10)))
-    ot = ot.join(F.broadcast(holidays.select("day", F.lit(True).alias("holiday")).distinct()), "day", "left").na.fill(False, ["holiday"])
+    ot = ot.join(holidays.select("day", F.lit(True).alias("holiday")).distinct(), "day", "left").na.fill(False, ["holiday"])
     in_travel = inside_any(ot.where("not holiday"), segs, ["person_name"], "day", "actual_start", "actual_end", "left_anti")
     ot = ot.where("holiday").unionByName(in_travel.select(*ot.columns))
     lv = both.select("person_name", "_p", F.explode("leave_segments").alias("l")).select("person_name", "_p", "l.start", "l.end", "l.used_days")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,23 +39,73 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
 
 
-def bm25_top(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_top(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank of the best ``n`` chunks (id, text) per query (query_id, text), exactly.
 
-    Only postings of query terms leave the scan: the distinct query terms are a stated set and
-    small next to the corpus, and Spark broadcasts them where their measured size allows.
+    The corpus is read twice: once for its size and the document frequencies of the query
+    terms, once to score.  Queries are a stated set, sent to the tasks a block at a time; a
+    task scores its chunks against all of a block by one product of sparse rows and passes on its best
+    ``n`` per query, so what is shuffled grows with tasks and queries, not with the corpus.
     """
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = q.select("term").distinct()
+    spark = chunks.sparkSession
+    kind = chunks.schema["id"].dataType.simpleString()
     t = chunks.select("id", tokens(F.col("text")).alias("_t"))
-    size = t.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("_t")).alias("avgdl"))
-    postings = t.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    N, avgdl = (size.select(c).scalar() for c in ("N", "avgdl"))
-    idf = df.select("term", F.log(1 + (N - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    scored = postings.join(idf, "term").withColumn("_w", weight).join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("_w") * F.col("qtf")).alias("score"))
-    return _top(scored, n)
+    size = t.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("_t")).alias("avgdl")).first()
+    out, held = None, []
+
+    def search(part):
+        q = {i: Counter(ts) for i, ts in part}
+        terms = {w: k for k, w in enumerate(sorted({w for c in q.values() for w in c}))}
+        ids = sorted(q)
+        mine = t.select("id", F.size("_t").alias("dl"), F.filter("_t", lambda w: w.isin(list(terms))).alias("_w"))
+        df = {r.w: r.n for r in mine.select(F.explode(F.array_distinct("_w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+        idf = np.array([np.log(1 + (size.N - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in terms])
+        weight = np.zeros((len(terms), len(ids)))
+        for j, i in enumerate(ids):
+            for w, c in q[i].items():
+                weight[terms[w], j] = c * idf[terms[w]]
+        sent = spark.sparkContext.broadcast((terms, weight, ids))
+
+        def run(batches):
+            terms, weight, ids = sent.value
+            best = kind_of = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                kind_of = batch.schema.field(0).type
+                keys, dl = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy().astype(float)
+                words = batch.column(2)
+                row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+                code = np.array([terms[w] for w in words.flatten().to_pylist()], np.int64)
+                cell, tf = np.unique(row * max(1, len(terms)) + code, return_counts=True)
+                row, code = np.divmod(cell, max(1, len(terms)))
+                v = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / size.avgdl))
+                best = best or [None] * len(ids)
+                for lo in range(0, batch.num_rows, 256):
+                    at = slice(*np.searchsorted(row, [lo, lo + 256]))
+                    m = np.zeros((min(256, batch.num_rows - lo), len(terms)))
+                    m[row[at] - lo, code[at]] = v[at]
+                    s = m @ weight
+                    for j in np.flatnonzero(s.any(axis=0)):
+                        on = np.flatnonzero(s[:, j] > 0)
+                        best[j] = _best(s[on, j], keys[lo + on], *(best[j] or (None, None)), n)
+            for i, found in zip(ids, best or ()):
+                if found is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found[0]), pa.int64()), pa.array(list(found[0]), kind_of), pa.array(found[1])], names=["query_id", "id", "score"])
+
+        return mine.where(F.size("_w") > 0).mapInArrow(run, f"query_id long, id {kind}, score double")
+
+    for r in queries.select("query_id", tokens(F.col("text")).alias("t")).orderBy("query_id").toLocalIterator():
+        held.append((r.query_id, r.t))
+        if len(held) == block:
+            part = search(held)
+            out, held = part if out is None else out.unionByName(part), []
+    if held:
+        part = search(held)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"query_id long, id {kind}, score double")
+    return _top(out, n)
 
 
 def _top(scored: DataFrame, n: int) -> DataFrame:
@@ -62,6 +114,18 @@ def _top(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def _best(score: np.ndarray, keys: np.ndarray, old_keys, old_score, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and scores of the best ``n`` of a batch and what was best before; ties at the edge stay for the ranking that follows, the least keys of them."""
+    if old_keys is not None:
+        score, keys = np.r_[old_score, score], np.r_[old_keys, keys]
+    if len(keys) <= n:
+        return keys, score
+    edge = np.partition(score, len(keys) - n)[len(keys) - n]
+    sure, tied = np.flatnonzero(score > edge + 1e-9), np.flatnonzero(np.abs(score - edge) <= 1e-9)
+    top = np.r_[sure, sorted(tied, key=lambda i: keys[i])[: n]]
+    return keys[top], score[top]
+
+
 def dense_top(chunks: DataFrame, queries: DataFrame, n: int, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank of the ``n`` chunks (id, vector) nearest by cosine to each query (query_id, vector), exactly.
 
@@ -79,20 +143,17 @@ def dense_top(chunks: DataFrame, queries: DataFrame, n: int, block: int = QUERY_
 
         def run(batches):
             ids, q = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = []
+            best = kind_of = None  # running best of this task: row numbers per query, their scores
             for b in batches:
                 if not b.num_rows:
                     continue
-                col = b.column(1)
-                x = col.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                kind_of = b.schema.field(0).type
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s, keys = x @ q.T, np.array(b.column(0).to_pylist(), object)
-                k = min(n, len(keys))
-                for j in range(len(ids)):
-                    # ties at the edge are kept for the exact ranking that follows
-                    edge = np.partition(s[:, j], len(keys) - k)[len(keys) - k]
-                    top = np.flatnonzero(s[:, j] >= edge - 1e-9)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[j]] * len(top), pa.int64()), pa.array(list(keys[top]), b.schema.field(0).type), pa.array(s[top, j])], names=["query_id", "id", "score"])
+                s, keys = q @ x.T, np.array(b.column(0).to_pylist(), object)
+                best = [_best(sc, keys, *(old or (None, None)), n) for sc, old in zip(s, best or [None] * len(ids))]
+            for i, (k, v) in zip(ids, best or ()):
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(k), pa.int64()), pa.array(list(k), kind_of), pa.array(v)], names=["query_id", "id", "score"])
 
         return chunks.select("id", F.col("vector").cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, f"query_id long, id {kind}, score double")
 

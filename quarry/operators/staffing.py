@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .intervals import stints
 
 FORMAL, CONTRACT = "internal_formal", "internal_contract"
-CONTRACT_DEPARTMENT = "机电服务处"
 #: Characters that a roster name may add before or after a token.
 MAX_NAME_DELTA = 2
 MAX_CANDIDATES = 5
@@ -67,11 +66,11 @@ def kind_order(kind: Column) -> Column:
     return F.when(kind == FORMAL, 0).when(kind == CONTRACT, 1).otherwise(2)
 
 
-def department_title(facts: DataFrame, roster: DataFrame) -> DataFrame:
-    """Roster's department and title by name; else the contract kind's default department."""
+def department_title(facts: DataFrame, roster: DataFrame, contract_department: str = "") -> DataFrame:
+    """Roster's department and title by name; else ``contract_department`` for the contract kind."""
     r = keep_first(roster.withColumn("_o", F.struct(F.col("left"), F.col("seq"))), ["name"], "_o").select(F.col("name").alias("_n"), F.coalesce("department", F.lit("")).alias("_d"), F.coalesce("title", F.lit("")).alias("_t"))
     j = facts.join(r, F.trim("person_name") == F.col("_n"), "left")
-    fall = F.when(F.col("person_kind") == CONTRACT, CONTRACT_DEPARTMENT).otherwise("")
+    fall = F.when(F.col("person_kind") == CONTRACT, contract_department).otherwise("")
     return j.withColumn("department", F.coalesce("_d", fall)).withColumn("title", F.coalesce("_t", F.lit(""))).drop("_n", "_d", "_t")
 
 
@@ -179,9 +178,9 @@ def batch_status(batches: DataFrame, open_codes: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("project_id").isNotNull() & (F.coalesce("_open", F.lit(0)) == 0), "parsed").otherwise("needs_review")).drop("_open")
 
 
-def export_person_days(facts: DataFrame, roster: DataFrame) -> DataFrame:
+def export_person_days(facts: DataFrame, roster: DataFrame, contract_department: str = "") -> DataFrame:
     """Active facts with running number, department and title, by date, name and kind; numbered per date and added up over dates."""
-    f = department_title(facts.where("status = 'active'"), roster)
+    f = department_title(facts.where("status = 'active'"), roster, contract_department)
     per = f.groupBy("work_date").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.sum("_n").over(Window.orderBy("work_date")) - F.col("_n")).select("work_date", "_off")
     w = Window.partitionBy("work_date").orderBy("person_name", kind_order(F.col("person_kind")), "seq")
     return f.withColumn("_i", F.row_number().over(w)).join(per, "work_date").withColumn("number", F.col("_off") + F.col("_i")).select("number", "work_date", "person_name", "person_kind", "department", "title")

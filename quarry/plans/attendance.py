@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import attendance as A
@@ -14,9 +12,8 @@ PLACES = A.Places(labels={"north": ["NORTHCO"], "south": ["SOUTHCO"]}, transit=[
 FIRST, LAST = "2024-01-01", "2024-01-31"
 
 
-#: ``whole``: every customer and order; else the part that the SQL of the queries without it has.
-def _roster(spark, d, whole=False):
-    c = table(spark, d, "customer").where("true" if whole else "c_custkey <= 150")
+def _roster(spark, d):
+    c = table(spark, d, "customer")
     return c.select(F.concat(F.lit("w"), S("c_custkey"), F.when(S("c_custkey") % 40 == 0, F.lit("（离职）")).otherwise("")).alias("name"), F.expr("concat('c', c_nationkey % 3)").alias("center"), F.expr("case c_custkey % 3 when 0 then 'south' when 1 then '' else 'north' end").alias("base_site"))
 
 
@@ -26,62 +23,62 @@ def _punch(spark, d):
     return e.select(S("event_id").alias("seq"), F.expr("concat('w', user_id)").alias("person_name"), F.to_date("ts").alias("work_date"), F.expr("case when event_id % 2 = 0 then 'in' else 'out' end").alias("side"), F.expr("case event_id % 13 when 0 then '缺卡' when 1 then '迟到' else '正常' end").alias("status"), addr.alias("address"), F.expr("case when event_id % 17 = 0 then '出差' else '' end").alias("leave_apply"))
 
 
-def _applicant(whole):
-    return F.expr("concat('w', o_custkey)" if whole else "concat('w', o_custkey % 150 + 1)").alias("applicant")
+def _applicant():
+    return F.expr("concat('w', o_custkey)").alias("applicant")
 
 
-def _travel(spark, d, whole=False):
-    o = table(spark, d, "orders").where("true" if whole else "o_orderkey % 3 = 0 and o_orderkey < 3000")
+def _travel(spark, d):
+    o = table(spark, d, "orders")
     start = F.expr("date_add(date '2024-01-01', cast(o_orderkey * 5 % 31 as int))")
-    return o.select(S("o_orderkey").alias("seq"), _applicant(whole), F.lit("出差").alias("category"), F.expr("case when o_orderkey % 4 = 0 then '泰国' else 'town' end").alias("location"), start.alias("start"), F.date_add(start, F.expr("cast(o_custkey % 4 as int)")).alias("end"), F.expr("case when o_orderstatus = 'P' then '驳回' else '已通过' end").alias("status"))
+    return o.select(S("o_orderkey").alias("seq"), _applicant(), F.lit("出差").alias("category"), F.expr("case when o_orderkey % 4 = 0 then '泰国' else 'town' end").alias("location"), start.alias("start"), F.date_add(start, F.expr("cast(o_custkey % 4 as int)")).alias("end"), F.expr("case when o_orderstatus = 'P' then '驳回' else '已通过' end").alias("status"))
 
 
-def _leave(spark, d, whole=False):
-    o = table(spark, d, "orders").where("true" if whole else "o_orderkey % 50 = 1")
+def _leave(spark, d):
+    o = table(spark, d, "orders")
     start = F.expr("date_add(date '2024-01-01', cast(o_orderkey * 3 % 31 as int))")
-    return o.select(_applicant(whole), F.lit("年假").alias("leave_kind"), start.alias("start"), F.date_add(start, F.expr("cast(o_custkey % 2 as int)")).alias("end"), F.expr("case when o_orderkey % 100 = 1 then '下午' end").alias("start_half"), F.lit(None).cast("string").alias("end_half"), F.lit("已通过").alias("status"))
+    return o.select(_applicant(), F.lit("年假").alias("leave_kind"), start.alias("start"), F.date_add(start, F.expr("cast(o_custkey % 2 as int)")).alias("end"), F.expr("case when o_orderkey % 100 = 1 then '下午' end").alias("start_half"), F.lit(None).cast("string").alias("end_half"), F.lit("已通过").alias("status"))
 
 
-def _located(spark, d, whole=False):
-    return A.located(_punch(spark, d), _roster(spark, d, whole), PLACES)
+def _located(spark, d):
+    return A.located(_punch(spark, d), _roster(spark, d), PLACES)
 
 
-def punch_locations(spark, d, whole=False):
-    return _located(spark, d, whole).select("seq", "person", "kind", "abroad")
+def punch_locations(spark, d):
+    return _located(spark, d).select("seq", "person", "kind", "abroad")
 
 
-def mixed_day_addresses(spark, d, whole=False):
-    c = A.clear_mixed_days(_located(spark, d, whole), PLACES)
+def mixed_day_addresses(spark, d):
+    c = A.clear_mixed_days(_located(spark, d), PLACES)
     return c.select("seq", "address", "kind")
 
 
-def overseas_travel_runs(spark, d, whole=False):
-    r = A.overseas_runs(_travel(spark, d, whole), _located(spark, d, whole))
+def overseas_travel_runs(spark, d):
+    r = A.overseas_runs(_travel(spark, d), _located(spark, d))
     return r.select("person", S("start").cast("string").alias("start"), S("end").cast("string").alias("end"))
 
 
-def first_field_days(spark, d, whole=False):
-    f = A.first_field_day(_travel(spark, d, whole), _located(spark, d, whole))
+def first_field_days(spark, d):
+    f = A.first_field_day(_travel(spark, d), _located(spark, d))
     return f.select("seq", S("field_day").cast("string").alias("field_day"))
 
 
-def shifted_overseas_starts(spark, d, whole=False):
-    t = A.shift_overseas_starts(_travel(spark, d, whole), _located(spark, d, whole), PLACES)
+def shifted_overseas_starts(spark, d):
+    t = A.shift_overseas_starts(_travel(spark, d), _located(spark, d), PLACES)
     return t.select("seq", S("start").cast("string").alias("start"))
 
 
-def field_continuations(spark, d, whole=False):
-    c = A.field_continuations(_travel(spark, d, whole), _located(spark, d, whole))
+def field_continuations(spark, d):
+    c = A.field_continuations(_travel(spark, d), _located(spark, d))
     return c.select("person", S("start").cast("string").alias("start"), S("end").cast("string").alias("end"))
 
 
-def leave_half_days(spark, d, whole=False):
-    x = A.leave_sides(_leave(spark, d, whole))
+def leave_half_days(spark, d):
+    x = A.leave_sides(_leave(spark, d))
     return x.select("person", S("day").cast("string").alias("day"), "side", "leave_kind")
 
 
 def _grid(spark, d):
-    return A.month_grid(_roster(spark, d, True), A.calendar(FIRST, 31, spark), _travel(spark, d, True), _leave(spark, d, True), _punch(spark, d), FIRST, LAST, PLACES)
+    return A.month_grid(_roster(spark, d), A.calendar(FIRST, 31, spark), _travel(spark, d), _leave(spark, d), _punch(spark, d), FIRST, LAST, PLACES)
 
 
 def month_grid(spark, d):
@@ -122,12 +119,10 @@ def person_names(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (punch_locations, mixed_day_addresses, overseas_travel_runs, first_field_days, shifted_overseas_starts, field_continuations, leave_half_days, month_grid, month_tallies, month_symbol_rows, leave_travel_conflicts, off_day_punches, makeup_cap, work_calendar, person_names)}
-_PARTS = (punch_locations, mixed_day_addresses, overseas_travel_runs, first_field_days, shifted_overseas_starts, field_continuations, leave_half_days)
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in _PARTS}
 
 _PUNCH = "p AS (SELECT event_id seq, 'w' || user_id person, user_id, CAST(ts AS DATE) wd, CASE WHEN event_id % 2 = 0 THEN 'in' ELSE 'out' END side, CASE event_id % 13 WHEN 0 THEN '缺卡' WHEN 1 THEN '迟到' ELSE '正常' END status, CASE event_id % 9 WHEN 0 THEN 'NORTHCO' WHEN 1 THEN 'SOUTHCO' WHEN 2 THEN 'x 泰国 y' WHEN 3 THEN 'station' WHEN 4 THEN '' WHEN 5 THEN 'in THAILAND' ELSE 'site' || (event_id % 4) END address FROM events)"
-_LOC = "r AS (SELECT CASE c_custkey % 40 WHEN 0 THEN 'w' || c_custkey ELSE 'w' || c_custkey END person, CASE c_custkey % 3 WHEN 0 THEN 'south' ELSE 'north' END base FROM customer WHERE c_custkey <= 150), loc AS (SELECT p.*, CASE WHEN address = '' OR status = '缺卡' THEN 'unknown' WHEN address = CASE coalesce(base, 'north') WHEN 'south' THEN 'SOUTHCO' ELSE 'NORTHCO' END THEN 'base_company' WHEN address IN ('NORTHCO', 'SOUTHCO') THEN 'other_company' WHEN address = 'station' THEN 'home_transit' ELSE 'field' END kind, CASE WHEN contains(address, '泰国') THEN '泰国' WHEN contains(lower(address), 'thailand') THEN 'thailand' END abroad FROM p LEFT JOIN r USING (person))"
-_TRAVEL = "t AS (SELECT o_orderkey seq, 'w' || (o_custkey % 150 + 1) person, o_orderkey % 4 = 0 ab, DATE '2024-01-01' + CAST(o_orderkey * 5 % 31 AS INT) s, DATE '2024-01-01' + CAST(o_orderkey * 5 % 31 + o_custkey % 4 AS INT) e, o_orderstatus != 'P' ok FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < 3000)"
+_LOC = "r AS (SELECT CASE c_custkey % 40 WHEN 0 THEN 'w' || c_custkey ELSE 'w' || c_custkey END person, CASE c_custkey % 3 WHEN 0 THEN 'south' ELSE 'north' END base FROM customer), loc AS (SELECT p.*, CASE WHEN address = '' OR status = '缺卡' THEN 'unknown' WHEN address = CASE coalesce(base, 'north') WHEN 'south' THEN 'SOUTHCO' ELSE 'NORTHCO' END THEN 'base_company' WHEN address IN ('NORTHCO', 'SOUTHCO') THEN 'other_company' WHEN address = 'station' THEN 'home_transit' ELSE 'field' END kind, CASE WHEN contains(address, '泰国') THEN '泰国' WHEN contains(lower(address), 'thailand') THEN 'thailand' END abroad FROM p LEFT JOIN r USING (person))"
+_TRAVEL = "t AS (SELECT o_orderkey seq, 'w' || o_custkey person, o_orderkey % 4 = 0 ab, DATE '2024-01-01' + CAST(o_orderkey * 5 % 31 AS INT) s, DATE '2024-01-01' + CAST(o_orderkey * 5 % 31 + o_custkey % 4 AS INT) e, o_orderstatus != 'P' ok FROM orders)"
 _ALL = f"WITH {_PUNCH}, {_LOC}, {_TRAVEL}"
 _FF = "f AS (SELECT t.seq, min(wd) fd FROM t JOIN loc ON loc.person = t.person AND wd BETWEEN s AND e AND kind IN ('field', 'other_company') GROUP BY t.seq)"
 _ISL = "SELECT *, sum(o) OVER (PARTITION BY person ORDER BY wd) g FROM (SELECT *, CASE WHEN wd - lag(wd) OVER (PARTITION BY person ORDER BY wd) = 1 THEN 0 ELSE 1 END o FROM "
@@ -139,18 +134,9 @@ ORACLE_SQL = {
     "first_field_days": f"{_ALL}, {_FF} SELECT seq, CAST(fd AS VARCHAR) field_day FROM f",
     "shifted_overseas_starts": f"{_ALL}, {_FF} SELECT t.seq, CAST(CASE WHEN ok AND ab THEN greatest(s, coalesce(fd, s)) ELSE s END AS VARCHAR) AS start FROM t LEFT JOIN f ON f.seq = t.seq",
     "field_continuations": f"{_ALL}, x AS (SELECT person, wd FROM loc WHERE abroad IS NULL AND kind IN ('field', 'base_company') GROUP BY person, wd HAVING NOT bool_or(kind = 'base_company')), y AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM t WHERE ok AND t.person = x.person AND wd BETWEEN s AND e)), i AS ({_ISL} y)), z AS (SELECT person, g, max(wd) b FROM i GROUP BY ALL) SELECT DISTINCT i.person, CAST(wd AS VARCHAR) AS start, CAST(b AS VARCHAR) AS \"end\" FROM i JOIN z ON z.person = i.person AND z.g = i.g JOIN t ON t.person = i.person AND ok AND wd = e + 1",
-    "leave_half_days": "WITH v AS (SELECT 'w' || (o_custkey % 150 + 1) person, DATE '2024-01-01' + CAST(o_orderkey * 3 % 31 AS INT) s, CAST(o_custkey % 2 AS INT) k, o_orderkey % 100 = 1 pm FROM orders WHERE o_orderkey % 50 = 1), d AS (SELECT person, s, pm, s + unnest(range(k + 1))::INT AS dd FROM v) SELECT DISTINCT person, CAST(dd AS VARCHAR) AS \"day\", side, '年假' leave_kind FROM d, (SELECT unnest(['in', 'out']) side) WHERE NOT (dd = s AND pm AND side = 'in')",
+    "leave_half_days": "WITH v AS (SELECT 'w' || o_custkey person, DATE '2024-01-01' + CAST(o_orderkey * 3 % 31 AS INT) s, CAST(o_custkey % 2 AS INT) k, o_orderkey % 100 = 1 pm FROM orders), d AS (SELECT person, s, pm, s + unnest(range(k + 1))::INT AS dd FROM v) SELECT DISTINCT person, CAST(dd AS VARCHAR) AS \"day\", side, '年假' leave_kind FROM d, (SELECT unnest(['in', 'out']) side) WHERE NOT (dd = s AND pm AND side = 'in')",
     "off_day_punches": f"WITH {_PUNCH} SELECT DISTINCT person, CAST(wd AS VARCHAR) AS \"day\", 'blocking' plan FROM p WHERE isodow(wd) > 5 OR wd > DATE '2024-01-31'",
     "makeup_cap": f"WITH {_PUNCH}, g AS (SELECT DISTINCT person, wd, side FROM p WHERE status = '缺卡'), a AS (SELECT * FROM g WHERE EXISTS (SELECT 1 FROM p WHERE p.person = g.person AND p.wd = g.wd AND p.side != g.side AND status = '正常')) SELECT person, CAST(wd AS VARCHAR) AS \"day\", side FROM a QUALIFY row_number() OVER (PARTITION BY person, date_trunc('month', wd) ORDER BY wd, side) <= 2",
     "work_calendar": "SELECT CAST(d AS VARCHAR) AS \"day\" FROM (SELECT DATE '2024-01-01' + i::INT d FROM range(31) t(i)) WHERE isodow(d) <= 5",
     "person_names": "SELECT n_nationkey, replace(n_name, ' ', '') || ['', '•x', '', ''][n_nationkey % 4 + 1] AS name, n_nationkey % 4 IN (0, 2) departed FROM nation",
 }
-
-
-def _whole_sql(sql: str) -> str:
-    for bound in (" WHERE c_custkey <= 150", " WHERE o_orderkey % 3 = 0 AND o_orderkey < 3000", " WHERE o_orderkey % 50 = 1"):
-        sql = sql.replace(bound, "")
-    return sql.replace("'w' || (o_custkey % 150 + 1)", "'w' || o_custkey")
-
-
-ORACLE_SQL |= {f"{f.__name__}_whole": _whole_sql(ORACLE_SQL[f.__name__]) for f in _PARTS}

@@ -88,15 +88,11 @@ def triage_kind(spark, d):
     return t.select("doc_id", "kind", F.array_join(F.transform("scanned", lambda x: x.cast("string")), ",").alias("scanned"), "text_pages", F.array_join(C.converter_chain(S("kind"), S("doc_id") % 2 == 0), ">").alias("chain"))
 
 
-def ocr_page_runs(spark, d, whole=False):
-    p = table(spark, d, "lineitem").where("true" if whole else "l_quantity < 20").select((S("l_orderkey") % 50).alias("doc_id"), S("l_partkey").alias("page")).distinct()
+def ocr_page_runs(spark, d):
+    p = table(spark, d, "lineitem").select((S("l_orderkey") % 50).alias("doc_id"), S("l_partkey").alias("page")).distinct()
     return C.page_groups(p).select("doc_id", "first_page", "last_page")
 
 
-def ocr_page_runs_whole(spark, d):
-    return ocr_page_runs(spark, d, True)
-
-
 def page_override(spark, d):
     p = table(spark, d, "orders").select(S("o_custkey").alias("doc_id"), S("o_orderkey").alias("page"), S("o_orderpriority").alias("text"))
     o = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(S("o_custkey").alias("doc_id"), S("o_orderkey").alias("page"), F.when(S("o_orderkey") % 8 == 0, "ocr").otherwise("").alias("text"))
@@ -201,7 +197,7 @@ def section_chunks(spark, d):
     return c.select("doc_id", "chunk_index", "text")
 
 
-QUERIES = {f.__name__: f for f in (fixed_window_chunks, paragraph_split, heading_lines, filled_sections, table_row_text, row_prefix, table_summaries, unique_column_names, markdown_tables, formula_pages, doc_type_vote, triage_kind, ocr_page_runs, ocr_page_runs_whole, page_override, useful_images, sheet_row_groups, chunk_geometry, markdown_blocks, section_paths, markdown_round_trip, parent_child_plan, plan_chunks, table_and_image_chunks, sentence_pack_chunks, line_windows, degraded_blocks, piece_metadata, policy_chunks, faq_chunks, sop_chunks, table_row_groups, section_chunks)}
+QUERIES = {f.__name__: f for f in (fixed_window_chunks, paragraph_split, heading_lines, filled_sections, table_row_text, row_prefix, table_summaries, unique_column_names, markdown_tables, formula_pages, doc_type_vote, triage_kind, ocr_page_runs, page_override, useful_images, sheet_row_groups, chunk_geometry, markdown_blocks, section_paths, markdown_round_trip, parent_child_plan, plan_chunks, table_and_image_chunks, sentence_pack_chunks, line_windows, degraded_blocks, piece_metadata, policy_chunks, faq_chunks, sop_chunks, table_row_groups, section_chunks)}
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) t, CAST(unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS INT) seq FROM documents)"
 _HEAD = r"(length(t) <= 60 AND t != '' AND NOT regexp_matches(t, '^\d+$') AND NOT regexp_matches(t, '[。！？!?;；]$') AND (NOT regexp_matches(t, '[a-zA-Z]{4,}') OR len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w != '')) <= 12))"
@@ -221,8 +217,7 @@ ORACLE_SQL = {
     "formula_pages": "SELECT doc_id, doc_id % 3 != 1 formula FROM documents",
     "doc_type_vote": f"WITH {_LINES}, x AS (SELECT doc_id, CASE WHEN (doc_id + seq) % 3 = 0 THEN 'Q: ' WHEN doc_id % 5 = 0 THEN '第3条 ' WHEN doc_id % 7 = 0 THEN '步骤 2 ' WHEN doc_id % 11 = 0 THEN '| ' ELSE '' END || t line FROM l), v AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)^\\s*(?:Q\\s*\\d*|问(?:题)?)\\s*[:：.、]?\\s*(.*)$')) f, count(*) FILTER (starts_with(line, '步骤 2')) s, count(*) FILTER (starts_with(line, '第3条')) p, sum(CASE WHEN starts_with(line, '|') THEN length(line) ELSE 0 END) b, sum(length(line)) c FROM x GROUP BY doc_id) SELECT doc_id, CASE WHEN f >= 2 AND f >= s THEN 'faq' WHEN s >= 2 THEN 'sop' WHEN p >= 2 THEN 'policy' WHEN b / greatest(c, 1) >= 0.4 THEN 'table' ELSE 'generic' END doc_type FROM v",
     "triage_kind": "WITH p AS (SELECT l_orderkey doc_id, l_linenumber page, sum(l_quantity) * 3 c, sum(CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) t, max(l_discount > 0.09) f FROM lineitem GROUP BY ALL), r AS (SELECT doc_id, count(*) n, count(*) FILTER (c < 50) bare, bool_or(t > 0) t, bool_or(f) f, coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (c < 50), '') scanned FROM p GROUP BY doc_id), k AS (SELECT *, CASE WHEN bare = n THEN 'pdf_scanned' WHEN bare > 0 THEN 'pdf_mixed' WHEN t OR f THEN 'pdf_complex' ELSE 'pdf_text' END kind FROM r) SELECT doc_id, kind, scanned, n - bare text_pages, CASE WHEN doc_id % 2 = 0 AND kind != 'pdf_text' THEN 'mineru>' ELSE '' END || CASE kind WHEN 'pdf_text' THEN 'pymupdf' WHEN 'pdf_complex' THEN 'docling>pymupdf' WHEN 'pdf_mixed' THEN 'hybrid_ocr>pymupdf' ELSE 'ocr' END chain FROM k",
-    "ocr_page_runs": "WITH p AS (SELECT DISTINCT l_orderkey % 50 doc_id, l_partkey page FROM lineitem WHERE l_quantity < 20), w AS (SELECT *, count(*) OVER (PARTITION BY doc_id) n, CASE WHEN page - lag(page) OVER (PARTITION BY doc_id ORDER BY page) > 1 THEN 1 WHEN lag(page) OVER (PARTITION BY doc_id ORDER BY page) IS NULL THEN 1 ELSE 0 END o FROM p), g AS (SELECT *, sum(CASE WHEN n <= 8 THEN 1 ELSE o END) OVER (PARTITION BY doc_id ORDER BY page) g FROM w) SELECT doc_id, min(page) first_page, max(page) last_page FROM g GROUP BY doc_id, g",
-    "ocr_page_runs_whole": "WITH p AS (SELECT DISTINCT l_orderkey % 50 doc_id, l_partkey page FROM lineitem), w AS (SELECT *, count(*) OVER (PARTITION BY doc_id) n, CASE WHEN page - lag(page) OVER (PARTITION BY doc_id ORDER BY page) > 1 THEN 1 WHEN lag(page) OVER (PARTITION BY doc_id ORDER BY page) IS NULL THEN 1 ELSE 0 END o FROM p), g AS (SELECT *, sum(CASE WHEN n <= 8 THEN 1 ELSE o END) OVER (PARTITION BY doc_id ORDER BY page) g FROM w) SELECT doc_id, min(page) first_page, max(page) last_page FROM g GROUP BY doc_id, g",
+    "ocr_page_runs": "WITH p AS (SELECT DISTINCT l_orderkey % 50 doc_id, l_partkey page FROM lineitem), w AS (SELECT *, count(*) OVER (PARTITION BY doc_id) n, CASE WHEN page - lag(page) OVER (PARTITION BY doc_id ORDER BY page) > 1 THEN 1 WHEN lag(page) OVER (PARTITION BY doc_id ORDER BY page) IS NULL THEN 1 ELSE 0 END o FROM p), g AS (SELECT *, sum(CASE WHEN n <= 8 THEN 1 ELSE o END) OVER (PARTITION BY doc_id ORDER BY page) g FROM w) SELECT doc_id, min(page) first_page, max(page) last_page FROM g GROUP BY doc_id, g",
     "page_override": "SELECT o_custkey doc_id, o_orderkey page, CASE WHEN o_orderkey % 8 = 0 THEN 'ocr' ELSE o_orderpriority END AS text FROM orders",
     "useful_images": "SELECT page_id FROM pages WHERE strlen(html) >= 2000 AND (page_id % 7 = 0 OR least(page_id % 200, 100) >= 64) AND (page_id % 7 != 0 OR page_id % 200 >= 64)",
     "sheet_row_groups": "WITH r AS (SELECT l_orderkey doc_id, l_linenumber i, min(l_linestatus) t FROM lineitem GROUP BY ALL) SELECT doc_id, min(i) row_start, max(i) row_end, string_agg(t, chr(10) ORDER BY i) AS text FROM r GROUP BY doc_id, (i - 1) // 3",

@@ -63,11 +63,11 @@ def kind_rollup(spark, d):
 
 
 def facts_department(spark, d):
-    return staffing.department_title(_facts(spark, d), _roster(spark, d)).select("seq", "department", "title")
+    return staffing.department_title(_facts(spark, d), _roster(spark, d), "合同部").select("seq", "department", "title")
 
 
 def export_person_days(spark, d):
-    e = staffing.export_person_days(_active(spark, d), _roster(spark, d))
+    e = staffing.export_person_days(_active(spark, d), _roster(spark, d), "合同部")
     return e.select("number", S("work_date").cast("string").alias("work_date"), "person_name", "person_kind", "department")
 
 
@@ -90,12 +90,6 @@ def roster_correction(spark, d):
 
 
 def project_prefix_match(spark, d):
-    codes = table(spark, d, "part").select(S("p_partkey").alias("doc"), F.substring("p_name", 1, 6).alias("code"))
-    projects = table(spark, d, "part").where("p_partkey % 20 = 0").select(S("p_partkey").alias("id"), S("p_name").alias("code"))
-    return staffing.match_projects(codes, projects)
-
-
-def project_prefix_match_whole(spark, d):
     """All parts as projects against all names and their first six letters."""
     p = table(spark, d, "part")
     codes = p.select((S("p_partkey") * 2).alias("doc"), F.substring("p_name", 1, 6).alias("code")).union(p.select(S("p_partkey") * 2 + 1, "p_name"))
@@ -322,7 +316,7 @@ def symbols_and_numbers(spark, d):
     return o.select("o_orderkey", reconcile.symbol(s).alias("symbol"), reconcile.number(n).alias("number"))
 
 
-QUERIES = {f.__name__: f for f in (supersede_facts, void_scope, dedupe_keep_first, dedupe_by_content, person_summary, kind_rollup, facts_department, export_person_days, fuzzy_name_pairs, name_classification, roster_correction, project_prefix_match, project_prefix_match_whole, collision_resolution, rename_merge, kind_collisions, repeated_source_rows, disjoint_sources, import_status, visibility_filter, visibility_no_scope, upload_permission, org_closure, org_closure_recursive, user_permissions, positions_with_roles, feature_gates, window_tokens, last_n_rounds, memory_split, latest_summary, rule_titles, history_transcript, token_caps, audit_page, audit_count, rate_limit_windows, log_scrub, session_expiry, status_transitions, latency_summary, ledger_diff_exempt, diff_summary, diff_columns, people_sets, roster_changes, orphan_names, symbols_and_numbers)}
+QUERIES = {f.__name__: f for f in (supersede_facts, void_scope, dedupe_keep_first, dedupe_by_content, person_summary, kind_rollup, facts_department, export_person_days, fuzzy_name_pairs, name_classification, roster_correction, project_prefix_match, collision_resolution, rename_merge, kind_collisions, repeated_source_rows, disjoint_sources, import_status, visibility_filter, visibility_no_scope, upload_permission, org_closure, org_closure_recursive, user_permissions, positions_with_roles, feature_gates, window_tokens, last_n_rounds, memory_split, latest_summary, rule_titles, history_transcript, token_caps, audit_page, audit_count, rate_limit_windows, log_scrub, session_expiry, status_transitions, latency_summary, ledger_diff_exempt, diff_summary, diff_columns, people_sets, roster_changes, orphan_names, symbols_and_numbers)}
 
 _F1 = "f1 AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY work_date, person_name, person_kind ORDER BY seq) = 1)"
 _MSG = "m AS (SELECT conv_id conversation_id, turn id, role, text AS content, turn % 5 = 4 compressed, CASE WHEN turn % 3 = 0 THEN CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END ELSE turn * 10 END tok FROM conversations)"
@@ -341,13 +335,12 @@ ORACLE_SQL = {
     "dedupe_by_content": "SELECT min(doc_id) doc_id, sha256(text) sha256 FROM documents GROUP BY text",
     "person_summary": f"WITH {FACTS}, dy AS (SELECT person_name, person_kind, work_date, arg_min(trim(stage), seq) FILTER (trim(stage) != '') stage FROM facts GROUP BY ALL), r AS (SELECT *, CASE WHEN work_date - lag(work_date) OVER (PARTITION BY person_name, person_kind ORDER BY work_date) = 1 THEN 0 ELSE 1 END opens FROM dy) SELECT person_name, person_kind, count(*) AS days, CAST(min(work_date) AS VARCHAR) first_day, CAST(max(work_date) AS VARCHAR) last_day, coalesce(string_agg(DISTINCT stage, ',' ORDER BY stage), '') stages, CAST(sum(opens) AS BIGINT) stints FROM r GROUP BY ALL",
     "kind_rollup": f"WITH {FACTS}, x AS (SELECT DISTINCT person_name, person_kind, work_date FROM facts) SELECT person_kind, count(DISTINCT person_name) persons, count(*) person_days, CAST(min(work_date) AS VARCHAR) first_day, CAST(max(work_date) AS VARCHAR) last_day FROM x GROUP BY ROLLUP (person_kind)",
-    "facts_department": f"WITH {FACTS}, {ROSTER} SELECT seq, coalesce(department, CASE WHEN person_kind = 'internal_contract' THEN '机电服务处' ELSE '' END) department, coalesce(title, '') title FROM facts LEFT JOIN roster ON name = person_name",
-    "export_person_days": f"WITH {FACTS}, {ROSTER} SELECT row_number() OVER (ORDER BY work_date, person_name, CASE person_kind WHEN 'internal_formal' THEN 0 ELSE 1 END, seq) number, CAST(work_date AS VARCHAR) work_date, person_name, person_kind, coalesce(department, CASE WHEN person_kind = 'internal_contract' THEN '机电服务处' ELSE '' END) department FROM facts LEFT JOIN roster ON name = person_name",
+    "facts_department": f"WITH {FACTS}, {ROSTER} SELECT seq, coalesce(department, CASE WHEN person_kind = 'internal_contract' THEN '合同部' ELSE '' END) department, coalesce(title, '') title FROM facts LEFT JOIN roster ON name = person_name",
+    "export_person_days": f"WITH {FACTS}, {ROSTER} SELECT row_number() OVER (ORDER BY work_date, person_name, CASE person_kind WHEN 'internal_formal' THEN 0 ELSE 1 END, seq) number, CAST(work_date AS VARCHAR) work_date, person_name, person_kind, coalesce(department, CASE WHEN person_kind = 'internal_contract' THEN '合同部' ELSE '' END) department FROM facts LEFT JOIN roster ON name = person_name",
     "fuzzy_name_pairs": "WITH n AS (SELECT DISTINCT 'n' || c_custkey AS name FROM customer), p AS (SELECT name, unnest([substr(name, 1, length(name) - 1), substr(name, 1, length(name) - 2), substr(name, 2), substr(name, 3)]) s FROM n) SELECT DISTINCT s short, p.name AS long FROM p JOIN n ON n.name = p.s WHERE s != ''",
     "name_classification": "WITH t AS (SELECT DISTINCT token FROM (SELECT 'n' || s_suppkey token FROM supplier UNION ALL SELECT 'x' || n_nationkey FROM nation)), r AS (SELECT DISTINCT 'n' || (c_custkey * 7) AS name FROM customer), c AS (SELECT token, list_sort(list(DISTINCT r.name)) l FROM t JOIN r ON length(r.name) - length(token) BETWEEN 1 AND 2 AND (starts_with(r.name, token) OR ends_with(r.name, token)) GROUP BY token) SELECT t.token, CASE WHEN t.token IN (SELECT name FROM r) THEN 'exact' WHEN len(l) = 1 THEN 'auto' ELSE 'unresolved' END status, CASE WHEN t.token IN (SELECT name FROM r) THEN t.token WHEN len(l) = 1 THEN l[1] END to_name, CASE WHEN t.token IN (SELECT name FROM r) THEN '' ELSE coalesce(array_to_string(l[1:5], ','), '') END candidates FROM t LEFT JOIN c ON c.token = t.token",
     "roster_correction": "SELECT n_name || 'XY' person_name, n_nationkey FROM nation",
-    "project_prefix_match": "WITH c AS (SELECT p_partkey doc, substr(p_name, 1, 6) code FROM part), p AS (SELECT p_partkey id, p_name pc FROM part WHERE p_partkey % 20 = 0), h AS (SELECT doc, count(DISTINCT id) n, min(id) i FROM c JOIN p ON starts_with(pc, code) OR starts_with(code, pc) GROUP BY doc) SELECT c.doc, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END status, CASE WHEN n = 1 THEN i END project_id, coalesce(n, 0) n FROM c LEFT JOIN h ON h.doc = c.doc",
-    "project_prefix_match_whole": "WITH c AS (SELECT p_partkey * 2 doc, substr(p_name, 1, 6) code FROM part UNION ALL SELECT p_partkey * 2 + 1, p_name FROM part), p AS (SELECT p_partkey id, p_name pc FROM part), h AS (SELECT doc, count(DISTINCT id) n, min(id) i FROM c JOIN p ON starts_with(pc, code) OR starts_with(code, pc) GROUP BY doc) SELECT c.doc, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END status, CASE WHEN n = 1 THEN i END project_id, coalesce(n, 0) n FROM c LEFT JOIN h ON h.doc = c.doc",
+    "project_prefix_match": "WITH c AS (SELECT p_partkey * 2 doc, substr(p_name, 1, 6) code FROM part UNION ALL SELECT p_partkey * 2 + 1, p_name FROM part), p AS (SELECT p_partkey id, p_name pc FROM part), h AS (SELECT doc, count(DISTINCT id) n, min(id) i FROM c JOIN p ON starts_with(pc, code) OR starts_with(code, pc) GROUP BY doc) SELECT c.doc, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END status, CASE WHEN n = 1 THEN i END project_id, coalesce(n, 0) n FROM c LEFT JOIN h ON h.doc = c.doc",
     "collision_resolution": f"WITH {FACTS} SELECT CASE person_name WHEN 'n3' THEN 'n33' ELSE person_name END person_name, person_kind, count(*) n FROM facts WHERE person_name != 'n2' AND NOT (person_name = 'n1' AND person_kind != 'internal_formal') GROUP BY ALL",
     "rename_merge": f"WITH {FACTS}, {_F1}, z AS (SELECT f1.*, person_name = 'n5' AND EXISTS (SELECT 1 FROM f1 g WHERE g.person_name = 'n6' AND g.work_date = f1.work_date AND g.person_kind = f1.person_kind) dup FROM f1) SELECT CASE WHEN person_name = 'n5' AND NOT dup THEN 'n6' ELSE person_name END person_name, CASE WHEN dup THEN 'voided' ELSE 'active' END status, CASE WHEN dup THEN 'merged' END void_reason, count(*) n FROM z GROUP BY ALL",
     "kind_collisions": f"WITH {FACTS} SELECT CAST(work_date AS VARCHAR) work_date, person_name FROM facts GROUP BY facts.work_date, person_name HAVING count(DISTINCT person_kind) = 2",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import intervals, ledger
+from ..sources import records
 from . import inputs
 from .inputs import ctes, table
 
@@ -98,6 +99,26 @@ def ledger_full(spark, d):
     return _ledger(spark, d).select(*SCALARS)
 
 
+def _sheet(df, name, header, *cells):
+    """Rows as a workbook reader gives them: a header, then a row of texts for each record."""
+    say = lambda c: F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit(""))
+    head = df.sparkSession.range(1).select(F.lit(name).alias("path"), F.lit(1).alias("sheet_no"), F.lit(0).cast("long").alias("row"), F.array(*map(F.lit, header)).alias("cells"))
+    return head.unionByName(df.select(F.lit(name).alias("path"), F.lit(1).alias("sheet_no"), (F.col("seq") + 1).cast("long").alias("row"), F.array(*map(say, cells)).alias("cells")))
+
+
+def sheet_ledger(spark, d):
+    """The ledger from the cells of four sheets: readers and computation end to end."""
+    who, day = ["申请人", "申请人部门", "当前审批状态"], lambda c: F.date_format(c, "yyyy/MM/dd")
+    t = _sheet(inputs.travel(spark, d), "出差.xlsx", ["审批编号", *who, "出差类别", "开始时间", "结束时间"], "approval_id", "applicant", "department", "status", "category", day("start"), day("end"))
+    o = _sheet(inputs.overtime(spark, d), "加班.xlsx", [*who, "开始时间", "结束时间", "加班明细", "审批编号"], "applicant", "department", "status", day("work_date"), day("work_date"), F.concat(day("work_date"), F.lit(" "), F.col("hours").cast("string"), F.lit("小时")), "approval_id")
+    v = _sheet(inputs.leave(spark, d), "请假.xlsx", [*who, "假种", "开始时间", "结束时间", "请假时长"], "applicant", "department", "status", "leave_kind", day("start"), day("end"), "duration_text")
+    p = _sheet(inputs.punch(spark, d), "打卡.xlsx", ["日期", "姓名", "打卡时间", "打卡地址"], day("work_date"), "person_name", F.date_format("punch_time", "yyyy/MM/dd HH:mm:ss"), "address")
+    # the ledger reads each source several times: sheets are parsed once
+    parsed = [read(x).persist() for read, x in ((records.travel_records, t), (records.overtime_records, o), (records.leave_records, v), (records.punch_records, p))]
+    got = ledger.compute_ledger(*parsed, inputs.HQ, inputs.holidays(spark, d))
+    return got.select(*(c for c in SCALARS if c != "center"))
+
+
 def ledger_totals(spark, d):
     return ledger.totals(_ledger(spark, d))
 
@@ -147,7 +168,7 @@ def open_blocking_warnings(spark, d):
     return ledger.open_warnings(w, done).select("code", "person", "date")
 
 
-QUERIES = {f.__name__: f for f in (stints_by_user, stint_stage_labels, stint_stage_counts, stint_texts, interval_merge_credit, interval_truncate_by_punch, first_day_in_span, interval_membership, travel_segments, ot_credit_rules, punch_span, leave_bounds, ledger_full, ledger_totals, ledger_export_rows, ledger_warnings, ledger_merge_prior, ledger_prior_keys, missing_source_roles, longest_name_match, longest_name_match_whole, open_blocking_warnings)}
+QUERIES = {f.__name__: f for f in (sheet_ledger, stints_by_user, stint_stage_labels, stint_stage_counts, stint_texts, interval_merge_credit, interval_truncate_by_punch, first_day_in_span, interval_membership, travel_segments, ot_credit_rules, punch_span, leave_bounds, ledger_full, ledger_totals, ledger_export_rows, ledger_warnings, ledger_merge_prior, ledger_prior_keys, missing_source_roles, longest_name_match, longest_name_match_whole, open_blocking_warnings)}
 
 _RUNS = """days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
 runs AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) = 1 THEN 0 ELSE 1 END opens FROM days))"""
@@ -180,6 +201,7 @@ ORACLE_SQL = {
     "punch_span": ctes("punch", "pday") + " SELECT person person_name, CAST(work_date AS VARCHAR) work_date, n punches, round(span, 6) span_hours FROM pday",
     "leave_bounds": ctes("leave") + " SELECT seq, coalesce(said, CASE WHEN e IS NOT NULL THEN e - s + 1 ELSE 1 END)::DOUBLE used_days, CAST(s AS VARCHAR) AS start, CAST(coalesce(e, s + CAST(ceil(coalesce(said, 1.0)) AS INT) - 1) AS VARCHAR) AS \"end\" FROM leave",
     "ledger_full": ctes(*_BASE) + f",\n{_LEDGER} SELECT * FROM ledger",
+    "sheet_ledger": ctes(*_BASE) + f",\n{_LEDGER} SELECT * EXCLUDE (center) FROM ledger",
     "ledger_totals": ctes(*_BASE) + f",\n{_LEDGER} SELECT count(*) person_count, sum(total_comp_days) total_comp_days, sum(used_comp_days) used_comp_days FROM ledger",
     "ledger_warnings": ctes(*_BASE) + f",\n{_WARN} SELECT code, blocking, count(*) n, count(DISTINCT person) people FROM w GROUP BY ALL",
     "ledger_prior_keys": ctes(*_BASE) + " SELECT DISTINCT person, CAST(work_date AS VARCHAR) date FROM credits",

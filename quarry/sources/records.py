@@ -68,38 +68,76 @@ def header_positions(rows: DataFrame, required: list[str], first: int = 15) -> D
     return found.select("path", "header_row", F.map_from_arrays(F.array(*map(F.lit, required)), "_at").alias("at"))
 
 
-def named_cells(rows: DataFrame, required: dict[str, str]) -> DataFrame:
-    """Data rows below the header with one column per required header name."""
-    w = widest_sheet(rows)
-    h = header_positions(w, list(required))
-    d = w.join(h, "path").where(F.col("row") > F.col("header_row"))
-    cell = lambda n: F.trim(F.coalesce(F.get("cells", F.col("at")[n]), F.lit("")))
-    return d.select("path", F.col("row").alias("seq"), *(cell(n).alias(c) for n, c in required.items()))
+def named_cells(rows: DataFrame, *layouts: dict[str, str], optional: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Data rows below the header: path, seq, layout and one column per name of any layout.
+
+    A layout maps header names to columns; of those whose header is found in a file the
+    first counts.  ``optional`` maps further columns to words, one of which their header
+    cell holds.  What a file lacks is an empty string.
+    """
+    w, optional, found = widest_sheet(rows), optional or {}, None
+    wanted = list(dict.fromkeys(c for x in layouts for c in x.values()))
+    for i, layout in enumerate(layouts):
+        at = F.map_from_arrays(F.array(*map(F.lit, layout.values())), F.array(*(F.col("at")[n] for n in layout)))
+        part = header_positions(w, list(layout)).select("path", "header_row", at.alias("at"), F.lit(i).alias("layout"))
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("path").agg(F.min_by(F.struct("header_row", "at"), "layout").alias("h"), F.min("layout").alias("layout")).select("path", "h.header_row", "h.at", "layout")
+    heads = w.select("path", "row", "cells").join(best, "path").where(F.col("row") == F.col("header_row"))
+    place = lambda words: F.get(F.filter(F.transform("cells", lambda c, i: F.when(_has_any(F.coalesce(c, F.lit("")), words), i)), lambda i: i.isNotNull()), F.lit(0))
+    heads = heads.select("path", "header_row", "at", "layout", *(place(v).alias(f"_at_{c}") for c, v in optional.items()))
+    d = w.join(heads, "path").where(F.col("row") > F.col("header_row"))
+    cell = lambda at: F.trim(F.coalesce(F.get("cells", at), F.lit("")))
+    return d.select("path", F.col("row").alias("seq"), "layout", *(cell(F.col("at")[c]).alias(c) for c in wanted), *(cell(F.col(f"_at_{c}")).alias(c) for c in optional))
+
+
+_WHO = {"申请人": "applicant", "申请人部门": "department", "当前审批状态": "status"}
+_SPAN = {"开始时间": "_s", "结束时间": "_e"}
+
+
+def _center() -> Column:
+    return F.split("department", "/")[0].alias("center")
 
 
 def travel_records(rows: DataFrame) -> DataFrame:
-    r = named_cells(rows, {"申请人": "applicant", "申请人部门": "department", "出差类别": "category", "开始时间": "_s", "结束时间": "_e", "当前审批状态": "status"}).where("applicant != ''")
-    return r.select("path", "seq", "applicant", "department", F.split("department", "/")[0].alias("center"), "category", parse_date(F.col("_s")).alias("start"), parse_date(F.col("_e")).alias("end"), "status")
+    """Trips of approval sheets; the approval's number is empty where the sheet has none."""
+    r = named_cells(rows, {**_WHO, "出差类别": "category", **_SPAN}, optional={"approval_id": ("审批编号",)}).where("applicant != ''")
+    return r.select("path", "seq", "applicant", "department", _center(), "category", parse_date(F.col("_s")).alias("start"), parse_date(F.col("_e")).alias("end"), "status", "approval_id")
 
 
 def overtime_records(rows: DataFrame) -> DataFrame:
-    r = named_cells(rows, {"申请人": "applicant", "申请人部门": "department", "开始时间": "_s", "结束时间": "_e", "加班明细": "_d", "加班时长": "_h", "当前审批状态": "status"}).where("applicant != ''")
-    return overtime_days(r, "_d", "_s", "_h").select("path", "seq", "applicant", "department", F.split("department", "/")[0].alias("center"), "work_date", "hours", "status")
+    """One row per day of overtime; sheets may lack the columns of duration, reason and number."""
+    more = {"_h": ("加班时长",), "reason": ("加班事由",), "approval_id": ("审批编号",)}
+    r = named_cells(rows, {**_WHO, **_SPAN, "加班明细": "_detail"}, optional=more).where("applicant != ''")
+    return overtime_days(r, "_detail", "_s", "_h").select("path", "seq", "applicant", "department", _center(), "work_date", "hours", "status", "reason", "approval_id")
 
 
 def leave_records(rows: DataFrame) -> DataFrame:
-    r = named_cells(rows, {"申请人": "applicant", "申请人部门": "department", "请假类型": "leave_kind", "请假时间": "_r", "请假时长": "duration_text", "当前审批状态": "status"}).where("applicant != ''")
+    """Leave of sheets with start and end columns, or with one column for both."""
+    kinds = ({**_WHO, "假种": "leave_kind"}, {**_WHO, "请假类型": "leave_kind"})
+    more = {"_r": ("请假时间", "休假时间", "起止"), "duration_text": ("请假时长", "时长"), "approval_id": ("审批编号",)}
+    r = named_cells(rows, *({**k, **_SPAN} for k in kinds), *kinds, optional=more).where("applicant != ''")
     a, b = parse_range(F.col("_r"))
-    return r.select("path", "seq", "applicant", "department", F.split("department", "/")[0].alias("center"), "leave_kind", a.alias("start"), b.alias("end"), "duration_text", "status")
+    own = F.col("layout") < len(kinds)
+    start, end = (F.when(own, parse_date(F.col(c))).otherwise(x) for c, x in (("_s", a), ("_e", b)))
+    return r.select("path", "seq", "applicant", "department", _center(), "leave_kind", start.alias("start"), end.alias("end"), "duration_text", "status", "approval_id")
 
 
 def punch_records(rows: DataFrame) -> DataFrame:
-    """``--`` is no time; a time alone is joined with the row's date."""
-    r = named_cells(rows, {"姓名": "person_name", "日期": "_d", "打卡时间": "_t", "打卡地址": "address"}).where("person_name != ''")
+    """Punches of sheets with headers (three forms), else of sheets with the fixed columns date, name, time, state, address.
+
+    ``--`` is no time; a time alone is joined with the row's date.
+    """
+    layouts = [{"日期": "_d", "姓名": "person_name", t: "_t", p: "address"} for t, p in (("时间", "地点"), ("打卡时间", "打卡地址"), ("时间", "打卡地址"))]
+    named = named_cells(rows, *layouts, optional={"status": ("状态",)}).drop("layout")
+    plain = widest_sheet(rows).join(named.select("path").distinct(), "path", "left_anti")
+    cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
+    address = F.when(cell(4) == "--", "").otherwise(cell(4))
+    plain = plain.select("path", F.col("row").alias("seq"), F.split(cell(0), r"\s")[0].alias("_d"), cell(1).alias("person_name"), cell(2).alias("_t"), cell(3).alias("status"), address.alias("address"))
+    r = named.unionByName(plain)
     day = parse_date(F.col("_d"))
     only = F.regexp_extract("_t", r"^\d{1,2}:\d{2}(?::\d{2})?$", 0)
     at = F.when(only != "", parse_datetime(F.concat(day.cast("string"), F.lit(" "), only))).when(F.col("_t") != "--", parse_datetime(F.col("_t")))
-    return r.select("path", "seq", "person_name", day.alias("work_date"), at.alias("punch_time"), "address")
+    return r.select("path", "seq", "person_name", day.alias("work_date"), at.alias("punch_time"), "status", "address").where("person_name != '' and work_date is not null")
 
 
 def role_by_name(name: Column) -> Column:

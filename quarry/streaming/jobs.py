@@ -31,11 +31,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: i
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there into Parquet, and read that."""
+    """Run a stream over all that is there into Parquet, and read that; in complete mode, what the last batch left."""
     spark = stream.sparkSession
     out = shared_folder(spark, "stream")
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        w = w.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/data"))
+    else:
+        w = w.format("parquet").option("path", f"{out}/data")
+    w.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 

@@ -8,4 +8,4 @@ def test_projects_are_all_parts(spark, tmp_path):
     for doc, code in [(2 * i, n[:6]) for i, n in parts] + [(2 * i + 1, n) for i, n in parts]:
         hits = [i for i, n in parts if n.startswith(code) or code.startswith(n)]
         want.add((doc, "matched" if len(hits) == 1 else "ambiguous", hits[0] if len(hits) == 1 else None, len(hits)))
-    assert {tuple(r) for r in plans.queries()["project_prefix_match_whole"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in plans.queries()["project_prefix_match"](spark, str(tmp_path)).collect()} == want
