@@ -19,10 +19,13 @@ BLANKS = r"\x20\x09-\x0D"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Use the shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -86,17 +89,18 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
 def with_key(docs: DataFrame, id_col: str = "doc_id", name: str = "_key") -> DataFrame:
     """Add a unique long ``name`` that orders rows as ``id_col`` does (nulls first; ties in one fixed order).
 
-    Unique, non-null ids are used as they are.  Otherwise the rows are range
+    Unique, non-null whole numbers are used as they are.  Otherwise the rows are range
     partitioned by id, written to the checkpoint folder and numbered.
     """
     name = free_name(docs, name)
     ids = docs.select(docs[id_col].alias("i"))
     odd = ids.groupBy("i").count().where("i is null or count > 1").limit(1).count()
-    if not odd:
+    if not odd and docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
         return docs.withColumn(name, docs[id_col].cast("long"))
     others = [docs[c] for c, kind in docs.dtypes if c != id_col and not kind.startswith(("map", "variant"))]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64(*others) if others else F.lit(0)
-    placed = cut(docs.withColumn("_tie", tie).repartitionByRange(n, F.col(id_col).asc_nulls_first(), "_tie").sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_tie"))
+    by = free_name(docs, "_tie")
+    placed = docs.withColumn(by, F.xxhash64(*others) if others else F.lit(0))
+    placed = cut(placed.repartitionByRange(n, F.col(id_col).asc_nulls_first(), by).sortWithinPartitions(F.col(id_col).asc_nulls_first(), by))
     # the ids put the partition above the row within it: both follow the sorted order
-    return placed.withColumn(name, F.monotonically_increasing_id()).drop("_tie")
+    return placed.withColumn(name, F.monotonically_increasing_id()).drop(by)

@@ -433,3 +433,14 @@ def test_keys_are_unique_and_ordered(odd):
     assert len({r.k for r in rows}) == len(rows)
     by = sorted(rows, key=lambda r: r.k)
     assert [r.doc_id for r in by] == sorted((r.doc_id for r in rows), key=lambda v: (v is not None, v or 0))
+
+
+def test_keys_of_texts_and_of_tables_with_a_tie_column(spark):
+    rows = [("b", "one two three", 7), ("a", "one two three", 8), ("a", "four", 9), (None, "five", 1)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _tie int")
+    keyed = with_key(docs, "doc_id", "k").orderBy("k").collect()
+    assert [r.doc_id for r in keyed] == [None, "a", "a", "b"] and {r._tie for r in keyed} == {7, 8, 9, 1}
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["five", "four", "one two three"]
+    whole = spark.createDataFrame([("b", "x"), ("a", "y")], "doc_id string, text string")
+    assert [r.doc_id for r in with_key(whole, "doc_id", "k").orderBy("k").collect()] == ["a", "b"]
