@@ -178,7 +178,7 @@ class XlsxRows(DataSource):
 
 
 #: Reader by extension; the others need a service or a parser that is not here.
-FORMATS = {"xlsx": "workbook", "md": "markdown", "txt": "text", "csv": "csv", "json": "json", "html": "html", "htm": "html", "pdf": "external", "docx": "external", "pptx": "external", "png": "external", "jpg": "external", "jpeg": "external"}
+FORMATS = {"xlsx": "workbook", "md": "markdown", "txt": "text", "csv": "csv", "json": "json", "html": "html", "htm": "html", "zip": "archive", "pdf": "external", "docx": "docx", "pptx": "external", "png": "external", "jpg": "external", "jpeg": "external"}
 
 
 def reader_for(path) -> "F.Column":
