@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprint, mixing, pii, quality, repeats, sharding, simhash, url_filter
+from . import chat_format, decontaminate, divergence, fingerprint, mixing, pii, quality, repeats, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,6 +96,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", j["host"].alias("host"), j["path"].alias("path"), j["rule"].alias("rule"), j["verdict"].alias("verdict"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_kd_shards": op2_kd_shards,
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_suffix_repeats": op8_suffix_repeats,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _HOST = r"CASE WHEN position('://' IN url) > 0 THEN translate(regexp_extract(substr(url, position('://' IN url) + 3), '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
@@ -141,4 +146,20 @@ WITH p AS (SELECT page_id, url, {_HOST} host, {_PATH} path FROM (SELECT page_id,
 k AS (SELECT DISTINCT host || path c FROM p WHERE contains(url, 'utm_source=') AND contains(url, '://'))
 SELECT page_id, host, path, CASE {" ".join(f"WHEN {_FITS(*r.split('/', 1))} THEN '{r}'" for r, _ in _BY_LENGTH)} END AS rule,
 CASE {" ".join(f"WHEN {_FITS(*r.split('/', 1))} THEN '{v}'" for r, v in _BY_LENGTH)} WHEN contains(url, '://') AND host || path IN (SELECT c FROM k) THEN 'block' ELSE 'allow' END AS verdict FROM p""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () n, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ws FROM documents),
+w AS (SELECT n, lang, source, unnest(ws) term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT n) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(k.term) V FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN k USING (lang) GROUP BY g.lang),
+c AS (SELECT lang, source, term, count(*) c FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT lang, source, sum(c) n FROM c GROUP BY lang, source),
+gp AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) c, 1 + (1000000000 * (coalesce(c, 0) + 5)::HUGEINT) // (coalesce(n, 0) + 5 * V) p
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+lp AS (SELECT lang, term, 1 + (1000000000 * (sum(c) + 5)::HUGEINT) // (sum(sum(c)) OVER (PARTITION BY lang) + 5 * any_value(V)) q FROM c JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source item, coalesce(s, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source item, sum(abs(x.p - y.p)) s FROM gp x JOIN gp y ON x.lang = y.lang AND x.term = y.term AND x.source != y.source GROUP BY ALL) z ON z.lang = a.lang AND z.source = a.source AND z.item = b.source),
+terms AS (SELECT lang, source, term item, p - q AS value FROM gp JOIN lp USING (lang, term) WHERE c > 0 AND p > q),
+every AS (SELECT *, 'pair' part, 9223372036854775807 most FROM pairs UNION ALL SELECT *, 'term', 50 FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) rank FROM every) WHERE rank <= most""",
 }
