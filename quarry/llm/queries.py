@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, divergence, fingerprint, mixing, pii, quality, repeats, sharding, simhash, url_filter
+from . import chat_format, decontaminate, divergence, fingerprint, merkle, mixing, pii, quality, repeats, secret_scan, sharding, simhash, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,6 +96,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", j["host"].alias("host"), j["path"].alias("path"), j["rule"].alias("rule"), j["verdict"].alias("verdict"))
 
 
+def op11_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, out = secret_scan.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter(out, lambda s: s["kind"] != "novel")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["s"], s["e"])), ",")
+    count = lambda k: F.size(F.filter(out, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(out)).alias("spans"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    marked = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    leaves = merkle.manifest(docs, {"text": F.when(marked, F.translate("text", "\n", "")).otherwise(F.col("text"))})
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return leaves.select("doc_id", "leaf", "subroot", "root", proof, F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -111,6 +127,8 @@ QUERIES = {
     "op8_suffix_repeats": op8_suffix_repeats,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op11_secret_novelty": op11_secret_novelty,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -119,7 +137,31 @@ _PATH = r"CASE WHEN position('://' IN url) > 0 THEN regexp_extract(substr(url, p
 _FITS = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))"
 _BY_LENGTH = sorted(URL_RULES, key=lambda r: -len(r[0]))
 
+
+def _merkle_sql(levels: int = 8) -> str:
+    """SQL of ``op12_merkle_manifest`` for sources of at most 3 ** levels rows: one step of folding each for the sources' trees and the root's."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"
+    step = """{r}{a} AS (SELECT t, i // 3 j, any_value(n) n, list(h ORDER BY i) l FROM {n}{a} GROUP BY t, i // 3),
+{n}{b} AS (SELECT t, j i, (n + 2) // 3 n, CASE WHEN n = 1 THEN l[1] ELSE sha256(array_to_string(l, '')) END h FROM {r}{a}),
+{f}{b} AS (SELECT * EXCLUDE (p, i, h, l, n), i // 3 i, CASE WHEN n = 1 THEN p ELSE p || array_to_string(l[1 : i % 3], '') || array_to_string(l[i % 3 + 2 :], '') END p,
+CASE WHEN n = 1 THEN h ELSE sha256(array_to_string(l[1 : i % 3] || [h] || l[i % 3 + 2 :], '')) END h FROM (SELECT x.*, l, n FROM {f}{a} x JOIN {r}{a} y ON x.t = y.t AND x.i // 3 = y.j)),
+"""
+    up, top = ("".join(step.format(r=r, n=n, f=f, a=k, b=k + 1) for k in range(levels)) for r, n, f in (("sr", "sn", "sf"), ("tr", "tn", "tf")))
+    return f"""
+WITH d AS (SELECT doc_id, source, {leaf("text")} leaf, {leaf(f"CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) & 1 = 0 THEN replace(text, chr(10), '') ELSE text END")} now FROM documents),
+s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 t, count(*) OVER () trees FROM (SELECT DISTINCT source FROM documents)),
+o AS (SELECT doc_id, leaf, now, t, trees, row_number() OVER w - 1 i, count(*) OVER (PARTITION BY t) n FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf, now)),
+sn0 AS (SELECT t, i, n, leaf h FROM o),
+sf0 AS (SELECT doc_id, leaf, t, i, now h, '' p FROM o),
+{up}tn0 AS (SELECT 0 t, u.t i, trees n, h FROM sn{levels} u JOIN s USING (t)),
+tf0 AS (SELECT doc_id, leaf, u.h subroot, 0 t, x.t i, x.h, p FROM sf{levels} x JOIN sn{levels} u ON x.t = u.t),
+{top}z AS (SELECT h root FROM tn{levels})
+SELECT doc_id, leaf, subroot, root, sha256(p) proof_sha256, h folded_root, h = root verified FROM tf{levels}, z"""
+
+
 ORACLE_SQL = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op6_decontaminate": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM benchmark),
