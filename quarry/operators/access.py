@@ -51,9 +51,17 @@ def descendants(units: DataFrame, roots: DataFrame) -> DataFrame:
     return found
 
 
-def closure_sql(units_view: str, root: str, depth: int = 32) -> str:
-    """The same closure for one root as a recursive query, for trees up to ``depth`` levels; the bound also ends cycles."""
-    return f"WITH RECURSIVE c (id, depth) AS (SELECT id, 0 FROM {units_view} WHERE code = '{root}' UNION ALL SELECT u.id, c.depth + 1 FROM {units_view} u JOIN c ON u.parent_id = c.id WHERE c.depth < {depth}) SELECT DISTINCT id FROM c"
+def closure_sql(units: DataFrame, root: str) -> DataFrame:
+    """id of one root and all units below it, as one recursive query: of any depth, and a unit already on the way down ends a cycle.
+
+    Levels are at most as many as units, which is the limit that the query is given; the root is a parameter, not part of its text.
+    """
+    n = units.count()
+    query = f"""WITH RECURSIVE c (id, way) MAX RECURSION LEVEL {n + 1} AS (
+  SELECT id, array(id) FROM {{units}} WHERE code = :root
+  UNION ALL SELECT u.id, array_append(c.way, u.id) FROM {{units}} u JOIN c ON u.parent_id = c.id WHERE NOT array_contains(c.way, u.id))
+SELECT DISTINCT id FROM c"""
+    return units.sparkSession.sql(query, {"root": root}, units=units)
 
 
 def permissions(user_position: DataFrame, position: DataFrame, position_role: DataFrame, role_permission: DataFrame) -> DataFrame:

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .shared import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Query vectors searched in one pass; more queries take more passes.
-QUERY_BLOCK = 1024
+#: Queries searched in one pass, and terms (or vector elements) of a pass; more queries take more passes.
+QUERY_BLOCK, BLOCK_TERMS = 1024, 1 << 20
+#: Scores, or (chunk, query, term) products, that a task holds at once.
+CELLS = 1 << 20
 #: Filter fields by type; others are ignored.
 TEXT_FIELDS = ("doc_id", "version_id", "doc_type", "chunk_type", "chunk_kind", "clause_no", "step_no", "faq_id", "table_id", "parent_id", "image_id", "section", "title", "domain", "project_id", "org_unit_id", "classification", "source", "lang")
 INT_FIELDS = ("page", "row_index")
@@ -39,73 +46,143 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
 
 
+class QueryTerms:
+    """Some queries as a sparse table: the queries of each term, and how often they have it."""
+
+    def __init__(self, texts: list[list[str]]):
+        held = [Counter(ts) for ts in texts]
+        self.n = len(held)
+        self.terms = sorted({w for c in held for w in c})
+        code = {w: k for k, w in enumerate(self.terms)}
+        pairs = sorted((code[w], j, c) for j, h in enumerate(held) for w, c in h.items())
+        at, self.query, self.times = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), (), ())))
+        self.start = np.searchsorted(at, np.arange(len(self.terms) + 1))
+
+
+def _blocks(rows, query: int, size):
+    """Lists of rows of at most ``query`` each, and of about BLOCK_TERMS in ``size``."""
+    held, total = [], 0
+    for r in rows:
+        if held and (len(held) == query or total + size(r) > BLOCK_TERMS):
+            yield held
+            held, total = [], 0
+        held.append(r)
+        total += size(r)
+    if held:
+        yield held
+
+
+def matched_terms(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """id, dl (tokens of the chunk) and, of the given terms that it has, ``code`` (place in ``terms``) and ``tf``; one pass over the texts."""
+    spark = chunks.sparkSession
+    kind = chunks.schema["id"].dataType.simpleString()
+    sent = spark.sparkContext.broadcast(terms)
+
+    def run(batches):
+        known = pa.array(sent.value, pa.string())
+        for b in batches:
+            words = b.column(1)
+            size = np.diff(words.offsets.to_numpy())
+            code = pc.fill_null(pc.index_in(words.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), size)[code >= 0]
+            cell, tf = np.unique(row * max(1, len(known)) + code[code >= 0], return_counts=True)
+            row, code = np.divmod(cell, max(1, len(known)))
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size.astype(np.int32)), *lists], names=["id", "dl", "code", "tf"])
+
+    return chunks.select("id", tokens(F.col("text")).alias("t")).mapInArrow(run, f"id {kind}, dl int, code array<int>, tf array<int>")
+
+
 def bm25_top(chunks: DataFrame, queries: DataFrame, n: int, k1: float = K1, b: float = B, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank of the best ``n`` chunks (id, text) per query (query_id, text), exactly.
 
-    The corpus is read twice: once for its size and the document frequencies of the query
-    terms, once to score.  Queries are a stated set, sent to the tasks a block at a time; a
-    task scores its chunks against all of a block by one product of sparse rows and passes on its best
-    ``n`` per query, so what is shuffled grows with tasks and queries, not with the corpus.
+    Queries are a stated set, sent to the tasks a block at a time (at most ``block`` of them, and about
+    BLOCK_TERMS terms).  Per block the texts are read once: what each chunk has of the block's terms is
+    written to the checkpoint folder, and gives both the document frequencies and the scores.  A task adds up only
+    the (chunk, query) pairs that share a term and passes on its best ``n`` per query, so what is shuffled grows with
+    tasks and queries, not with the corpus.  For many searches of one corpus see ``inverted``.
+
+    Defined cases: ids and query ids of any type that Arrow carries; the rows of one query id (null is one) are one query of all their
+    words; null texts have no words; chunks without a common word aren't listed; ties rank by id.
     """
     spark = chunks.sparkSession
-    kind = chunks.schema["id"].dataType.simpleString()
-    t = chunks.select("id", tokens(F.col("text")).alias("_t"))
-    size = t.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("_t")).alias("avgdl")).first()
-    out, held = None, []
+    kind, of = (d.schema[c].dataType for d, c in ((chunks, "id"), (queries, "query_id")))
+    schema = f"query_id {of.simpleString()}, id {kind.simpleString()}, score double"
+    out = None
 
     def search(part):
-        q = {i: Counter(ts) for i, ts in part}
-        terms = {w: k for k, w in enumerate(sorted({w for c in q.values() for w in c}))}
-        ids = sorted(q)
-        mine = t.select("id", F.size("_t").alias("dl"), F.filter("_t", lambda w: w.isin(list(terms))).alias("_w"))
-        df = {r.w: r.n for r in mine.select(F.explode(F.array_distinct("_w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-        idf = np.array([np.log(1 + (size.N - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in terms])
-        weight = np.zeros((len(terms), len(ids)))
-        for j, i in enumerate(ids):
-            for w, c in q[i].items():
-                weight[terms[w], j] = c * idf[terms[w]]
-        sent = spark.sparkContext.broadcast((terms, weight, ids))
+        ids, q = [r.query_id for r in part], QueryTerms([r.t for r in part])
+        held = cut(matched_terms(chunks, q.terms))
+        size = held.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl")).first()
+        df = np.zeros(len(q.terms))
+        for r in held.select(F.explode("code").alias("c")).groupBy("c").count().collect():  # as many rows as the block has terms, at most
+            df[r["c"]] = r["count"]
+        weight = q.times * np.repeat(np.log(1 + (size.N - df + 0.5) / (df + 0.5)), np.diff(q.start))
+        sent = spark.sparkContext.broadcast((q.n, q.start, q.query, weight, size.avgdl, pa.array(ids, to_arrow_type(of))))
 
         def run(batches):
-            terms, weight, ids = sent.value
-            best = kind_of = None
+            nq, start, query, weight, avgdl, names = sent.value
+            best = Best(nq, n)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                kind_of = batch.schema.field(0).type
-                keys, dl = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy().astype(float)
-                words = batch.column(2)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
-                code = np.array([terms[w] for w in words.flatten().to_pylist()], np.int64)
-                cell, tf = np.unique(row * max(1, len(terms)) + code, return_counts=True)
-                row, code = np.divmod(cell, max(1, len(terms)))
-                v = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / size.avgdl))
-                best = best or [None] * len(ids)
-                for lo in range(0, batch.num_rows, 256):
-                    at = slice(*np.searchsorted(row, [lo, lo + 256]))
-                    m = np.zeros((min(256, batch.num_rows - lo), len(terms)))
-                    m[row[at] - lo, code[at]] = v[at]
-                    s = m @ weight
-                    for j in np.flatnonzero(s.any(axis=0)):
-                        on = np.flatnonzero(s[:, j] > 0)
-                        best[j] = _best(s[on, j], keys[lo + on], *(best[j] or (None, None)), n)
-            for i, found in zip(ids, best or ()):
-                if found is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found[0]), pa.int64()), pa.array(list(found[0]), kind_of), pa.array(found[1])], names=["query_id", "id", "score"])
-
-        return mine.where(F.size("_w") > 0).mapInArrow(run, f"query_id long, id {kind}, score double")
-
-    for r in queries.select("query_id", tokens(F.col("text")).alias("t")).orderBy("query_id").toLocalIterator():
-        held.append((r.query_id, r.t))
-        if len(held) == block:
-            part = search(held)
-            out, held = part if out is None else out.unionByName(part), []
-    if held:
-        part = search(held)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"query_id long, id {kind}, score double")
-    return _top(out, n)
+                lists = batch.column(2)
+                ends = lists.offsets.to_numpy()
+                code, tf = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+                dl = np.repeat(batch.column(1).to_numpy(), np.diff(ends))
+                v = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                every = start[code + 1] - start[code]
+                pairs, lo = np.r_[0, np.cumsum(every)][ends - ends[0]], 0
+                while lo < batch.num_rows:
+                    hi = min(lo + max(1, CELLS // nq), batch.num_rows, max(lo + 1, int(np.searchsorted(pairs, pairs[lo] + CELLS, "right")) - 1))
+                    at = slice(ends[lo] - ends[0], ends[hi] - ends[0])
+                    c, many = code[at], every[at]
+                    row = np.repeat(np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), many)
+                    pair = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[c], many)
+                    score = np.bincount(row * nq + query[pair], np.repeat(v[at], many) * weight[pair], (hi - lo) * nq).reshape(hi - lo, nq)
+                    best.add(score, batch.column(0).slice(lo, hi - lo), 0.0)
+                    lo = hi
+            yield from best.rows(names)
+
+        return held.where(F.size("code") > 0).mapInArrow(run, schema)
+
+    rows = queries.select("query_id", tokens(F.col("text")).alias("t")).groupBy("query_id").agg(F.flatten(F.collect_list("t")).alias("t")).orderBy("query_id")
+    for part in _blocks(rows.toLocalIterator(), block, lambda r: len(r.t)):
+        found = search(part)
+        out = found if out is None else out.unionByName(found)
+    return _top(spark.createDataFrame([], schema) if out is None else out, n)
+
+
+class Best:
+    """A task's running best ``n`` keys of each query; ties at the edge stay for the ranking that follows, the least keys of them."""
+
+    def __init__(self, queries: int, n: int):
+        self.n, self.keys, self.scores = n, [None] * queries, [np.zeros(0)] * queries
+        self.edge = np.full(queries, -np.inf)
+
+    def add(self, score: np.ndarray, keys: pa.Array, above: float, which: np.ndarray | None = None) -> None:
+        """``score`` has a row per key and a column per query (of ``which``, if given); only scores over ``above`` count."""
+        which = np.arange(score.shape[1]) if which is None else which
+        row, col = np.nonzero((score > above) & (score >= self.edge[which] - 1e-9))
+        order = np.lexsort((row, col))
+        row, col = row[order], col[order]
+        cuts = np.flatnonzero(np.r_[True, col[1:] != col[:-1], True]) if len(col) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            q, at = which[col[lo]], row[lo:hi]
+            mine, s = keys.take(pa.array(at)), np.r_[self.scores[q], score[at, col[lo]]]
+            mine = mine if self.keys[q] is None else pa.concat_arrays([self.keys[q], mine])
+            if len(s) > self.n:
+                edge = np.partition(s, len(s) - self.n)[len(s) - self.n]
+                sure, tied = np.flatnonzero(s > edge + 1e-9), np.flatnonzero(np.abs(s - edge) <= 1e-9)
+                tied = tied[pc.array_sort_indices(mine.take(pa.array(tied)), null_placement="at_start").to_numpy()[: self.n]]
+                self.edge[q], keep = edge, np.r_[sure, tied]
+                mine, s = mine.take(pa.array(keep)), s[keep]
+            self.keys[q], self.scores[q] = mine, s
+
+    def rows(self, names: pa.Array):
+        """Batches of query_id, id, score; ``names`` has the queries' ids."""
+        for q, k in enumerate(self.keys):
+            if k is not None:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(k), q))), k, pa.array(self.scores[q])], names=["query_id", "id", "score"])
 
 
 def _top(scored: DataFrame, n: int) -> DataFrame:
@@ -114,16 +191,15 @@ def _top(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _best(score: np.ndarray, keys: np.ndarray, old_keys, old_score, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and scores of the best ``n`` of a batch and what was best before; ties at the edge stay for the ranking that follows, the least keys of them."""
-    if old_keys is not None:
-        score, keys = np.r_[old_score, score], np.r_[old_keys, keys]
-    if len(keys) <= n:
-        return keys, score
-    edge = np.partition(score, len(keys) - n)[len(keys) - n]
-    sure, tied = np.flatnonzero(score > edge + 1e-9), np.flatnonzero(np.abs(score - edge) <= 1e-9)
-    top = np.r_[sure, sorted(tied, key=lambda i: keys[i])[: n]]
-    return keys[top], score[top]
+def sound_vectors(df: DataFrame) -> Column:
+    """``vector`` as doubles; null if it is, is empty or has an element that is null, infinite or not a number."""
+    v = F.col("vector").cast("array<double>")
+    return F.when((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)), v)
+
+
+def unit_rows(vectors: pa.ListArray, width: int) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def dense_top(chunks: DataFrame, queries: DataFrame, n: int, block: int = QUERY_BLOCK) -> DataFrame:
@@ -131,43 +207,41 @@ def dense_top(chunks: DataFrame, queries: DataFrame, n: int, block: int = QUERY_
 
     Each task multiplies its vectors with a block of query vectors and passes on its own
     best ``n`` per query, so what is shuffled does not grow with the corpus but with tasks.
+
+    Defined cases: ids and query ids of any type that Arrow carries; vectors that aren't sound (``sound_vectors``) match nothing;
+    vectors meet only vectors of their own length; a zero vector is at 0 from all; a query id with several vectors counts
+    each chunk by the nearest of them; ties rank by id.
     """
     spark = chunks.sparkSession
-    kind = chunks.schema["id"].dataType.simpleString()
-    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).where("v is not null").orderBy("query_id")
-    out, held = None, []
+    kind, of = (d.schema[c].dataType for d, c in ((chunks, "id"), (queries, "query_id")))
+    schema = f"query_id {of.simpleString()}, id {kind.simpleString()}, score double"
+    rows = queries.select("query_id", sound_vectors(queries).alias("v")).where("v is not null").orderBy(F.size("v"), "query_id")
+    held = chunks.select("id", sound_vectors(chunks).alias("v"))
+    out = None
 
-    def search(ids, vectors):
-        m = np.array(vectors)
-        sent = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+    def search(part):
+        width = len(part[0].v)
+        m = np.array([r.v for r in part])
+        sent = spark.sparkContext.broadcast((m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), pa.array([r.query_id for r in part], to_arrow_type(of))))
 
         def run(batches):
-            ids, q = sent.value
-            best = kind_of = None  # running best of this task: row numbers per query, their scores
+            q, names = sent.value
+            best = Best(len(q), n)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                kind_of = b.schema.field(0).type
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s, keys = q @ x.T, np.array(b.column(0).to_pylist(), object)
-                best = [_best(sc, keys, *(old or (None, None)), n) for sc, old in zip(s, best or [None] * len(ids))]
-            for i, (k, v) in zip(ids, best or ()):
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(k), pa.int64()), pa.array(list(k), kind_of), pa.array(v)], names=["query_id", "id", "score"])
-
-        return chunks.select("id", F.col("vector").cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, f"query_id long, id {kind}, score double")
-
-    for r in rows.toLocalIterator():
-        held.append((r.query_id, r.v))
-        if len(held) == block:
-            part = search(*map(list, zip(*held)))
-            out, held = part if out is None else out.unionByName(part), []
-    if held:
-        part = search(*map(list, zip(*held)))
-        out = part if out is None else out.unionByName(part)
+                for lo in range(0, b.num_rows, step := max(1, CELLS // len(q))):
+                    some = b.slice(lo, step)
+                    best.add(unit_rows(some.column(1), width) @ q.T, some.column(0), -np.inf)
+            yield from best.rows(names)
+
+        return held.where(F.size("v") == width).mapInArrow(run, schema)
+
+    for width, same in groupby(rows.toLocalIterator(), lambda r: len(r.v)):
+        for part in _blocks(same, block, lambda r: width):
+            found = search(part)
+            out = found if out is None else out.unionByName(found)
     if out is None:
-        out = spark.createDataFrame([], f"query_id long, id {kind}, score double")
-    return _top(out, n)
+        out = spark.createDataFrame([], schema)
+    return _top(out.groupBy("query_id", "id").agg(F.max("score").alias("score")), n)
 
 
 def rrf(lists: list[DataFrame], n: int, k: int = RRF_K) -> DataFrame:

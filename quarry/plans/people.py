@@ -154,8 +154,7 @@ def org_closure(spark, d):
 
 
 def org_closure_recursive(spark, d):
-    _units(spark, d).createOrReplaceTempView("org_units_for_closure")
-    return spark.sql(access.closure_sql("org_units_for_closure", "u5"))
+    return access.closure_sql(_units(spark, d), "u5")
 
 
 def user_permissions(spark, d):

@@ -1,7 +1,7 @@
 """Readers of DOCX files, HTML pages, conversion archives and attendance ledgers, with the standard library only.
 
 A file is one row of a ``binaryFile`` DataFrame (path, content) and is parsed where it lies; what is broken or of another kind
-gives no rows.  The helpers take one file's bytes and yield its rows; they hold one file at a time.
+gives no rows, whatever it is that fails.  The helpers take one file's bytes and yield its rows; they hold one file at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BLOCKS = "path string, seq int, type string, text string, level int, rows array<
 IMAGES = "path string, name string, mime string, page int, caption string, heading string, bytes binary"
 #: fixed values: image types by extension, the marks of a ledger sheet
 MIME = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp", ".bmp": "image/bmp"}
+#: Columns that a word processor allows a table, the most a merged cell can span.
+MOST_COLUMNS = 63
 SEQ, IN, OUT = "序号", "上班", ("下班", "下")
 HEADINGS = ("中心", "岗位", "姓名")
 SYMBOLS = {"√": "√✓☑", "￥": "￥¥", "＄": "＄$", "×": "×xX✕", "★": "★*"}
@@ -43,7 +45,7 @@ def _each(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: s
             for path, content in zip(f["path"], f["content"]):
                 try:
                     out += [(path, *r) for r in parse(bytes(content or b""))]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, UnicodeDecodeError):
+                except Exception:  # whatever a broken, encrypted or odd file raises is that file's alone
                     continue
             yield pd.DataFrame(out, columns=names)
 
@@ -71,7 +73,8 @@ def _grid(table) -> list[list[str]]:
             down = None if pr is None else pr.find(W + "vMerge")
             goes_on = down is not None and down.get(W + "val", "continue") == "continue"
             text = "" if goes_on else " ".join(_words(p) for p in tc.findall(W + "p")).replace("\n", " ").strip()
-            row += [text] + [""] * (int(span.get(W + "val", "1")) - 1 if span is not None else 0)
+            wide = "1" if span is None else span.get(W + "val", "1")
+            row += [text] + [""] * (min(int(wide), MOST_COLUMNS) - 1 if wide.isdigit() else 0)
         out.append(row)
     return out
 
@@ -174,6 +177,7 @@ def parse_html(data: bytes) -> Iterator[tuple]:
 def parse_csv(data: bytes) -> Iterator[tuple]:
     import csv
 
+    csv.field_size_limit((1 << 31) - 1)  # a cell can be as long as its file
     rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"))) if any(c.strip() for c in r)]
     line = lambda r: "| " + " | ".join(c.strip().replace("|", r"\|").replace("\n", " ") for c in r) + " |"
     yield ("\n".join([line(rows[0]), "|" + " --- |" * len(rows[0]), *map(line, rows[1:])]) if rows else "",)

@@ -6,22 +6,12 @@ of what is available with :func:`run_available`; checkpoints make restarts exact
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's shared checkpoint directory (a temporary one where that is unset, as in tests)."""
-    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if base is None and master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = base or tempfile.mkdtemp(prefix="quarry-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from ..operators.shared import shared_folder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
