@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import inverted
 from ..operators import retrieval as r
+from ..operators.shared import shared_folder
 from .inputs import table
 
 TOP_N, TOP_K = 20, 3
@@ -27,6 +29,20 @@ def bm25_topk(spark, d):
     return t.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+def _index(spark, d):
+    path = shared_folder(spark, "inverted")
+    inverted.build(_chunks(spark, d), path, ["lang"])
+    return path
+
+
+def bm25_index(spark, d):
+    return inverted.terms(spark, _index(spark, d)).select("term", "df", F.round("best", 6).alias("best"))
+
+
+def indexed_topk(spark, d):
+    return inverted.search(spark, _index(spark, d), _queries(spark, d), TOP_N).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 def dense_topk(spark, d):
     v = _vectors(spark, d)
     q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
@@ -126,7 +142,7 @@ def reindex_worklist(spark, d):
     return r.reindex_worklist(v, doc.select("doc_id", F.expr("concat('v', doc_id)").alias("current_version_id")), doc.where("doc_id % 4 != 0").select(F.expr("concat('k', doc_id)").alias("storage_key")))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, rrf_hybrid, filtered_bm25, recall_mrr, recall_by_group, rerank_topk, parent_expand_budget, chunk_upsert, version_swap, citation_images, messages_with_citations, conversion_cache_misses, reindex_worklist)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_index, indexed_topk, dense_topk, rrf_hybrid, filtered_bm25, recall_mrr, recall_by_group, rerank_topk, parent_expand_budget, chunk_upsert, version_swap, citation_images, messages_with_citations, conversion_cache_misses, reindex_worklist)}
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
@@ -150,6 +166,8 @@ _METRICS = "count(*) scored, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END
 
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_HITS} SELECT query_id, id, rank, round(score, 6) score FROM bm",
+    "bm25_index": f"WITH t AS (SELECT doc_id id, {_TOK} ws FROM documents), sz AS (SELECT avg(len(ws)) avgdl FROM t), po AS (SELECT id, dl, term, count(*) tf FROM (SELECT id, len(ws) dl, unnest(ws) term FROM t) GROUP BY ALL) SELECT term, count(*) df, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avgdl FROM sz)))), 6) best FROM po GROUP BY term",
+    "indexed_topk": f"WITH {_HITS} SELECT query_id, id, rank, round(score, 6) score FROM bm",
     "dense_topk": "WITH " + _DENSE.format(w="q.vec_id % 50 = 0", n=10) + " SELECT query_id, id, rank, round(score, 4) score FROM dn",
     "rrf_hybrid": f"WITH {_bm25('true', TOP_N)}, " + _DENSE.format(w="q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT doc_id FROM documents)", n=TOP_N) + ", f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) score FROM (SELECT query_id, id, rank FROM bm WHERE query_id IN (SELECT vec_id FROM embeddings) UNION ALL SELECT query_id, id, rank FROM dn) GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INT) rank, round(score, 8) score FROM f QUALIFY rank <= 3",
     "filtered_bm25": f"WITH {_bm25("lang IN ('en', 'fr') AND source = 'src0'", 5)} SELECT query_id, id, rank FROM bm",

@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .records import parse_date
 
@@ -35,7 +36,7 @@ SYMBOLS = {"√": "√✓☑", "￥": "￥¥", "＄": "＄$", "×": "×xX✕", "
 
 
 def _each(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = DataType.fromDDL(schema).names
 
     def run(frames):
         import pandas as pd
