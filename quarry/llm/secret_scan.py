@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import cut, free_name
 
 #: Base kinds in their order, and the kind of added spans.
 BASE = ("assign", "access", "hex")
@@ -70,16 +70,25 @@ def words(text: Column) -> Column:
 def dictionary(docs: DataFrame, most: int = DICT_BYTES, text: str = "text") -> bytes:
     """At most ``most`` bytes of words: the code words and those that most documents of ``docs`` hold, the commonest last.
 
-    Every document counts; what is read from the counts is a top-k list of at most ``most`` / 4 words.
+    Every document counts.  Words of one count are taken or left together: the driver first gets how many
+    words have each count, and then at most ``most`` / 4 words, however many tasks there are.
     Copies of a secret in many documents bring in only its short runs of letters, which save little.
     """
     each = docs.select(F.explode(words(F.coalesce(docs[text].cast("string"), F.lit("")))).alias("w"))
-    top = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most // 4)
-    known, out = {}, 0
-    for w in [*CODE_WORDS, *(r.w for r in top.collect())]:
-        if w not in known and out + len(w) + 1 <= most:
-            known[w] = True
-            out += len(w) + 1
+    counts = cut(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total, least = 0, None
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(most // 4).toLocalIterator():
+        total += r.k
+        if total > most // 4:
+            break
+        least = r.n
+    top = counts.where(F.col("n") >= least).collect() if least is not None else []
+    known: dict[str, None] = {}
+    left = most
+    for w in [*CODE_WORDS, *(r.w for r in sorted(top, key=lambda r: (-r.n, r.w)))]:
+        if w not in known and len(w) < left:
+            known[w] = None
+            left -= len(w) + 1
     return " ".join(reversed(known)).encode()
 
 
@@ -106,8 +115,8 @@ class Novelty:
                 s += 1
             while e > s and text[e - 1] in ".-_/*":
                 e -= 1
-            cut = max(text.find("=", s, e - 2), s - 1) + 1  # name=value
-            s = cut if e - cut >= 12 else s
+            named = max(text.find("=", s, e - 2), s - 1) + 1  # name=value
+            s = named if e - named >= 12 else s
             while at < len(covered) and covered[at][1] <= s:
                 at += 1
             if e - s < 12 or at < len(covered) and covered[at][0] < e:
