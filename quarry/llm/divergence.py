@@ -5,13 +5,18 @@ All arithmetic is exact: whole numbers, with decimals where a product can outgro
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import cut
 
-#: Characters that never belong to a term: ASCII other than letters.
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: UTF-8 bytes of a text to those of its terms: ASCII capitals become small, other ASCII than letters parts terms.
+_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+#: Terms of groups that a task holds at most before it passes on its counts.
+MOST_HELD = 1 << 20
 #: Documents of a language that must hold a kept term, what every count is raised by, units of a share, ranks of a group's terms.
 MIN_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 
@@ -25,15 +30,37 @@ def share(count: Column, total: Column, terms: Column) -> Column:
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """(lang, source, term, tf, df): occurrences of each term in a group and documents of it that hold the term.
 
-    One pass over the texts.  A document gives its terms, and its distinct terms once more; tasks add up both
-    before the shuffle, so a hot group sends at most its vocabulary once a task.
+    One pass over the texts.  Tasks count before the shuffle, and pass on what they hold when it is MOST_HELD terms, so a
+    hot group sends about its vocabulary once a task and a task's memory is bounded by that and its longest text.
     """
-    words = F.split(ascii_lower(F.coalesce(docs[text].cast("string"), F.lit(""))), SEPARATORS)
-    d = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))), words.alias("_w"))
-    of = lambda words, first: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(first).alias("first")))
-    each = d.select("lang", "source", F.explode(F.concat(of(F.col("_w"), 0), of(F.array_distinct("_w"), 1))).alias("_t"))
-    first = F.col("_t.first")
-    return each.where(F.col("_t.term") != "").groupBy("lang", "source", F.col("_t.term").alias("term")).agg(F.sum(1 - first).alias("tf"), F.sum(first).alias("df"))
+    columns = (F.coalesce(docs[c].cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text")))
+
+    def run(batches):
+        held, size = {}, 0
+        for b in batches:
+            groups = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            for group, t in zip(groups, b.column(2).cast(pa.large_binary())):
+                words = t.as_py().translate(_WORDS).split()
+                tf, df = held.setdefault(group, (Counter(), Counter()))
+                size -= len(tf)
+                tf.update(words)
+                df.update(set(words))
+                size += len(tf)
+                if size > MOST_HELD:
+                    yield from _counts(held)
+                    held, size = {}, 0
+        yield from _counts(held)
+
+    found = docs.select(*columns).mapInArrow(run, "lang string, source string, term string, tf long, df long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def _counts(held: dict):
+    for (lang, source), (tf, df) in held.items():
+        n = len(tf)
+        term = pa.array(tf.keys(), pa.binary()).cast(pa.string())
+        counts = [pa.array(c.values(), pa.int64()) for c in (tf, {w: df[w] for w in tf})]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), term, *counts], names=["lang", "source", "term", "tf", "df"])
 
 
 def index(docs: DataFrame, min_docs: int = MIN_DOCS, lang: str = "lang", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
