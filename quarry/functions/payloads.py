@@ -43,13 +43,13 @@ def markdown_of(payload: Column, filename: Column) -> Column:
 
 
 def answers(df: DataFrame, payload: str, filename: str) -> DataFrame:
-    """``df`` with task_id, status, error, primary, markdown of the payloads (JSON text)."""
+    """``df`` with task_id, status, error, primary_file, markdown of the payloads (JSON text)."""
     v = parsed(F.col(payload))
     return df.withColumns({
         "task_id": text_at(v, "$.task_id", "$.data.task_id"),
         "status": text_at(v, "$.status", "$.data.status"),
         "error": text_at(v, "$.error", "$.message"),
-        "primary": primary_file(v),
+        "primary_file": primary_file(v),
         "markdown": markdown_of(v, F.coalesce(F.col(filename), F.lit(""))),
     })
 

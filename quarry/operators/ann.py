@@ -17,8 +17,10 @@ from pyspark.sql.types import StructType
 
 from .retrieval import CELLS, QUERY_BLOCK, Best, _blocks, _top, sound_vectors, unit_rows
 
-#: Vectors that the centroids are fitted on, lists at most, rounds of k-means, lists that a query probes.
-SAMPLE, MOST_LISTS, ROUNDS, PROBES = 1 << 16, 4096, 12, 8
+#: Vectors that the centroids are fitted on, lists at most, rounds of k-means.
+SAMPLE, MOST_LISTS, ROUNDS = 1 << 16, 4096, 12
+#: What an index's number of probes is measured by: sample vectors as queries, their nearest, and the share of those to be found.
+ASKED, NEAREST, RECALL = 512, 10, 0.95
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -50,6 +52,21 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def probes_for(x: np.ndarray, c: np.ndarray, share: float = RECALL) -> int:
+    """Lists that a query must probe to find ``share`` of its nearest, as measured on the sample.
+
+    The nearest of a sample lie farther than those of the whole, so that this errs on the side of more lists.
+    """
+    if len(x) < 2:
+        return 1
+    q = x[:: max(1, len(x) // ASKED)][:ASKED]
+    s = q @ x.T
+    s[s >= 1 - 1e-12] = -np.inf  # the query itself
+    near = np.argsort(-s, axis=1, kind="stable")[:, : min(NEAREST, len(x) - 1)]
+    place = np.argsort(nearest(q, c, len(c)), axis=1)  # of each list in the query's order
+    return int(np.quantile(np.take_along_axis(place, nearest(x, c, 1)[:, 0][near], 1), share, method="higher")) + 1
+
+
 def build(chunks: DataFrame, path: str, lists: int | None = None, sample: int = SAMPLE) -> None:
     """Write the index of chunks (id, vector) to ``path``: ``vectors`` by list, and ``lists``, which is written last.
 
@@ -69,7 +86,8 @@ def build(chunks: DataFrame, path: str, lists: int | None = None, sample: int =
     some = held.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("v").limit(2 * sample).toArrow()["v"]
     x = np.concatenate([np.zeros((0, width)), *(unit_rows(c, width) for c in some.chunks)])
     k = min(MOST_LISTS, lists or max(1, round(rows**0.5)))
-    sent = spark.sparkContext.broadcast(fit_centroids(x[np.lexsort(x.T)], k) if len(x) else np.zeros((1, width)))
+    x = x[np.lexsort(x.T)]
+    sent = spark.sparkContext.broadcast(fit_centroids(x, k) if len(x) else np.zeros((1, width)))
 
     def assign(batches):
         for b in batches:
@@ -81,13 +99,13 @@ def build(chunks: DataFrame, path: str, lists: int | None = None, sample: int =
     placed.hint("rebalance", F.col("list")).write.partitionBy("list").parquet(f"{path}/vectors")
     columns = F.lit(placed.schema.json()).alias("columns")
     each = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(sent.value)], "list int, centroid array<double>")
-    each.select("*", columns).coalesce(1).write.parquet(f"{path}/lists")
+    each.select("*", F.lit(probes_for(x, sent.value)).alias("probes"), columns).coalesce(1).write.parquet(f"{path}/lists")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, n: int, probes: int | None = PROBES, block: int = QUERY_BLOCK) -> DataFrame:
+def search(spark: SparkSession, path: str, queries: DataFrame, n: int, probes: int | None = 0, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank of ``n`` near chunks by cosine per query (query_id, vector): the best of the ``probes`` nearest lists.
 
-    With ``probes=None`` all lists are read and the result is that of ``dense_top``.  Only the folders of lists that some query of a
+    By default that is the number that the index was measured to need (``probes_for``).  With ``probes=None`` all lists are read and the result is that of ``dense_top``.  Only the folders of lists that some query of a
     block probes are read, and a list's vectors meet only the queries that probe it.  Queries are a stated set, sent in
     blocks; odd vectors and ids, and several vectors of one query id, are handled as in ``dense_top``.
     """
@@ -98,6 +116,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, n: int, probes: i
     of, width = queries.schema["query_id"].dataType, c.shape[1]
     schema = f"query_id {of.simpleString()}, id {columns['id'].dataType.simpleString()}, score double"
     asked = queries.select("query_id", sound_vectors(queries).alias("v")).where(F.size("v") == width).orderBy("query_id")
+    probes = rows[0].probes if probes == 0 else probes
     out = None
 
     def scan(part):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("timeline", "search", "people", "chunks", "attendance", "streams", "records", "services", "files", "pdfs")
+MODULES = ("timeline", "search", "people", "chunks", "attendance", "streams", "records", "services", "files", "pdfs", "stored")
 
 
 def _all(name: str) -> dict:

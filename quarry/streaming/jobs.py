@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.shared import shared_folder
+from ..operators.shared import cut, shared_folder
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -107,3 +108,51 @@ def route(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Memory jobs, which come first, and the others: two queries over one stream."""
     memory = F.col("type").isin("compress", "title")
     return jobs.where(memory), jobs.where(~memory)
+
+
+def work(jobs: DataFrame, key: str, steps: list, folder: str | None = None) -> str:
+    """One consumer of a queue with jobs of several kinds; returns the folder of results.
+
+    ``steps`` are (condition, handle), first come first: in every micro-batch the jobs of a step are handled and written before the next step's
+    handler is called, so memory jobs never wait behind an ingestion.  A job is handled by the first step whose condition it meets.
+    Results go under the step's and the batch's number.  If a handler or the process fails, the batch is not committed, and the next
+    start takes the same jobs again under the same number: what was already written is replaced, nothing is there twice, and a key that
+    comes again in a later batch is not handled again.
+    """
+    spark = jobs.sparkSession
+    out = folder or shared_folder(spark, "work")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = cut(batch.dropDuplicates([key]))
+        taken = F.lit(False)
+        for i, (condition, handle) in enumerate(steps):
+            mine = batch.where(F.coalesce(condition, F.lit(False)) & ~taken)
+            taken = taken | F.coalesce(condition, F.lit(False))
+            if number:
+                done = _done(spark, out, key, jobs.schema[key].dataType).where((F.col("step") == i) & (F.col("batch") < number))
+                mine = mine.join(done.select(key), key, "left_anti")
+            handle(mine).write.mode("overwrite").parquet(f"{out}/done/step={i}/batch={number}")
+
+    q = jobs.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return f"{out}/done"
+
+
+def _done(spark: SparkSession, out: str, key: str, kind) -> DataFrame:
+    schema = StructType([StructField(key, kind), StructField("step", LongType()), StructField("batch", LongType())])
+    return spark.read.schema(schema).parquet(f"{out}/done")
+
+
+def publish_versions(rows: DataFrame, versions: DataFrame, path: str, key: str = "version_id") -> None:
+    """Replace everything that ``path`` has of ``versions`` (key) by ``rows`` in one step: delete and write are one dynamic partition overwrite.
+
+    Done again, it leaves the same; other versions keep their files.  A version without rows is left with a row of nulls, which
+    ``published`` leaves out.  Rows of other versions than those given are an error in the caller and not written.
+    """
+    mine = rows.join(versions.select(key).distinct(), key, "left_semi").withColumn("_row", F.lit(True))
+    blank = versions.select(key).distinct().select(*(F.col(c) if c == key else F.lit(None).cast(mine.schema[c].dataType).alias(c) for c in mine.columns if c != "_row"), F.lit(False).alias("_row"))
+    mine.unionByName(blank).repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("_row").drop("_row")
