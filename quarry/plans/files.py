@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..sources import daily as D
 from ..sources import office as O
 from ..sources import workbook as W
 from .inputs import table
@@ -85,9 +86,39 @@ def ledger_sheet_days(spark, d):
     return O.ledger_days(W.rows_of(_files(sheets, F.col("g").cast("string"), build, "k", "n")))
 
 
-QUERIES = {f.__name__: f for f in (docx_blocks, docx_markdown, archive_images, html_markdown, csv_markdown, ledger_sheet_days)}
+def _daily_sheet(keys, nations, names, others) -> bytes:
+    rows = [["日报"], ["", "日期", "当前阶段", "我司人员", "", "现场施工人员"], ["", "", "", "工种", "姓名", ""]]
+    for k, n, name, other in sorted(zip(keys, nations, names, others)):
+        rows.append([k, f"2024-03-{1 + k % 10:02}", f"s{k % 3}", "", f"{name}、{other}", f"【公司人员】：{name} 1人【外包人员】：{other}"])
+    return W.write_workbook({"日报": rows})
 
+
+def _daily(spark, d):
+    """Daily reports of twenty customers each, two rows a day, from workbook bytes."""
+    han = lambda c: F.concat(F.lit("人"), F.translate(F.lpad((F.col(c) % 1000).cast("string"), 3, "0"), "0123456789", "赵钱孙李周吴郑王冯陈"))
+    c = table(spark, d, "customer").select((F.col("c_custkey") / 20).cast("long").alias("g"), F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), han("c_custkey").alias("a"), han("c_nationkey").alias("b"))
+    sheets = c.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "n", "a", "b"))).alias("s")).select("g", *(F.col(f"s.{x}").alias(x) for x in ("k", "n", "a", "b")))
+    return D.report(W.rows_of(_files(sheets, F.col("g").cast("string"), _daily_sheet, "k", "n", "a", "b"), as_is=True))
+
+
+def daily_report_days(spark, d):
+    return _daily(spark, d)[0].withColumn("work_date", F.col("work_date").cast("string"))
+
+
+def daily_report_warnings(spark, d):
+    return _daily(spark, d)[1]
+
+
+QUERIES = {f.__name__: f for f in (docx_blocks, docx_markdown, archive_images, html_markdown, csv_markdown, ledger_sheet_days, daily_report_days, daily_report_warnings)}
+
+_HAN = "'人' || translate(lpad(CAST({} % 1000 AS VARCHAR), 3, '0'), '0123456789', '赵钱孙李周吴郑王冯陈')"
+_DAILY = f"""WITH c AS (SELECT CAST(c_custkey // 20 AS VARCHAR) path, c_custkey k, {_HAN.format("c_custkey")} a, {_HAN.format("c_nationkey")} b, '2024-03-' || lpad(CAST(1 + c_custkey % 10 AS VARCHAR), 2, '0') dt, 's' || (c_custkey % 3) st, CAST(3 + row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) AS INT) r FROM customer),
+d AS (SELECT *, first_value(st) OVER w fs, min(r) OVER (PARTITION BY path, dt) fr, count(*) OVER (PARTITION BY path, dt) n FROM c WINDOW w AS (PARTITION BY path, dt ORDER BY r)),
+p AS (SELECT DISTINCT path, dt work_date, u.n person_name, u.k person_kind, fs stage, fr source_row FROM (SELECT *, unnest([{{'n': a, 'k': 'internal_formal'}}, {{'n': a, 'k': 'internal_contract'}}, {{'n': b, 'k': 'internal_contract'}}]) u FROM d))"""
 ORACLE_SQL = {
+    "daily_report_days": _DAILY + " SELECT * FROM p",
+    "daily_report_warnings": _DAILY + """ SELECT path, 'same_day_stage_conflict' code, r AS row, dt subject FROM d WHERE st != fs UNION ALL SELECT path, 'same_day_conflict', NULL, dt FROM d WHERE n > 1 AND r = fr
+UNION ALL SELECT path, 'name_kind_collision', NULL, person_name FROM p GROUP BY path, person_name HAVING count(DISTINCT person_kind) > 1""",
     "docx_blocks": "SELECT 'c' || c_custkey path, u.s seq, u.t AS type, u.x AS text, u.l AS level, u.i image, u.c cells FROM (SELECT c_custkey, unnest([{'s': 1, 't': 'heading', 'x': c_name, 'l': 2, 'i': NULL, 'c': NULL}, {'s': 2, 't': 'list', 'x': c_mktsegment, 'l': 0, 'i': NULL, 'c': NULL}, {'s': 3, 't': 'image', 'x': '', 'l': 0, 'i': 'word/media/a.png', 'c': NULL}, {'s': 4, 't': 'table', 'x': '', 'l': 0, 'i': NULL, 'c': 'head||k|' || c_custkey || '|m|'}]) u FROM customer)",
     "docx_markdown": "SELECT 'c' || c_custkey path, '## ' || c_name || chr(10) || chr(10) || '- ' || c_mktsegment || chr(10) || chr(10) || '![](word/media/a.png)' || chr(10) || chr(10) || '| head |  |' || chr(10) || '| --- | --- |' || chr(10) || '| k | ' || c_custkey || ' |' || chr(10) || '| m |  |' markdown FROM customer",
     "archive_images": "SELECT 'c' || c_custkey path, 'auto/images/a.png' AS name, 'image/png' mime, CAST(c_nationkey + 1 AS INT) page, 'fig ' || c_nationkey caption, c_name heading, CAST(length(c_name) AS INT) n FROM customer UNION ALL SELECT 'c' || c_custkey, 'auto/images/b.JPG', 'image/jpeg', 1, 'note', c_name, 1 FROM customer",

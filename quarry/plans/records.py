@@ -97,5 +97,5 @@ ORACLE_SQL = {
     "dominant_fonts": "WITH s AS (SELECT l_orderkey doc_id, l_quantity % 5 AS size, sum(length(l_returnflag)) n FROM lineitem GROUP BY ALL) SELECT doc_id, size FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size DESC) = 1",
     "tool_routing": "WITH x AS (SELECT n_nationkey, ['调休 汇总', '日报', 'hello', '加班'][n_nationkey % 4 + 1] t, ['a.xlsx', '日报.xlsx', '', 'x.pdf', 'y.txt'][n_nationkey % 5 + 1] f FROM nation), s AS (SELECT n_nationkey, CASE WHEN regexp_matches(f, '\\.xlsx?$') AND regexp_matches(t || f, '调休|加班') THEN 2 WHEN regexp_matches(f, '\\.xlsx?$') OR regexp_matches(t, '调休|加班') THEN 1 ELSE 0 END l, CASE WHEN regexp_matches(f, '\\.(xlsx?|pdf)$') AND (contains(t, '日报') OR contains(f, '日报')) THEN 2 WHEN regexp_matches(f, '\\.(xlsx?|pdf)$') OR contains(t, '日报') THEN 1 ELSE 0 END d FROM x) SELECT n_nationkey, ['none', 'weak', 'strong'][l + 1] leave, ['none', 'weak', 'strong'][d + 1] daily, CASE WHEN l = 0 AND d = 0 THEN NULL WHEN l = d THEN 'clarify' WHEN l > d THEN 'leave_ledger' ELSE 'staffing' END tool FROM s",
     "name_tokens": "SELECT n_nationkey, '甲乙,丙丁戊' || CASE WHEN n_nationkey % 3 = 0 THEN ',己庚' ELSE '' END names, '1234,12345,' || (n_nationkey + 100) codes FROM nation",
-    "file_readers": "SELECT n_nationkey, ['workbook', 'markdown', 'external', 'unsupported', 'unsupported'][n_nationkey % 5 + 1] reader FROM nation",
+    "file_readers": "SELECT n_nationkey, ['workbook', 'markdown', 'pdf', 'unsupported', 'unsupported'][n_nationkey % 5 + 1] reader FROM nation",
 }

@@ -47,8 +47,12 @@ def format_value(value: float, is_date: bool) -> str:
     return str(int(value)) if value == int(value) else f"{value:g}"
 
 
-def read_workbook(data: bytes):
-    """(sheet, sheet number, row number, cells) of every visible sheet."""
+def read_workbook(data: bytes, as_is: bool = False):
+    """(sheet, sheet number, row number, cells) of every visible sheet.
+
+    Rows are numbered among those that hold anything, and a merged range shows its text in every cell; ``as_is``, rows keep
+    their place in the sheet, and only the first cell of a merged range shows its text.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = [_text(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
@@ -95,7 +99,7 @@ def read_workbook(data: bytes):
                         value = raw or (f"={formula}" if formula else "")
                     grid.setdefault(r, {})[col] = " ".join(value.split())
             for m in root.iter():
-                if _local(m.tag) == "mergeCell":
+                if _local(m.tag) == "mergeCell" and not as_is:
                     a, _, b = m.get("ref").partition(":")
                     top, left = int(re.sub(r"\D", "", a)) - 1, _column(a)
                     bottom, right = int(re.sub(r"\D", "", b or a)) - 1, _column(b or a)
@@ -105,7 +109,7 @@ def read_workbook(data: bytes):
                             grid.setdefault(r, {})[c] = value
             for i, r in enumerate(sorted(k for k, v in grid.items() if any(v.values()))):
                 cells = grid[r]
-                yield s.get("name"), number, i, [cells.get(c, "") for c in range(max(cells) + 1)]
+                yield s.get("name"), number, r if as_is else i, [cells.get(c, "") for c in range(max(cells) + 1)]
 
 
 def write_workbook(sheets: dict[str, list[list[object]]]) -> bytes:
@@ -129,8 +133,8 @@ def write_workbook(sheets: dict[str, list[list[object]]]) -> bytes:
     return out.getvalue()
 
 
-def rows_of(files: DataFrame) -> DataFrame:
-    """Rows of all workbooks of a ``binaryFile`` DataFrame (path, content); files that are no workbooks give none."""
+def rows_of(files: DataFrame, as_is: bool = False) -> DataFrame:
+    """Rows of all workbooks of a ``binaryFile`` DataFrame (path, content), as ``read_workbook`` gives them; files that are no workbooks, or broken ones, give none."""
 
     def run(frames):
         import pandas as pd
@@ -138,8 +142,11 @@ def rows_of(files: DataFrame) -> DataFrame:
         for f in frames:
             out = []
             for path, content in zip(f["path"], f["content"]):
-                if bytes(content[:2]) == b"PK":
-                    out += [(path, *r) for r in read_workbook(bytes(content))]
+                if bytes((content or b"")[:2]) == b"PK":
+                    try:
+                        out += [(path, *r) for r in read_workbook(bytes(content), as_is)]
+                    except Exception:  # whatever a broken file raises is that file's alone
+                        continue
             yield pd.DataFrame(out, columns=["path", "sheet", "sheet_no", "row", "cells"])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
@@ -178,7 +185,7 @@ class XlsxRows(DataSource):
 
 
 #: Reader by extension; the others need a service or a parser that is not here.
-FORMATS = {"xlsx": "workbook", "md": "markdown", "txt": "text", "csv": "csv", "json": "json", "html": "html", "htm": "html", "zip": "archive", "pdf": "external", "docx": "docx", "pptx": "external", "png": "external", "jpg": "external", "jpeg": "external"}
+FORMATS = {"xlsx": "workbook", "md": "markdown", "txt": "text", "csv": "csv", "json": "json", "html": "html", "htm": "html", "zip": "archive", "pdf": "pdf", "docx": "docx", "pptx": "external", "png": "external", "jpg": "external", "jpeg": "external"}
 
 
 def reader_for(path) -> "F.Column":
