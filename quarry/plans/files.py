@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources import daily as D
+from ..sources import ledger_sheet as L
 from ..sources import office as O
 from ..sources import workbook as W
+from . import timeline
 from .inputs import table
 
 _NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -109,13 +111,24 @@ def daily_report_warnings(spark, d):
     return _daily(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (docx_blocks, docx_markdown, archive_images, html_markdown, csv_markdown, ledger_sheet_days, daily_report_days, daily_report_warnings)}
+def ledger_round_trip(spark, d):
+    """The ledger, exported as one workbook a department, read back from their bytes."""
+    made = timeline._ledger(spark, d).withColumn("department", F.coalesce("department", F.lit("")))
+    read = L.imported(W.rows_of(L.export(made, F.col("department")), as_is=True))
+    dates = F.array_join(F.transform("ot_days", lambda x: F.concat(x["date"], F.when(x["holiday"], "(法定)").otherwise(""))), "、")
+    ends = [F.coalesce(f(F.transform("travel_segments", lambda s: s[c])), F.lit("")).alias(n) for f, c, n in ((F.array_min, "system_start", "system_travel_start"), (F.array_max, "system_end", "system_travel_end"), (F.array_min, "actual_start", "actual_travel_start"), (F.array_max, "actual_end", "actual_travel_end"))]
+    leaves = [F.coalesce(f(F.transform("leave_segments", lambda s: s[c])), F.lit("")).alias(n) for f, c, n in ((F.array_min, "start", "leave_start"), (F.array_max, "end", "leave_end"))]
+    return read.select("person_name", "center", "department", *ends, "travel_comp_days", dates.alias("ot_dates"), "ot_comp_days", "total_comp_days", *leaves, "used_comp_days", "remaining_comp_days", "remark")
+
+
+QUERIES = {f.__name__: f for f in (docx_blocks, docx_markdown, archive_images, html_markdown, csv_markdown, ledger_sheet_days, daily_report_days, daily_report_warnings, ledger_round_trip)}
 
 _HAN = "'人' || translate(lpad(CAST({} % 1000 AS VARCHAR), 3, '0'), '0123456789', '赵钱孙李周吴郑王冯陈')"
 _DAILY = f"""WITH c AS (SELECT CAST(c_custkey // 20 AS VARCHAR) path, c_custkey k, {_HAN.format("c_custkey")} a, {_HAN.format("c_nationkey")} b, '2024-03-' || lpad(CAST(1 + c_custkey % 10 AS VARCHAR), 2, '0') dt, 's' || (c_custkey % 3) st, CAST(3 + row_number() OVER (PARTITION BY c_custkey // 20 ORDER BY c_custkey) AS INT) r FROM customer),
 d AS (SELECT *, first_value(st) OVER w fs, min(r) OVER (PARTITION BY path, dt) fr, count(*) OVER (PARTITION BY path, dt) n FROM c WINDOW w AS (PARTITION BY path, dt ORDER BY r)),
 p AS (SELECT DISTINCT path, dt work_date, u.n person_name, u.k person_kind, fs stage, fr source_row FROM (SELECT *, unnest([{{'n': a, 'k': 'internal_formal'}}, {{'n': a, 'k': 'internal_contract'}}, {{'n': b, 'k': 'internal_contract'}}]) u FROM d))"""
 ORACLE_SQL = {
+    "ledger_round_trip": timeline.ORACLE_SQL["ledger_full"],
     "daily_report_days": _DAILY + " SELECT * FROM p",
     "daily_report_warnings": _DAILY + """ SELECT path, 'same_day_stage_conflict' code, r AS row, dt subject FROM d WHERE st != fs UNION ALL SELECT path, 'same_day_conflict', NULL, dt FROM d WHERE n > 1 AND r = fr
 UNION ALL SELECT path, 'name_kind_collision', NULL, person_name FROM p GROUP BY path, person_name HAVING count(DISTINCT person_kind) > 1""",
