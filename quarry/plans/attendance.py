@@ -127,7 +127,36 @@ _ALL = f"WITH {_PUNCH}, {_LOC}, {_TRAVEL}"
 _FF = "f AS (SELECT t.seq, min(wd) fd FROM t JOIN loc ON loc.person = t.person AND wd BETWEEN s AND e AND kind IN ('field', 'other_company') GROUP BY t.seq)"
 _ISL = "SELECT *, sum(o) OVER (PARTITION BY person ORDER BY wd) g FROM (SELECT *, CASE WHEN wd - lag(wd) OVER (PARTITION BY person ORDER BY wd) = 1 THEN 0 ELSE 1 END o FROM "
 
+#: The month's grid, step by step: bare labels cleared, trips shifted, made from punches abroad and gone on with in the field, days clipped, symbols.
+_GRID = f"""{_ALL},
+l AS (SELECT seq, person, wd, side, status, CASE WHEN aw AND address IN ('NORTHCO', 'SOUTHCO') AND abroad IS NULL THEN 'unknown' ELSE kind END kind, abroad FROM (SELECT *, bool_or(kind IN ('field', 'other_company') OR abroad IS NOT NULL) OVER (PARTITION BY person, wd) aw FROM loc)),
+f2 AS (SELECT t.seq, min(wd) fd FROM t JOIN l ON l.person = t.person AND wd BETWEEN s AND e AND kind IN ('field', 'other_company') WHERE ok AND ab GROUP BY t.seq),
+t2 AS (SELECT person, ab, greatest(s, coalesce(fd, s)) s, e, 'own' src FROM t LEFT JOIN f2 ON f2.seq = t.seq WHERE ok),
+x AS (SELECT DISTINCT person, wd FROM l WHERE abroad IS NOT NULL AND kind != 'base_company' AND NOT EXISTS (SELECT 1 FROM t2 WHERE t2.person = l.person AND wd BETWEEN s AND e)),
+xi AS ({_ISL} x)),
+t3 AS (SELECT * FROM t2 UNION ALL SELECT person, true, min(wd), max(wd), 'made' FROM xi GROUP BY person, g),
+y AS (SELECT * FROM (SELECT person, wd FROM l WHERE abroad IS NULL AND kind IN ('field', 'base_company') GROUP BY person, wd HAVING NOT bool_or(kind = 'base_company')) q WHERE NOT EXISTS (SELECT 1 FROM t3 WHERE t3.person = q.person AND wd BETWEEN s AND e)),
+yi AS ({_ISL} y)),
+more AS (SELECT DISTINCT yi.person, false ab, yi.wd s, z.b e, 'more' src FROM yi JOIN (SELECT person, g, max(wd) b FROM yi GROUP BY ALL) z ON z.person = yi.person AND z.g = yi.g JOIN t2 ON t2.person = yi.person AND yi.wd = t2.e + 1),
+trips AS (SELECT *, row_number() OVER () id FROM (SELECT * FROM t3 UNION ALL SELECT * FROM more)),
+pd AS (SELECT person, wd, bool_or(kind = 'base_company') base, bool_or(kind IN ('field', 'other_company') OR abroad IS NOT NULL) aw FROM l GROUP BY ALL),
+mo AS (SELECT DATE '2024-01-01' + i::INT dd FROM range(31) r(i)),
+td AS (SELECT trips.*, dd, coalesce(base, false) base, coalesce(aw, false) aw FROM trips JOIN mo ON dd BETWEEN s AND e LEFT JOIN pd ON pd.person = trips.person AND pd.wd = dd),
+tc AS (SELECT *, dd = s AND base AND NOT aw home FROM td),
+tk AS (SELECT *, min(CASE WHEN base AND NOT home THEN CASE WHEN aw THEN dd + 1 ELSE dd END END) OVER (PARTITION BY id) clip FROM tc),
+away AS (SELECT person, dd, bool_or(ab) ab FROM tk WHERE (clip IS NULL OR dd < clip) AND NOT home GROUP BY ALL),
+lv AS (SELECT DISTINCT person, dd, side FROM (SELECT person, st, pm, st + unnest(range(k + 1))::INT AS dd FROM (SELECT 'w' || o_custkey person, DATE '2024-01-01' + CAST(o_orderkey * 3 % 31 AS INT) st, CAST(o_custkey % 2 AS INT) k, o_orderkey % 100 = 1 pm FROM orders)), (SELECT unnest(['in', 'out']) side) WHERE NOT (dd = st AND pm AND side = 'in')),
+seen AS (SELECT person, wd, side, bool_or(status = '迟到') late, bool_or(kind = 'base_company') hq, bool_or(seq % 17 = 0) says, bool_or(abroad IS NOT NULL) far FROM l WHERE status != '缺卡' GROUP BY ALL),
+who AS (SELECT 'w' || c_custkey person, c_custkey % 40 = 0 gone FROM customer),
+gr AS (SELECT who.person, dd, side FROM who LEFT JOIN (SELECT person, max(wd) til FROM l GROUP BY person) u ON u.person = who.person, mo, (SELECT unnest(['in', 'out']) side) WHERE isodow(dd) <= 5 AND (NOT gone OR dd <= coalesce(til, DATE '1970-01-01'))),
+j AS (SELECT gr.*, away.person IS NOT NULL trav, coalesce(away.ab, false) ab, lv.person IS NOT NULL lve, seen.person IS NOT NULL pun, coalesce(late, false) late, coalesce(hq, false) hq, coalesce(says, false) says, coalesce(far, false) far FROM gr LEFT JOIN away ON away.person = gr.person AND away.dd = gr.dd LEFT JOIN lv ON lv.person = gr.person AND lv.dd = gr.dd AND lv.side = gr.side LEFT JOIN seen ON seen.person = gr.person AND seen.wd = gr.dd AND seen.side = gr.side),
+grid AS (SELECT *, trav AND lve conflict, CASE WHEN (trav OR says AND NOT hq) AND pun AND NOT hq THEN CASE WHEN ab OR far THEN '＄' ELSE '￥' END WHEN lve AND NOT (trav AND lve) AND NOT (says AND NOT hq) THEN '假' WHEN pun THEN '√' ELSE '×' END symbol FROM j)"""
+
 ORACLE_SQL = {
+    "month_grid": f"{_GRID} SELECT person, CAST(dd AS VARCHAR) AS \"day\", side, symbol, conflict FROM grid",
+    "month_tallies": f"""{_GRID} SELECT person, count(DISTINCT dd) required, (SELECT count(*) FROM (SELECT dd FROM grid h WHERE h.person = grid.person GROUP BY dd HAVING count(*) FILTER (WHERE symbol = '×') = 2)) absent, sum(CASE WHEN symbol = '√' THEN 0.5 ELSE 0.0 END)::DOUBLE present, sum(CASE WHEN symbol = '￥' THEN 0.5 ELSE 0.0 END)::DOUBLE domestic, sum(CASE WHEN symbol = '＄' THEN 0.5 ELSE 0.0 END)::DOUBLE overseas, sum(CASE WHEN symbol = '假' THEN 0.5 ELSE 0.0 END)::DOUBLE "leave", CAST(count(*) FILTER (WHERE late) AS BIGINT) late, CAST(count(*) FILTER (WHERE symbol = '×') AS BIGINT) missing FROM grid GROUP BY person""",
+    "month_symbol_rows": f"{_GRID} SELECT person, side, " + ", ".join(f"max(CASE WHEN day(dd) = {i} THEN symbol END) d{i:02}" for i in range(1, 32)) + " FROM grid GROUP BY person, side",
+    "leave_travel_conflicts": f"{_GRID} SELECT DISTINCT person, CAST(dd AS VARCHAR) AS \"day\" FROM grid WHERE conflict",
     "punch_locations": f"{_ALL} SELECT seq, person, kind, abroad FROM loc",
     "mixed_day_addresses": f"{_ALL}, m AS (SELECT *, bool_or(kind IN ('field', 'other_company') OR abroad IS NOT NULL) OVER (PARTITION BY person, wd) aw FROM loc) SELECT seq, CASE WHEN aw AND address IN ('NORTHCO', 'SOUTHCO') THEN '' ELSE address END address, CASE WHEN aw AND address IN ('NORTHCO', 'SOUTHCO') THEN 'unknown' ELSE kind END kind FROM m",
     "overseas_travel_runs": f"{_ALL}, x AS (SELECT DISTINCT person, wd FROM loc WHERE abroad IS NOT NULL AND kind != 'base_company' AND NOT EXISTS (SELECT 1 FROM t WHERE ok AND t.person = loc.person AND wd BETWEEN s AND e)), i AS ({_ISL} x)) SELECT person, CAST(min(wd) AS VARCHAR) AS start, CAST(max(wd) AS VARCHAR) AS \"end\" FROM i GROUP BY person, g",
