@@ -283,13 +283,13 @@ def merge_ledgers(prior: DataFrame, current: DataFrame, holidays: DataFrame, gap
     trips = s.select("person_name", actual("actual_start").alias("actual_start"), actual("actual_end").alias("actual_end"), actual("system_start").alias("_ss"), actual("system_end").alias("_se")).where("actual_start is not null and actual_end is not null")
     trips = trips.select("person_name", "actual_start", "actual_end", F.coalesce("_ss", "actual_start").alias("system_start"), F.coalesce("_se", "actual_end").alias("system_end"))
     segs = travel_segments(trips, gap_days)
-    first = lambda *k: Window.partitionBy("person_name", *k).orderBy("_p")  # noqa: E731  the prior period is 0
-    ot = both.select("person_name", "_p", F.explode("ot_days").alias("d")).select("person_name", "_p", F.col("d.date").alias("date"), F.col("d.credit").alias("credit")).where("date != ''")
+    first = lambda *k: Window.partitionBy("person_name", *k).orderBy("_p", "_i")  # noqa: E731  the prior period is 0, then the lists' order
+    ot = both.select("person_name", "_p", F.posexplode("ot_days").alias("_i", "d")).select("person_name", "_p", "_i", F.col("d.date").alias("date"), F.col("d.credit").alias("credit")).where("date != ''")
     ot = ot.withColumn("_r", F.row_number().over(first("date"))).where("_r = 1").withColumn("day", F.to_date(F.substring("date", 1, 10)))
     ot = ot.join(holidays.select("day", F.lit(True).alias("holiday")).distinct(), "day", "left").na.fill(False, ["holiday"])
     in_travel = inside_any(ot.where("not holiday"), segs, ["person_name"], "day", "actual_start", "actual_end", "left_anti")
     ot = ot.where("holiday").unionByName(in_travel.select(*ot.columns))
-    lv = both.select("person_name", "_p", F.explode("leave_segments").alias("l")).select("person_name", "_p", "l.start", "l.end", "l.used_days")
+    lv = both.select("person_name", "_p", F.posexplode("leave_segments").alias("_i", "l")).select("person_name", "_p", "_i", "l.start", "l.end", "l.used_days")
     lv = lv.withColumn("_r", F.row_number().over(first("start", "end"))).where("_r = 1")
     t = segs.groupBy("person_name").agg(F.min("actual_start").cast("string").alias("actual_travel_start"), F.max("actual_end").cast("string").alias("actual_travel_end"), F.sum("credit").alias("travel_comp_days"))
     o = ot.groupBy("person_name").agg(F.sum("credit").alias("ot_comp_days"), overtime_labels(F.sort_array(F.collect_list(F.struct("date", "credit", "holiday")))).alias("ot_dates"))

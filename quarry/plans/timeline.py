@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import intervals, ledger
@@ -187,7 +189,42 @@ _WARN = """w AS (SELECT 'approval_not_passed' code, applicant person, NULL date,
 UNION ALL SELECT 'travel_missing_dates', applicant, NULL, true FROM ok WHERE e IS NULL UNION ALL SELECT 'travel_category_unknown', applicant, NULL, false FROM ok WHERE e IS NOT NULL AND category = '其他'
 UNION ALL SELECT 'hq_address_unknown', person, CAST(s AS VARCHAR), true FROM trips WHERE unknown UNION ALL SELECT reason, person, CAST(work_date AS VARCHAR), true FROM credits WHERE reason != 'credited')"""
 
+
+def _of_period(number: int, early: str) -> str:
+    """The tables of one of two periods, each with its number at its name."""
+    parts = [f"{n}_ AS (SELECT * FROM {n} WHERE {w} = {early})" for n, w in (("travel", "(s < DATE '2024-02-01')"), ("overtime", "(seq % 2 = 0)"), ("leave", "(seq % 4 = 0)"))]
+    names = re.compile(r"\b(travel|overtime|leave|ok|trips|isl|segs|credits|used)\b(?!_)")
+    steps = [names.sub(r"\1_", inputs.SQL[k]) for k in ("trips", "merged", "credits")] + [names.sub(r"\1_", _LEDGER.split(",\nt AS")[0])]
+    return re.sub(r"\b(travel|overtime|leave|ok|trips|isl|segs|credits|used)_(?![a-z])", rf"\g<1>{number}", ",\n".join(parts + steps))
+
+
+_MERGED = f"""{ctes("travel", "overtime", "leave", "punch", "holidays", "pday")},
+{_of_period(0, "true")},
+{_of_period(1, "false")},
+who AS (SELECT person FROM trips0 UNION SELECT applicant FROM overtime WHERE status = '已通过' UNION SELECT person FROM used0 UNION SELECT person FROM trips1 UNION SELECT person FROM used1),
+ms AS (SELECT person, a s, b ae FROM segs0 UNION ALL SELECT person, a, b FROM segs1),
+mi AS (SELECT *, sum(CASE WHEN s <= reach + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY person ORDER BY s, ae ROWS UNBOUNDED PRECEDING) island FROM (SELECT *, max(ae) OVER (PARTITION BY person ORDER BY s, ae ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) reach FROM ms)),
+mg AS (SELECT person, min(s) a, max(ae) b, floor((max(ae) - min(s) + 1) / 30) * 2.0 credit FROM mi GROUP BY person, island),
+d AS (SELECT * FROM (SELECT 0 p, * FROM credits0 UNION ALL SELECT 1, * FROM credits1) QUALIFY row_number() OVER (PARTITION BY person, work_date ORDER BY p, seq) = 1),
+dk AS (SELECT * FROM d WHERE holiday OR NOT EXISTS (SELECT 1 FROM mg WHERE mg.person = d.person AND work_date BETWEEN a AND b)),
+v AS (SELECT * FROM (SELECT 0 p, * FROM used0 UNION ALL SELECT 1, * FROM used1) WHERE days > 0 QUALIFY row_number() OVER (PARTITION BY person, s, e ORDER BY p, seq) = 1),
+mt AS (SELECT person, min(a) a, max(b) b, sum(credit) c FROM mg GROUP BY person),
+md AS (SELECT person, sum(CASE WHEN reason = 'credited' THEN 1.0 ELSE 0.0 END) c, string_agg(CASE WHEN reason = 'credited' THEN CAST(work_date AS VARCHAR) || CASE WHEN holiday THEN '(法定)' ELSE '' END END, '、' ORDER BY work_date) d FROM dk GROUP BY person),
+mv AS (SELECT person, sum(days) c, min(s) s, max(e) e FROM v GROUP BY person)
+SELECT who.person person_name, coalesce(CAST(mt.a AS VARCHAR), '') actual_travel_start, coalesce(CAST(mt.b AS VARCHAR), '') actual_travel_end, coalesce(mt.c, 0.0)::DOUBLE travel_comp_days, coalesce(md.d, '') ot_dates, coalesce(md.c, 0.0)::DOUBLE ot_comp_days,
+coalesce(CAST(mv.s AS VARCHAR), '') leave_start, coalesce(CAST(mv.e AS VARCHAR), '') leave_end, coalesce(mv.c, 0.0)::DOUBLE used_comp_days, (coalesce(mt.c, 0.0) + coalesce(md.c, 0.0) - coalesce(mv.c, 0.0))::DOUBLE remaining_comp_days
+FROM who LEFT JOIN mt USING (person) LEFT JOIN md USING (person) LEFT JOIN mv USING (person)"""
+_CRC = "list_reduce(list_concat([4294967295], flatten(list_transform(string_split(person, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"
+
 ORACLE_SQL = {
+    "ledger_merge_prior": _MERGED,
+    "ledger_export_rows": ctes(*_BASE) + f""",
+{_LEDGER},
+xa AS (SELECT person, row_number() OVER (PARTITION BY person ORDER BY island) - 1 k, a, b FROM segs), xb AS (SELECT person, row_number() OVER (PARTITION BY person ORDER BY seq) - 1 k, work_date FROM credits WHERE reason = 'credited'),
+xc AS (SELECT person, row_number() OVER (PARTITION BY person ORDER BY seq) - 1 k, s FROM used WHERE days > 0), ks AS (SELECT person, k FROM xa UNION SELECT person, k FROM xb UNION SELECT person, k FROM xc UNION SELECT person_name, 0 FROM ledger)
+SELECT ks.person person_name, CAST(k AS INT) AS row, CAST(a AS VARCHAR) travel_start, CAST(b AS VARCHAR) travel_end, CAST(work_date AS VARCHAR) ot_date, CAST(s AS VARCHAR) leave_start, CASE WHEN k = 0 THEN total_comp_days END total_comp_days, CASE WHEN k = 0 THEN used_comp_days END used_comp_days, CASE WHEN k = 0 THEN remaining_comp_days END remaining_comp_days
+FROM ks LEFT JOIN xa USING (person, k) LEFT JOIN xb USING (person, k) LEFT JOIN xc USING (person, k) JOIN ledger ON person_name = ks.person""",
+    "open_blocking_warnings": ctes(*_BASE) + f" SELECT reason code, person, CAST(work_date AS VARCHAR) date FROM credits WHERE reason != 'credited' AND xor({_CRC}, 4294967295) & 1 = 1",
     "stints_by_user": f"WITH {_RUNS} SELECT user_id, CAST(run AS INT) AS \"index\", CAST(min(day) AS VARCHAR) entry_date, CAST(max(day) AS VARCHAR) exit_date, count(*) AS days FROM runs GROUP BY user_id, run",
     "stint_stage_counts": f"WITH {_STAGE} SELECT user_id, stage, count(*) AS days FROM stage WHERE trim(stage) != '' GROUP BY ALL",
     "stint_stage_labels": f"WITH {_RUNS}, {_STAGE}, s AS (SELECT user_id, run, min(day) entry_date, count(*) AS days FROM runs GROUP BY ALL), c AS (SELECT user_id, run, stage, count(*) n FROM runs JOIN stage USING (user_id, day) GROUP BY ALL) SELECT user_id, CAST(run AS INT) AS \"index\", CAST(any_value(entry_date) AS VARCHAR) entry_date, any_value(days) AS days, string_agg(CASE WHEN n = days THEN stage ELSE stage || '(' || n || '天)' END, '、' ORDER BY stage) stage_label FROM s JOIN c USING (user_id, run) GROUP BY user_id, run",
