@@ -202,7 +202,37 @@ QUERIES = {f.__name__: f for f in (fixed_window_chunks, paragraph_split, heading
 _LINES = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) t, CAST(unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS INT) seq FROM documents)"
 _HEAD = r"(length(t) <= 60 AND t != '' AND NOT regexp_matches(t, '^\d+$') AND NOT regexp_matches(t, '[。！？!?;；]$') AND (NOT regexp_matches(t, '[a-zA-Z]{4,}') OR len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w != '')) <= 12))"
 
+_STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_END = "。！？!?;；"
+_SENTENCES = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') x, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^{_END}]*[{_END}]|[^{_END}]+'), lambda p: {_STRIP("p")}), lambda p: p != '') r FROM documents),
+w AS (SELECT doc_id, x, r, CAST(0 AS BIGINT) i, '' cur, CAST([] AS VARCHAR[]) got FROM d
+UNION ALL SELECT doc_id, x, r, i + 1, CASE WHEN cur != '' AND length(cur) + length(rest) > 200 THEN rest ELSE cur || rest END, list_concat(list_transform(range(n), lambda k: substr(p, k * 200 + 1, 200)), CASE WHEN cur != '' AND length(cur) + length(rest) > 200 THEN [cur] ELSE [] END)
+FROM (SELECT *, substr(p, n * 200 + 1) rest FROM (SELECT *, r[i + 1] p, (length(r[i + 1]) - 1) // 200 n FROM w WHERE i < len(r)))),
+g AS (SELECT doc_id, i, unnest(got) w, unnest(range(len(got))) k FROM w UNION ALL SELECT doc_id, i + 1, cur, 0 FROM w WHERE i = len(r) AND cur != ''),
+h AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 i FROM g)
+SELECT doc_id, CAST(i AS INT) i, w FROM h UNION ALL SELECT doc_id, 0, substr(x, 1, 200) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM h)"""
+_WINDOWS = """WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) r FROM documents),
+w AS (SELECT doc_id, r, CAST(0 AS BIGINT) i, CAST([] AS VARCHAR[]) cur, CAST(NULL AS BIGINT) n FROM d
+UNION ALL SELECT doc_id, r, i + 1, list_append(CASE WHEN o THEN cur[-greatest(1, len(list_filter(range(1, len(cur) + 1), lambda j: length(array_to_string(cur[-j:], chr(10))) <= 80))) :] ELSE cur END, r[i + 1]), CASE WHEN o THEN length(array_to_string(cur, chr(10))) END
+FROM (SELECT *, len(cur) > 0 AND length(array_to_string(cur, chr(10))) + length(r[i + 1]) + 2 > 800 o FROM w WHERE i < len(r))),
+g AS (SELECT doc_id, i, n FROM w WHERE n IS NOT NULL UNION ALL SELECT doc_id, i + 1, length(array_to_string(cur, chr(10))) FROM w WHERE i = len(r))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) i, CAST(n AS INT) n FROM g"""
+_MD = "'<!-- PAGE:1 -->\n# T' || doc_id || '\n\n' || replace(coalesce(text, ''), chr(10), '\n\n') || '\n\n<!-- PAGE:2 -->\n## Part\n\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | x' || doc_id || ' |\n| 2 | |\n\n### Deep\n```\ncode | ' || doc_id || '\n\n# not a heading\n```\n# Last\n![cap](' || md5(CAST(doc_id AS VARCHAR)) || ')\nend\n'"
+_BLOCKS = f"""WITH m AS (SELECT doc_id, string_split({_MD}, chr(10)) r FROM documents), l AS (SELECT doc_id, unnest(r) raw, unnest(range(len(r))) n FROM m),
+a AS (SELECT *, {_STRIP("raw")} s FROM l), f AS (SELECT *, starts_with(s, '```') fence FROM a), b AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 inside FROM f),
+k AS (SELECT *, CASE WHEN inside = 1 OR fence THEN 'code' WHEN regexp_matches(s, '^<!--\\s*PAGE:\\s*(\\d+)\\s*-->') THEN 'page' WHEN regexp_matches(s, '^(#{{1,6}})\\s+(.+)$') THEN 'heading' WHEN regexp_matches(s, '^\\|.*\\|') THEN 'table' WHEN regexp_matches(s, '^!\\[([^\\]]*)\\]\\(([^)]*)\\)') THEN 'image' WHEN regexp_matches(raw, '^\\s*(?:[-*+]|\\d+[.)])\\s+(.+)$') THEN 'list' WHEN s = '' THEN 'blank' ELSE 'paragraph' END kind FROM b),
+o AS (SELECT *, coalesce(lag(kind) OVER w = kind AND kind IN ('table', 'list', 'paragraph', 'code') AND NOT (fence AND inside = 0), false) same, coalesce(last_value(CASE WHEN kind = 'page' THEN CAST(regexp_extract(s, '(\\d+)', 1) AS INT) END IGNORE NULLS) OVER w, 0) page FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+i AS (SELECT *, sum((NOT same)::INT) OVER (PARTITION BY doc_id ORDER BY n) b FROM o),
+bl AS (SELECT doc_id, b, any_value(kind) AS type, min(page) page, arg_min(s, n) s, list(raw ORDER BY n) raws, count(*) FILTER (regexp_matches(s, '^\\|.*\\|$') AND NOT regexp_matches(s, '^\\|[\\s:|-]+\\|?$')) grid FROM i WHERE kind NOT IN ('blank', 'page') GROUP BY doc_id, b),
+bk AS (SELECT *, CASE WHEN type = 'heading' THEN length(regexp_extract(s, '^(#{{1,6}})\\s+(.+)$', 1)) ELSE 0 END AS level, CASE type WHEN 'heading' THEN regexp_extract(s, '^(#{{1,6}})\\s+(.+)$', 2) WHEN 'image' THEN regexp_extract(s, '^!\\[([^\\]]*)\\]', 1) WHEN 'list' THEN array_to_string(list_transform(raws, lambda x: {_STRIP("regexp_extract(x, '^\\s*(?:[-*+]|\\d+[.)])\\s+(.+)$', 1)")}), chr(10)) ELSE array_to_string(raws, chr(10)) END said FROM bl WHERE type != 'table' OR grid > 0)"""
+
 ORACLE_SQL = {
+    "unique_column_names": "WITH n AS (SELECT n_regionkey, n_nationkey, substr(n_name, 1, 1) x, row_number() OVER (PARTITION BY n_regionkey, substr(n_name, 1, 1) ORDER BY n_nationkey) - 1 k FROM nation) SELECT n_regionkey, string_agg(CASE WHEN k > 0 THEN x || '_' || k ELSE x END, ',' ORDER BY n_nationkey) names FROM n GROUP BY n_regionkey",
+    "paragraph_split": f"WITH p AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n') p FROM documents) SELECT doc_id, CAST(len(p) AS INT) n, md5(array_to_string(list_transform(p, lambda x: {_STRIP("replace(x, chr(13), '')")}), '|')) h FROM p",
+    "sentence_pack_chunks": _SENTENCES,
+    "line_windows": _WINDOWS,
+    "markdown_blocks": f"{_BLOCKS} SELECT type, count(*) n, CAST(sum(page) AS BIGINT) pages, CAST(sum(level) AS BIGINT) levels FROM bk GROUP BY type",
+    "degraded_blocks": f"{_BLOCKS} SELECT doc_id, count(*) n FROM bk WHERE {_STRIP('said')} != '' GROUP BY doc_id",
     "policy_chunks": "SELECT doc_id, unnest(['policy_intro', 'policy_clause', 'policy_clause']) chunk_type, unnest(['', '第一条', '第2条']) clause_no, unnest(['intro', '第一条 ' || doc_id || chr(10) || 'more', '第2条 x' || chr(10) || 'rest']) AS text FROM documents WHERE doc_id % 3 = 0",
     "faq_chunks": "SELECT doc_id, unnest(['1', '2']) number, unnest(['Q: ' || doc_id || chr(10) || 'A: more', 'Q: x' || chr(10) || 'A: rest']) AS text FROM documents WHERE doc_id % 3 = 1",
     "sop_chunks": "SELECT doc_id, unnest(['一', '2']) step_no, unnest(['intro' || chr(10) || '一. ' || doc_id || chr(10) || 'more', '2. x' || chr(10) || 'rest']) AS text FROM documents WHERE doc_id % 3 = 2",
