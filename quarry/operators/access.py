@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 CLEARANCES = ("general", "core")
 
 
@@ -40,13 +42,11 @@ def descendants(units: DataFrame, roots: DataFrame) -> DataFrame:
     Units (id, parent_id, code) form a small dimension; each round is one join, and a pair
     already found is not followed again.
     """
-    found = units.join(roots.select(F.col("code")).distinct(), "code").select(F.col("code").alias("root"), F.col("id"))
-    checkpointed = units.sparkSession.sparkContext.getCheckpointDir() is not None
+    found = cut(units.join(roots.select(F.col("code")).distinct(), "code").select(F.col("code").alias("root"), F.col("id")))
     at = found
     while not at.isEmpty():
         below = at.join(units.select(F.col("id").alias("_c"), "parent_id"), at["id"] == F.col("parent_id")).select("root", F.col("_c").alias("id")).distinct()
-        at = below.join(found, ["root", "id"], "left_anti")
-        at = at.checkpoint() if checkpointed else at
+        at = cut(below.join(found, ["root", "id"], "left_anti"))
         found = found.unionByName(at)
     return found
 

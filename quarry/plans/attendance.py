@@ -110,7 +110,9 @@ def makeup_cap(spark, d):
 
 
 def work_calendar(spark, d):
-    return A.calendar(FIRST, 31, spark).select(S("day").cast("string").alias("day"))
+    """The work days of the month, if anything happened in it."""
+    months = table(spark, d, "events").select(F.trunc("ts", "MM").alias("month")).distinct()
+    return A.calendar(FIRST, 31, spark).join(months, F.trunc("day", "MM") == S("month"), "left_semi").select(S("day").cast("string").alias("day"))
 
 
 def person_names(spark, d):

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import intervals, ledger
+from ..operators.shared import cut
 from ..sources import records
 from . import inputs
 from .inputs import ctes, table
@@ -116,7 +117,7 @@ def sheet_ledger(spark, d):
     v = _sheet(inputs.leave(spark, d), "请假.xlsx", [*who, "假种", "开始时间", "结束时间", "请假时长"], "applicant", "department", "status", "leave_kind", day("start"), day("end"), "duration_text")
     p = _sheet(inputs.punch(spark, d), "打卡.xlsx", ["日期", "姓名", "打卡时间", "打卡地址"], day("work_date"), "person_name", F.date_format("punch_time", "yyyy/MM/dd HH:mm:ss"), "address")
     # the ledger reads each source several times: sheets are parsed once
-    parsed = [read(x).persist() for read, x in ((records.travel_records, t), (records.overtime_records, o), (records.leave_records, v), (records.punch_records, p))]
+    parsed = [cut(read(x)) for read, x in ((records.travel_records, t), (records.overtime_records, o), (records.leave_records, v), (records.punch_records, p))]
     got = ledger.compute_ledger(*parsed, inputs.HQ, inputs.holidays(spark, d))
     return got.select(*(c for c in SCALARS if c != "center"))
 
@@ -135,9 +136,9 @@ def ledger_warnings(spark, d):
 
 
 def ledger_merge_prior(spark, d):
-    cut = F.lit("2024-02-01").cast("date")
+    turn = F.lit("2024-02-01").cast("date")
     tr, ot, lv, pu, ho = (f(spark, d) for f in (inputs.travel, inputs.overtime, inputs.leave, inputs.punch, inputs.holidays))
-    part = lambda early: ledger.compute_ledger(tr.where((F.col("start") < cut) == early), ot.where((F.col("seq") % 2 == 0) == early), lv.where((F.col("seq") % 4 == 0) == early), pu, inputs.HQ, ho)
+    part = lambda early: ledger.compute_ledger(tr.where((F.col("start") < turn) == early), ot.where((F.col("seq") % 2 == 0) == early), lv.where((F.col("seq") % 4 == 0) == early), pu, inputs.HQ, ho)
     m = ledger.merge_ledgers(part(F.lit(True)), part(F.lit(False)), ho)
     return m.select("person_name", "actual_travel_start", "actual_travel_end", "travel_comp_days", "ot_dates", "ot_comp_days", "leave_start", "leave_end", "used_comp_days", "remaining_comp_days")
 
