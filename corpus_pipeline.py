@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``docs``.  A runner may write each stage's rows as Parquet and read them again
 as the next one's ``docs``.
+
+In every stage null and empty texts are documents without words (the classifier scores them, they are one group of copies,
+hold no passage and are never drawn by the mix), very long texts are read whole, ties fall to the least id, repeated rows and ids
+count each, an empty table stays empty, and further columns, whatever their names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations

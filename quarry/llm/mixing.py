@@ -65,7 +65,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, block: int = BLOCK, sh
     the first blocks of one more permutation, the last of them cut.  So no document
     is taken more than ``cap`` times, since targets aren't above ``cap`` times the source.
     Null text has size 0 and is never taken, null source is a source, repeated rows count
-    each, an empty table (or one without words) gives no slots.
+    each, an empty table (or one without words) gives no slots.  A very long text is many blocks and is never held as
+    one value beyond its row; other columns are ignored whatever their names.
     """
     spark = docs.sparkSession
     name = docs[source].cast("string")

@@ -96,7 +96,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text") -> Da
     Size is UTF-8 bytes of the text plus 1 (null text: 1), metadata dimensions are doc_id,
     n_chars, source and lang where those columns exist.  ``slot`` numbers the rows of a
     shard without gaps, in a fixed pseudorandom order.  Equal rows are placed row by row;
-    an empty table gives an empty one.
+    an empty table gives an empty one.  Only the size of a text travels, so a very long one costs no more than
+    another; other columns are ignored whatever their names; null ids are placed like any other.
     """
     t = docs[text].cast("string")
     have = {c.lower(): c for c in docs.columns}

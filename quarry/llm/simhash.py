@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = 2, id
     are the connected components.  Null and blank texts have fingerprint zero and are
     linked like any other.  Equal fingerprints are one node, so a group of exact
     copies costs one.  Null ids are ignored in ``component_id`` unless all are null;
-    repeated ids are told apart by ``_key``; an empty table gives an empty one.
+    repeated ids are told apart by ``_key``; an empty table gives an empty one.  Very long texts are read whole, in
+    time and memory in proportion to them; other columns are ignored whatever their names.
     """
     d = with_key(docs.select(docs[id_col].alias("doc_id"), docs[text].alias("text")))
     prints = cut(with_fingerprint(d, shingle))

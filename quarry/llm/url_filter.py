@@ -86,7 +86,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     The canonical URL is host + path (no scheme, query or fragment).  A rule decides
     where one fits; else a listed canonical URL is blocked and any other allowed.
     Null URLs and those without ``://`` have empty host and path, no rule, and are
-    allowed.  Repeated rows are judged alike; an empty list allows all.
+    allowed.  Repeated rows are judged alike; an empty list allows all; an empty table stays empty.  URLs of any
+    length are read whole; a column named ``judged`` gets an underscore beside it.
     """
     spark = pages.sparkSession
     out, may, hit = free_name(pages, "judged"), free_name(pages, "_may"), free_name(pages, "_hit")
