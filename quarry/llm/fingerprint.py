@@ -4,9 +4,8 @@ Terms whose document frequency lies in a band form the lexicon; a document's dis
 lexicon terms, sorted, are hashed once for each of several random subsets of the
 lexicon.  Terms are told apart by their 64-bit XXH64.  At least a share LOW of all documents
 holds each lexicon term, so there are at most (distinct terms of an average document) / LOW
-of them, however many documents there are.  They are sent to every task as a bitmap of two
-bits a term, which about one term in seventy of the others passes too; the same ones
-everywhere, so equal texts stay equal.
+of them, however many documents there are.  The lexicon is a table that documents' terms are
+joined with: no plan and no variable of the driver holds its terms.
 """
 
 from __future__ import annotations
@@ -16,14 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, with_key
+from .common import cut, free_name, with_key
 
 #: A term is kept if at least LOW and at most HIGH of all documents (and one more) hold it.
 LOW, HIGH = 0.0005, 0.02
 #: (bits, subsets): a subset keeps each term with probability 2^-bits; fine ones serve long texts, coarse ones short texts.
 SCALES = ((4, 8), (6, 8), (8, 8), (10, 6))
-#: Bits of the lexicon's bitmap for each of its terms, at least.
-BITS_PER_TERM = 16
+#: A lexicon of at most so many terms is broadcast (some 50 MB); a larger one is joined as Spark sees fit.
+BROADCAST_TERMS = 1 << 20
 #: What the hash of an empty list of longs is.
 EMPTY = 42
 #: Rows of one range bucket of the next-document window, on average, and the ranges found from quantiles.
@@ -40,53 +39,70 @@ def term_keys(text: Column) -> Column:
 
 @dataclass
 class Lexicon:
-    """Term hashes as a bitmap of 64-bit words in which each sets two bits: at least BITS_PER_TERM bits a term."""
+    """The band's term hashes, each once: a table of one column ``k``."""
 
-    words: list[int]
+    keys: DataFrame
 
     def holds(self, key: Column) -> Column:
-        bitmap = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # a literal: Catalyst folds the cast
-        last = F.lit(len(self.words) * 64 - 1)
-        is_set = lambda at: F.getbit(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-        return is_set(key.bitwiseAND(last)) & is_set(F.shiftrightunsigned(key, 32).bitwiseAND(last))
+        """Whether a hash is in the band; for conditions outside higher-order functions."""
+        return key.isin(self.keys)
 
 
 def lexicon(docs: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> Lexicon:
     """The band: document frequencies are counted over all documents, per term; the terms kept are a bounded number (see above)."""
     n = docs.count()
     df = docs.select(F.explode(F.array_distinct(term_keys(docs[text]))).alias("k")).groupBy("k").count()
-    kept = [r.k for r in df.where((F.col("count") >= low * n) & (F.col("count") <= 1 + high * n)).select("k").collect()]
-    bits = 1 << max(10, (BITS_PER_TERM * len(kept) - 1).bit_length())
-    words = [0] * (bits // 64)
-    for k in kept:
-        for at in (k & (bits - 1), (k >> 32) & 0xFFFFFFFF & (bits - 1)):
-            words[at >> 6] |= 1 << (at & 63)
-    return Lexicon([w - (1 << 64) if w >> 63 else w for w in words])
+    kept = cut(df.where((F.col("count") >= low * n) & (F.col("count") <= 1 + high * n)).select("k"))
+    return Lexicon(F.broadcast(kept) if kept.count() <= BROADCAST_TERMS else kept)
 
 
-def digests(terms: Column) -> Column:
-    """One 32-bit hash (as a long) for each lexicon subset: of the subset's terms in order."""
+def hashed(terms: Column) -> list[Column]:
+    """The terms' hashes of each scale."""
+    of = lambda scale: F.transform(terms, lambda s: F.xxhash64(s, F.lit(scale)))
+    return [of(scale) for scale in range(len(SCALES))]
+
+
+def subset_hashes(hashes: list[Column]) -> Column:
     out = []
-    for scale, (bits, subsets) in enumerate(SCALES):
-        hashed = F.transform(terms, lambda s: F.xxhash64(s, F.lit(scale)))
+    for (bits, subsets), of_scale in zip(SCALES, hashes):
         for j in range(subsets):
-            part = F.filter(hashed, lambda h: F.shiftright(h, bits * j).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) == 0)
+            part = F.filter(of_scale, lambda h: F.shiftright(h, bits * j).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) == 0)
             out.append(F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     return F.array(*out)
 
 
-def printed(d: DataFrame, text: Column, lex: Lexicon, out: str) -> DataFrame:
-    """``d`` with ``out``: the hashes of the text's sorted distinct lexicon terms.
+def digests(terms: Column) -> Column:
+    """One 32-bit hash (as a long) for each lexicon subset: of the subset's terms in order."""
+    return subset_hashes(hashed(terms))
+
+
+def printed(d: DataFrame, by: list[str], row: Column, texts: dict[str, Column], lex: Lexicon) -> DataFrame:
+    """``by``, the fields of the struct ``row`` and, under each name in ``texts``, the hashes of that text's sorted distinct lexicon terms.
 
-    A text that has a term in no subset is hashed by all its distinct terms instead, in
-    every place, so only texts of the same terms are like it.
+    ``by`` tells the rows of ``d`` apart.  Terms are joined with the lexicon and gathered again by it; the
+    struct travels with a row's first term only.  A text that has a term in no subset is hashed by all
+    its distinct terms instead, in every place, so only texts of the same terms are like it.
     """
-    every, kept, plain = free_name(d, "_every"), free_name(d, "_kept"), free_name(d, "_plain")
-    d = d.withColumn(every, F.sort_array(F.array_distinct(term_keys(text))))
-    d = d.withColumn(kept, F.filter(every, lex.holds)).withColumn(plain, digests(F.col(kept)))  # each list once
-    alone = F.xxhash64(every).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    has = F.exists(plain, lambda h: h != EMPTY)
-    return d.withColumn(out, F.when(has, F.col(plain)).otherwise(F.transform(plain, lambda h: alone))).drop(every, kept, plain)
+    each = [f"_terms{i}" for i in range(len(texts))]
+    d = d.select(*by, row.alias("_row"), *(F.sort_array(F.array_distinct(term_keys(t))).alias(e) for e, t in zip(each, texts.values())))
+    alone = F.struct(*(F.xxhash64(e).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias(e) for e in each))
+    sizes = [f"_size{i}" for i in range(len(texts))]
+    d = d.select(*by, F.struct("_row", alone.alias("_alone")).alias("_row"), *(F.size(e).alias(z) for e, z in zip(each, sizes)), F.concat(*each).alias("_every"))  # once a row
+    d = d.select(*by, "_row", *sizes, F.posexplode_outer("_every").alias("_at", "_term"))
+    d = d.join(lex.keys, F.col("_term") == F.col("k"), "left")
+    first, kept = F.coalesce("_at", F.lit(0)) == 0, F.col("k").isNotNull()
+    parts, start = [], F.lit(0)
+    for e, z in zip(each, sizes):
+        end = start + F.col(z)
+        parts.append(F.when(kept & (F.col("_at") >= start) & (F.col("_at") < end), F.col("_term")).alias(e))
+        start = end
+    d = d.where(first | kept).select(*by, F.when(first, F.col("_row")).alias("_row"), *parts)
+    d = d.groupBy(*by).agg(F.first("_row", ignorenulls=True).alias("_row"), *(F.sort_array(F.collect_list(e)).alias(e) for e in each))
+    lists = {(i, scale): h for i, e in enumerate(each) for scale, h in enumerate(hashed(F.col(e)))}
+    d = d.select(*by, "_row", *(h.alias(f"_h{i}_{scale}") for (i, scale), h in lists.items()))  # each list once
+    d = d.select(*by, "_row", *(subset_hashes([F.col(f"_h{i}_{scale}") for scale in range(len(SCALES))]).alias(e) for i, e in enumerate(each)))
+    out = [F.when(F.exists(e, lambda h: h != EMPTY), F.col(e)).otherwise(F.array_repeat(F.col("_row._alone")[e], sum(k for _, k in SCALES))).alias(name) for e, name in zip(each, texts)]
+    return d.select(*by, "_row._row.*", *out)
 
 
 def as_text(prints: Column) -> Column:
@@ -99,29 +115,29 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.aggregate(used, F.lit(0), lambda s, v: s + v) / F.greatest(F.size(used), F.lit(1)))
 
 
-def fingerprints(docs: DataFrame, lex: Lexicon, text: str = "text", out: str = "prints") -> tuple[DataFrame, str]:
+def fingerprints(docs: DataFrame, lex: Lexicon, text: str = "text", out: str = "prints", id_col: str = "doc_id") -> tuple[DataFrame, str]:
     """``docs`` with the array of hashes under a lexicon (the column's name is returned too).
 
     Null texts are empty; a text without lexicon terms is hashed by all its terms, so only
     texts of the same terms are like it; equal texts have equal hashes; texts are read whole;
     repeated rows and ids have equal hashes; an empty table stays empty; clashing names get an underscore.
     """
-    out = free_name(docs, out)
-    return printed(docs, F.coalesce(docs[text].cast("string"), F.lit("")), lex, out), out
+    out, key = free_name(docs, out), free_name(docs, "_key")
+    d = with_key(docs, id_col, key)
+    row = F.struct(*(d[f"`{c.replace('`', '``')}`"] for c in docs.columns))
+    return printed(d, [key], row, {out: F.coalesce(d[text].cast("string"), F.lit(""))}, lex).drop(key), out
 
 
-def with_next(d: DataFrame, key: str, carried: list[str], prepare=lambda rows: rows) -> DataFrame:
-    """Each row with ``next_<c>`` of the row with the next smaller ``key`` (unique longs); the least row gets the greatest one's.
+def dealt(d: DataFrame, key: str) -> DataFrame:
+    """Rows with their range of the ``key`` (unique longs) as ``_b``, and each range's ghost: the first row of the range below it.
 
-    Rows are dealt by range of the key, in one shuffle.  Each range also gets the first row of
-    the range below it as a last row of its own, so no window spans the whole table.
-    ``prepare`` adds columns to a row before it is dealt.
+    The ghost (``_ghost``) is a range's last row, and the least range's is the row of the greatest key, so no
+    window spans the whole table.
     """
     keys = d.select(key)
     stats = keys.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 1000).alias("q")).first()
     if not stats.n:
-        p = prepare(d)
-        return p.select("*", *(p[c].alias(f"next_{c}") for c in carried))
+        return d.withColumn("_b", F.lit(0).cast("long")).withColumn("_ghost", F.lit(False))
     edges = sorted({stats.lo, *stats.q, stats.hi + 1})
     per = max(1, min(-(-stats.n // (BUCKET_ROWS * (len(edges) - 1))), MAX_BUCKETS // RANGES))
     bucket = F.lit(0).cast("long")
@@ -134,9 +150,7 @@ def with_next(d: DataFrame, key: str, carried: list[str], prepare=lambda rows: r
     firsts = firsts.withColumn("_to", F.coalesce(F.lead("_b").over(above), F.min("_b").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     small = F.broadcast(firsts.select("_first", "_to"))
     ghosts = placed.join(small, placed[key] == small["_first"]).drop("_b", "_first").withColumnRenamed("_to", "_b").withColumn("_ghost", F.lit(True))
-    rows = prepare(placed.withColumn("_ghost", F.lit(False)).unionByName(ghosts))
-    w = Window.partitionBy("_b").orderBy("_ghost", F.col(key).desc())
-    return rows.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried)).where("not _ghost").drop("_b", "_ghost")
+    return placed.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
 
 
 def edited_prints(docs: DataFrame) -> DataFrame:
@@ -144,15 +158,17 @@ def edited_prints(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_chars, edited_sha256, prints, edited_prints, next_prints.  The next
     document has the next smaller id (ties and nulls in one fixed order, nulls lowest), after the last comes
-    the first; a table of one row is its own next.
+    the first; a table of one row is its own next.  Rows are dealt by range of the id, in one shuffle of the texts.
     """
     d = with_key(docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")))
     lex = lexicon(d, "text")
-    prints = "prints"
-    d = with_next(d, "_key", ["text", prints], lambda rows: fingerprints(rows, lex)[0])
+    following = Window.partitionBy("_b").orderBy("_ghost", F.col("_key").desc())
     n = F.char_length("text")
     third = F.expr("char_length(text) div 3").cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), prints, F.col(f"next_{prints}").alias("next_prints"))
-    d = printed(d, F.col("_edited"), lex, "edited_prints")
-    return d.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "prints", "edited_prints", "next_prints")
+    d = dealt(d, "_key").withColumn("next_text", F.lead("text").over(following))
+    d = d.select("_b", "_ghost", "_key", "doc_id", n.cast("long").alias("n_chars"), "text", F.when(F.col("_ghost"), "").otherwise(edited).alias("_edited"))
+    row = F.struct("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"))
+    d = printed(d, ["_b", "_ghost", "_key"], row, {"prints": F.col("text"), "edited_prints": F.col("_edited")}, lex)
+    d = d.withColumn("next_prints", F.lead("prints").over(following)).where("not _ghost")
+    return d.select("doc_id", "n_chars", "edited_sha256", "prints", "edited_prints", "next_prints")

@@ -122,6 +122,29 @@ def test_fingerprints_of_edits(spark, odd, none):
     assert one.n_chars == len(texts[one[0]]) if isinstance(one[0], int) else True
 
 
+def test_fingerprint_band_is_exact_and_no_part_of_a_plan(spark, odd, monkeypatch):
+    rng = random.Random(9)
+    few = [" ".join(f"w{rng.randint(0, 9)}" for _ in range(30)) for _ in range(200)]
+    many = [f"{t} " + " ".join(f"x{i % 190}y{j}" for j in range(40)) for i, t in enumerate(few)]
+    frames = [spark.createDataFrame(list(enumerate(t)), "doc_id long, text string") for t in (few, many)]
+    small, large = (len(fingerprint.edited_prints(f)._jdf.queryExecution().toString()) for f in frames)
+    assert large < 1.05 * small  # 7,600 terms of the lexicon or none
+    df = {}
+    for t in many:
+        for w in set(t.split()):
+            df[w] = df.get(w, 0) + 1
+    words = spark.createDataFrame([(w,) for w in df], "w string")
+    held = {r.w for r in words.where(fingerprint.lexicon(frames[1], "text").holds(F.xxhash64("w"))).collect()}
+    assert held == {w for w, n in df.items() if fingerprint.LOW * len(many) <= n <= 1 + fingerprint.HIGH * len(many)} and 0 < len(held) < len(df)
+    rows = sorted(fingerprint.edited_prints(frames[1]).collect())
+    d, out = fingerprint.fingerprints(odd, fingerprint.lexicon(odd, "text"))
+    got = d.collect()
+    assert d.columns == [*odd.columns, out] and sorted(map(str, (r[:-1] for r in got))) == sorted(map(str, map(tuple, odd.collect())))
+    assert len({tuple(r[out]) for r in got}) == len({re.sub(r"\W+", " ", r.text or "").strip() for r in got})
+    monkeypatch.setattr(fingerprint, "BROADCAST_TERMS", 0)
+    assert sorted(fingerprint.edited_prints(frames[1]).collect()) == rows
+
+
 def test_quality_learns_lines_and_scores_everything(spark, odd, none):
     rng = random.Random(3)
     good = lambda: "\n".join(" ".join(rng.choice(["the", "tree", "stands", "near", "water"]) for _ in range(12)) + "." for _ in range(4))
