@@ -2,14 +2,15 @@
 
 Every row is a leaf.  The leaves of a group, in order, are folded ``fanout`` at a time into a
 subroot, and the groups' subroots in the same way into the root.  In an upward superstep each node sends its digest to
-its parent, and parents that have all their children hash and forward.  In a downward superstep each
-parent sends its children the path that it got itself, with their siblings in front, until the leaves can check
+its ancestor a few levels above, and ancestors that have all their descendants hash these levels and forward.  In a downward superstep each
+ancestor sends its descendants the path that it got itself, with the siblings in between in front, until the leaves can check
 themselves against the root.  Digests are sha256, hashed as lower-case hexadecimal text.
 """
 
 from __future__ import annotations
 
 import math
+from functools import partial
 from hashlib import sha256
 
 from pyspark import RDD
@@ -20,8 +21,10 @@ from .common import cut
 
 #: What a leaf hashes, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Nodes of a task at least (as long as there are shuffle partitions for that) and at most.
-FEW, MANY = 2048, 500_000
+#: Nodes that a task gets at least (as long as there are shuffle partitions for that) and at most, on average.
+FEW, MANY = 6144, 500_000
+#: Nodes that a superstep folds into one at most (or ``fanout``, where that is more).
+BLOCK = 256
 
 
 def leaf_hash(values: list[Column]) -> Column:
@@ -58,37 +61,64 @@ def _tasks(nodes: int, most: int) -> int:
     return max(1, min(most, math.ceil(nodes / FEW)), math.ceil(nodes / MANY))
 
 
-def _climb(nodes: RDD, size: int, trees: int, total: int, fanout: int, most: int) -> tuple[RDD, list[tuple[RDD, int]]]:
+def _grown(family: list[tuple], levels: int, fanout: int) -> list[tuple[int, list[bytes]]]:
+    """From a family's own level up to the one node above it: the nodes of the whole tree there, and the family's digests in order."""
+    rows = [(family[0][1], [m[2] for m in family])]
+    for _ in range(levels):
+        nodes, row = rows[-1]
+        rows.append((1, row) if nodes == 1 else (-(-nodes // fanout), [_digest(row[k : k + fanout]) for k in range(0, len(row), fanout)]))
+    return rows
+
+
+def _climb(nodes: RDD, size: int, trees: int, total: int, fanout: int, most: int) -> tuple[RDD, list[tuple[RDD, int, int]]]:
     """Supersteps upward over ((tree, place), (nodes of the tree, digest, payload)) until every tree is one node.
 
-    Returns the tops, and of each step the families, ((tree, place of the parent), [(place in the run, nodes, digest, payload)]),
-    with their number of tasks.  A tree that is down to one node before the others passes it on as it is.
+    A superstep rises as many levels at once as ``BLOCK`` allows, and all of them as many: its shuffles have a cost however few the nodes.
+    Returns the tops, and of each step the families, ((tree, place of the ancestor), [(place in the family, nodes, digest, payload)]),
+    with their number of tasks and of levels.  A tree that is down to one node before the others passes it on as it is.
     """
-    send = lambda x: ((x[0][0], x[0][1] // fanout), (x[0][1] % fanout, *x[1]))
-    rise = lambda f: (-(-f[0][1] // fanout), f[0][2] if f[0][1] == 1 else _digest([m[2] for m in f]), None)
-    steps: list[tuple[RDD, int]] = []
-    while size > 1 or not steps:
-        size, total = -(-size // fanout), total // fanout + trees
+    depth = levels = 1
+    while fanout**depth < size:
+        depth += 1
+    while fanout ** (levels + 1) <= BLOCK:
+        levels += 1
+    rounds = -(-depth // levels)
+    levels = -(-depth // rounds)
+    width = fanout**levels
+    send = lambda x: ((x[0][0], x[0][1] // width), (x[0][1] % width, *x[1]))
+    steps: list[tuple[RDD, int, int]] = []
+
+    def rise(family):
+        count, (digest,) = _grown(family, levels, fanout)[-1]
+        return count, digest, None
+
+    for _ in range(rounds):
         family = nodes.map(send).groupByKey(tasks := _tasks(total, most)).mapValues(lambda ms: sorted(ms, key=lambda m: m[0]))
-        nodes = family.mapValues(rise)
-        steps.append((family, tasks))
+        nodes, total = family.mapValues(rise), total // width + trees
+        steps.append((family, tasks, levels))
     return nodes, steps
 
 
-def _descend(got: RDD, steps: list[tuple[RDD, int]], fanout: int) -> RDD:
-    """Supersteps downward from ((tree, 0), (path, told)) to the leaves' ((tree, place), (path, told, digest, payload)).
+def _hand(levels: int, fanout: int, x: tuple):
+    """What a family gets from above, ((tree, place of the ancestor), (family, (path, told))), for each of its members."""
+    (tree, place), (family, (path, told)) = x
+    paths = [path]
+    for nodes, row in reversed(_grown(family, levels, fanout)[:-1]):
+        if nodes > 1:
+            runs = [row[k : k + fanout] for k in range(0, len(row), fanout)]
+            paths = [((at, b"".join(run[:at] + run[at + 1 :])), *above) for run, above in zip(runs, paths) for at in range(len(run))]
+    for (at, _, digest, payload), path in zip(family, paths):
+        yield (tree, place * fanout**levels + at), (path, told, digest, payload)
 
-    A path is a tuple of (place in the run, digests of the others in a row), from the node's own run up.
-    """
 
-    def hand(x):
-        (tree, place), (children, (path, told)) = x
-        for at, nodes, digest, payload in children:
-            step = () if nodes == 1 else ((at, b"".join(m[2] for m in children if m[0] != at)),)
-            yield (tree, place * fanout + at), (step + path, told, digest, payload)
+def _descend(got: RDD, steps: list[tuple[RDD, int, int]], fanout: int) -> RDD:
+    """Supersteps downward from ((tree, 0), (path, told)) to the leaves' ((tree, place), (path, told, digest, payload)).
 
-    for family, tasks in reversed(steps):
-        reached = family.join(got, tasks).flatMap(hand)
+    A path is a tuple of (place in the run, digests of the others in a row), from the node's own run up.  Families stay
+    where the way up has put them: what comes from above is dealt like them.
+    """
+    for family, tasks, levels in reversed(steps):
+        reached = family.join(got.partitionBy(tasks), tasks).flatMap(partial(_hand, levels, fanout))
         got = reached.mapValues(lambda v: v[:2])
     return reached
 

@@ -114,6 +114,29 @@ def test_trees_of_many_sizes(spark, n):
         assert r["at"] == [] or max(r["at"]) < 3
 
 
+@pytest.mark.parametrize("n,block", [(8, 1), (9, 9), (10, 9), (28, 9), (82, 9), (250, 9), (250, 27)])
+def test_trees_of_many_supersteps(spark, monkeypatch, n, block):
+    monkeypatch.setattr(merkle, "BLOCK", block)
+    rows = [(i, f"t{i}", "en", "s", 1) for i in range(n)] + [(1000 + i, "x", "en", f"s{i % 11}", 1) for i in range(30)]
+    got = merkle.manifest(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = {w[0]: w for w in _manifest(rows)}
+    assert len(got) == n + 30
+    for r in got:
+        assert (r.leaf, r.subroot, r.root, _sha("".join(r.proof))) == want[r.doc_id][1:5] and r.folded == r.root
+
+
+def test_shuffles_are_fewer_than_levels(spark):
+    rows = [(i, f"t{i}", "en", "s", 1) for i in range(2200)] + [(-1, "x", "en", "other", 1)]  # 8 levels, and one above the sources
+    out = merkle.manifest(spark.createDataFrame(rows, SCHEMA))
+    sc = spark.sparkContext
+    sc.setJobGroup("folding", "")
+    got = out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("p"), "folded").collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("folding")]
+    assert sorted(map(tuple, got)) == sorted(w[:6] for w in _manifest(rows))
+    assert sum(len(j.stageIds) for j in jobs) <= 12
+
+
 def test_any_change_or_forged_sibling_is_found(spark):
     docs = spark.createDataFrame([(i, f"t{i}", "en", f"s{i % 4}", i) for i in range(40)], SCHEMA)
     rows = merkle.manifest(docs, {"n_chars": F.when(F.col("doc_id") == 7, F.lit(-1)).otherwise(F.col("n_chars"))}).collect()
