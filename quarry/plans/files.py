@@ -47,6 +47,11 @@ def _files(df, path, make, *cols):
     return df.select(path.alias("path"), build(*cols).alias("content"))
 
 
+def _spread(df, *keys):
+    """Rows dealt by key: a table of a few megabytes is one task's, but each of its rows is a file to be written and parsed."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def docx_blocks(spark, d):
     c = table(spark, d, "customer")
     f = _files(c, F.concat(F.lit("c"), "c_custkey"), docx, "c_name", "c_mktsegment", F.col("c_custkey").cast("string"))

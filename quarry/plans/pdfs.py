@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from ..sources import office, pdf
-from .files import _files
+from .files import _files, _spread
 from .inputs import table
 
 _CMAP = b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange endcmap"
@@ -44,7 +44,7 @@ def _letter(name, segment, key, nation) -> bytes:
 
 
 def _letters(spark, d):
-    c = table(spark, d, "customer")
+    c = _spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
     f = _files(c, F.concat(F.lit("c"), "c_custkey"), _letter, "c_name", "c_mktsegment", "c_custkey", "c_nationkey")
     odd = spark.createDataFrame([("no pdf", b"PK"), ("cut", b"%PDF-1.5\n1 0 obj\n<< /Type /Catalog"), ("locked", b"%PDF-1.5\n1 0 obj\n<< /Type /Catalog >>\nendobj\ntrailer << /Root 1 0 R /Encrypt 2 0 R >>"), ("empty", None)], "path string, content binary")
     return pdf.pages(f.unionByName(odd))
@@ -72,7 +72,7 @@ def _report(keys, dates, states) -> bytes:
 def pdf_grid(spark, d):
     """Order reports of forty days each, over two pages that repeat the header."""
     o = table(spark, d, "orders").select((F.col("o_orderkey") / 160).cast("long").alias("g"), F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"), F.col("o_orderstatus").alias("s"))
-    files = o.groupBy("g").agg(F.collect_list("k").alias("k"), F.collect_list("d").alias("d"), F.collect_list("s").alias("s"))
+    files = _spread(o, "g").groupBy("g").agg(F.collect_list("k").alias("k"), F.collect_list("d").alias("d"), F.collect_list("s").alias("s"))
     g = pdf.grid(pdf.pages(_files(files, F.col("g").cast("string"), _report, "k", "d", "s")))
     return g.select("path", "row", F.array_join("cells", "|").alias("cells"))
 

@@ -10,7 +10,9 @@ Rotation and images are not looked at; pages without a text layer are those with
 from __future__ import annotations
 
 import base64
+import functools
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,12 +30,18 @@ LEVELS, HEADING_CHARS = ((1.6, 1), (1.35, 2), (1.12, 3)), 80
 #: Fixed value: what heads the date column of a daily report.
 DATE = "日期"
 
-_SPACE = re.compile(rb"(?:[\x00\t\n\f\r ]+|%[^\r\n]*)*")
-_NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)")
-_NAME = re.compile(rb"/([^\x00\t\n\f\r ()<>\[\]{}/%]*)")
-_WORD = re.compile(rb"[^\x00\t\n\f\r ()<>\[\]{}/%]+")
-_REF = re.compile(rb"(\d+)[\x00\t\n\f\r ]+(\d+)[\x00\t\n\f\r ]+R(?![A-Za-z])")
+#: What stands next, after blanks and comments: a bracket, hexadecimal digits, a string's start, a name, a reference, a number, a word.
+_TOKEN = re.compile(
+    rb"(?:[\x00\t\n\f\r ]+|%[^\r\n]*)*(?:(<<|\[)|(>>)|<([^>]*)>|(<)|(\()|/([^\x00\t\n\f\r ()<>\[\]{}/%]*)|(\d+)[\x00\t\n\f\r ]+\d+[\x00\t\n\f\r ]+R(?![A-Za-z])"
+    rb"|([+-]?(?:\d+\.?\d*|\.\d+))|([^\x00\t\n\f\r ()<>\[\]{}/%]+)|(.))?",
+    re.S,
+)
+_OPEN, _CLOSE, _HEX, _TORN, _STRING, _NAME, _REF, _NUMBER, _WORD, _OTHER = range(1, 11)
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b")
+_STREAM = re.compile(rb"\s*stream\r?\n?")
+_HASH = re.compile(rb"#([0-9A-Fa-f]{2})")
+_PAREN = re.compile(rb"\\.|[()]", re.S)
+_NO_HEX = re.compile(rb"[^0-9A-Fa-f]")
 _ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
 # Glyph names that no rule spells (accented letters are a letter and an accent's name, others stand for themselves).
 GLYPHS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash colon semicolon less equal greater question at bracketleft backslash bracketright underscore braceleft bar braceright zero one two three four five six seven eight nine bullet endash emdash quoteleft quoteright quotedblleft quotedblright germandbls euro".split(), " !\"#$%&'()*+,-./:;<=>?@[\\]_{|}0123456789•–—‘’“”ß€"))
@@ -54,11 +62,24 @@ class Op(str):
 
 def value(data: bytes, at: int):
     """(value, position after it) of the PDF value at ``at``; strings are bytes.  A closing bracket is an Op."""
-    at = _SPACE.match(data, at).end()
-    two, one = data[at : at + 2], data[at : at + 1]
-    if two == b"<<" or one == b"[":
-        close, items = (Op(">>"), []) if two == b"<<" else (Op("]"), [])
-        at += len(close)
+    m = _TOKEN.match(data, at)
+    kind, at = m.lastindex, m.end()
+    if kind == _NUMBER:
+        return float(m[kind]) if b"." in m[kind] else int(m[kind]), at
+    if kind == _WORD:
+        return Op(m[kind].decode("latin-1")), at
+    if kind == _NAME:
+        name = m[kind]
+        return Name((_HASH.sub(lambda h: bytes.fromhex(h[1].decode()), name) if b"#" in name else name).decode("latin-1")), at
+    if kind == _REF:
+        return Ref(m[kind]), at
+    if kind == _HEX:
+        digits = _NO_HEX.sub(b"", m[kind])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), at
+    if kind == _STRING:
+        return _string(data, at)
+    if kind == _OPEN:
+        close, items = Op(">>" if m[kind] == b"<<" else "]"), []
         while True:
             v, at = value(data, at)
             if isinstance(v, Op) and v == close:
@@ -67,29 +88,14 @@ def value(data: bytes, at: int):
                 raise ValueError("not closed")
             items.append(v)
         return (dict(zip(items[::2], items[1::2])), at) if close == ">>" else (items, at)
-    if two == b">>":
-        return Op(">>"), at + 2
-    if one == b"<":
-        end = data.index(b">", at)
-        digits = re.sub(rb"[^0-9A-Fa-f]", b"", data[at:end])
-        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), end + 1
-    if one == b"(":
-        return _string(data, at + 1)
-    if one == b"/":
-        m = _NAME.match(data, at)
-        return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes.fromhex(h[1].decode()), m[1]).decode("latin-1")), m.end()
-    if m := _REF.match(data, at):
-        return Ref(m[1]), m.end()
-    if m := _NUMBER.match(data, at):
-        return float(m[0]) if b"." in m[0] else int(m[0]), m.end()
-    if m := _WORD.match(data, at):
-        return Op(m[0].decode("latin-1")), m.end()
-    return Op(one.decode("latin-1")), at + 1
+    if kind == _TORN:
+        raise ValueError("not closed")
+    return (Op(m[kind].decode("latin-1")), at) if kind else (Op(""), at + 1)
 
 
 def _string(data: bytes, at: int) -> tuple[bytes, int]:
     start, depth = at, 1
-    for m in re.compile(rb"\\.|[()]", re.S).finditer(data, at):
+    for m in _PAREN.finditer(data, at):
         depth += {b"(": 1, b")": -1}.get(m[0], 0)
         if not depth:
             plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
@@ -116,7 +122,7 @@ class File:
                 continue
             number = int(m[1])
             self.objects[number] = v
-            s = re.compile(rb"\s*stream\r?\n?").match(data, at)
+            s = _STREAM.match(data, at)
             if s and isinstance(v, dict):
                 n = self.get(v.get("Length"))
                 end = s.end() + n if isinstance(n, int) and data[s.end() + n : s.end() + n + 12].lstrip().startswith(b"endstream") else data.find(b"endstream", s.end())
@@ -215,6 +221,20 @@ def glyph(name: str) -> str:
     return unicodedata.normalize("NFC", name[0] + ACCENTS[name[1:]]) if name[1:] in ACCENTS else ""
 
 
+@functools.lru_cache(maxsize=64)
+def _sections(cmap: bytes) -> list[tuple[str, list]]:
+    """The operators of a character map, with what stands before each; many files share one."""
+    out, held, at = [], [], 0
+    while at < len(cmap):
+        v, at = value(cmap, at)
+        if isinstance(v, Op):
+            out.append((v, held))
+            held = []
+        else:
+            held.append(v)
+    return out
+
+
 class Font:
     """Codes of a font to text and to widths (in thousandths of its size)."""
 
@@ -223,7 +243,7 @@ class Font:
         self.text: dict[int, str] = {}
         self.ranges: list[tuple[int, int, bytes]] = []  # codes from, to, and what the first stands for
         self.wide_ranges: list[tuple[int, int, float]] = []
-        self.known: dict[int, tuple[str, float]] = {}
+        self.known: dict[int, tuple[str, float, bool]] = {}
         below = file.get((file.get(font.get("DescendantFonts"), list) or [None])[0], dict) if self.wide else {}
         first, widths = file.get(font.get("FirstChar")) or 0, file.get(font.get("Widths"), list)
         self.width = {first + i: w for i, w in enumerate(map(file.get, widths)) if isinstance(w, (int, float))}
@@ -251,13 +271,8 @@ class Font:
             self._map(file.stream(int(ref)))
 
     def _map(self, cmap: bytes) -> None:
-        held, at = [], 0
         utf = lambda b: b.decode("utf-16-be", "replace")
-        while at < len(cmap):
-            v, at = value(cmap, at)
-            if not isinstance(v, Op):
-                held.append(v)
-                continue
+        for v, held in _sections(cmap):
             if v == "endcodespacerange" and held:
                 self.wide = len(held[-1]) > 1
             elif v == "endbfchar":
@@ -270,7 +285,6 @@ class Font:
                         self.text |= {lo + i: utf(t) for i, t in enumerate(to)}
                     else:
                         self.ranges.append((lo, hi, to))
-            held = []
 
     def _one(self, c: int) -> tuple[str, float]:
         text = self.text.get(c)
@@ -285,14 +299,12 @@ class Font:
                 break
         return text or "", (self.other if width is None else width) / 1000
 
-    def read(self, s: bytes) -> Iterator[tuple[str, float, bool]]:
+    def read(self, s: bytes) -> list[tuple[str, float, bool]]:
         """(text, width in em, whether word spacing counts) of each code."""
-        step = 2 if self.wide else 1
-        for i in range(0, len(s) - step + 1, step):
-            c = int.from_bytes(s[i : i + step], "big")
-            if c not in self.known:
-                self.known[c] = self._one(c)
-            yield *self.known[c], step == 1 and c == 32
+        codes = struct.unpack(f">{len(s) // 2}H", s[: len(s) & ~1]) if self.wide else s
+        for c in set(codes) - self.known.keys():
+            self.known[c] = (*self._one(c), not self.wide and c == 32)
+        return [self.known[c] for c in codes]
 
 
 def _times(a: tuple, b: tuple) -> tuple:
@@ -324,10 +336,14 @@ def text_spans(file: File, content: bytes, resources: dict, depth: int = 0, oute
                     text += " "
                 tm = _times((1, 0, 0, 1, move * size * state["Tz"] / 100, 0), tm)
             elif isinstance(part, bytes) and state["font"]:
-                for t, wide, blank in state["font"].read(part):
+                read, (a, b, c, d, e, f) = state["font"].read(part), tm
+                if read:
                     start = start or where()
-                    text += t
-                    tm = _times((1, 0, 0, 1, (wide * size + state["Tc"] + (state["Tw"] if blank else 0)) * state["Tz"] / 100, 0), tm)
+                    text += "".join([t for t, _, _ in read])
+                for _, wide, blank in read:
+                    move = (wide * size + state["Tc"] + (state["Tw"] if blank else 0)) * state["Tz"] / 100
+                    e, f = move * a + e, move * b + f
+                tm = a, b, c, d, e, f
         if text:
             yield text, start[4], where()[4], start[5], size * scale()
 
@@ -402,9 +418,19 @@ def pages(files: DataFrame) -> DataFrame:
     return _each(files, parse, PAGES)
 
 
+def body_size(spans: Column) -> Column:
+    """The commonest font size of a page's spans by characters; the smaller of two."""
+    sizes = F.array_distinct(F.transform(spans, lambda s: s["size"]))
+    chars = lambda z: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + F.when(s["size"] == z, F.length(s["text"])).otherwise(0))
+    return F.negative(F.array_max(F.transform(sizes, lambda z: F.named_struct(F.lit("n"), chars(z), F.lit("size"), F.negative(z))))["size"])
+
+
 def cells(pages: DataFrame) -> DataFrame:
-    """path, page, line, cell, text, x0, x1, y, size: spans of one baseline, parted where the gap is that of a column."""
-    s = pages.select("path", "page", F.explode("spans").alias("s")).select("path", "page", "s.*").where(F.trim("text") != "")
+    """path, page, body, line, cell, text, x0, x1, y, size: spans of one baseline, parted where the gap is that of a column; body is the page's commonest size.
+
+    Pages are dealt by (path, page) once; whatever follows keeps to a page, so that none of it is dealt again or computed twice.
+    """
+    s = pages.select("path", "page", body_size(F.col("spans")).alias("body"), F.explode("spans").alias("s")).select("path", "page", "body", "s.*").where(F.trim("text") != "")
     down = Window.partitionBy("path", "page").orderBy("y", "x0", "text")
     s = s.withColumn("_new", F.coalesce((F.col("y") - F.lag("y").over(down) > LINE_GAP * F.col("size")).cast("int"), F.lit(0)))
     s = s.withColumn("line", F.sum("_new").over(down))
@@ -414,7 +440,7 @@ def cells(pages: DataFrame) -> DataFrame:
     word = F.concat(F.when(F.col("_gap").between(WORD_GAP, CELL_GAP), " ").otherwise(""), "text")
     told = F.sort_array(F.collect_list(F.struct("x0", "x1", word.alias("t"))))
     text = F.trim(F.regexp_replace(F.array_join(F.transform(told, lambda t: t["t"]), ""), r"\s+", " "))
-    return s.groupBy("path", "page", "line", "cell").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"))
+    return s.groupBy("path", "page", "body", "line", "cell").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y"), F.max("size").alias("size"))
 
 
 def placed_cells(pages: DataFrame) -> DataFrame:
@@ -422,9 +448,9 @@ def placed_cells(pages: DataFrame) -> DataFrame:
 
     A line of one cell goes on a table if it is close below, starts where a cell of the table does and ends before the next column.
     """
-    c = cells(pages)
-    one = F.sort_array(F.collect_list("x0"))
-    lines = c.groupBy("path", "page", "line").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("_y"), F.max("size").alias("_s"), F.max("x1").alias("_x1"), one.alias("_x"))
+    held = F.sort_array(F.collect_list(F.struct("cell", "text", "x0", "x1", "y", "size")))
+    lines = cells(pages).groupBy("path", "page", "body", "line").agg(held.alias("_cells"), F.count(F.lit(1)).alias("n"), F.min("y").alias("_y"), F.max("size").alias("_s"), F.max("x1").alias("_x1"))
+    lines = lines.withColumn("_x", F.sort_array(F.transform("_cells", lambda c: c["x0"])))
     down = Window.partitionBy("path", "page").orderBy("line")
     gap = F.col("_y") - F.lag("_y").over(down)
     lines = lines.withColumn("_far", F.coalesce((gap > F.when(F.col("n") > 1, TABLE_GAP).otherwise(LINE_OF_TABLE) * F.col("_s")).cast("int"), F.lit(1)))
@@ -440,21 +466,25 @@ def placed_cells(pages: DataFrame) -> DataFrame:
     several = (F.col("n") > 1).cast("int")
     inside = F.col("_in") & (F.max(several).over(part.orderBy("line")) == 1) & (F.sum(several).over(part) > 1)
     lines = lines.withColumn("table", F.when(inside, F.min("line").over(part)))
-    return c.join(lines.select("path", "page", "line", "table"), ["path", "page", "line"])
+    return lines.select("path", "page", "body", "line", "table", F.explode("_cells").alias("c")).select("path", "page", "body", "line", "table", "c.*")
 
 
-def tables(placed: DataFrame) -> DataFrame:
-    """path, page, table, x0, y, rows of ``placed_cells``: cells whose extents overlap, over all lines of a table, are of one column."""
-    t = placed.where("table is not null")
+def _rows(placed: DataFrame) -> DataFrame:
+    """path, page, body, table, line, x0, y, size, text (its cells) and cells: one row a line; in a table, cells whose extents overlap, over all of its lines, are of one column."""
     across = Window.partitionBy("path", "page", "table").orderBy("x0", "x1", "line")
     reach = F.max("x1").over(across.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("_c", F.coalesce((F.col("x0") > reach).cast("int"), F.lit(0))).withColumn("col", F.sum("_c").over(across))
-    wide = t.groupBy("path", "page", "table").agg(F.max("col").alias("_n"))
-    cell = t.groupBy("path", "page", "table", "line", "col").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"), F.min("y").alias("y"))
-    row = cell.groupBy("path", "page", "table", "line").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.min("x0").alias("x0"), F.min("y").alias("y"))
-    row = row.join(wide, ["path", "page", "table"]).withColumn("cells", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n")), lambda k: F.coalesce(F.element_at("m", k), F.lit(""))))
+    t = placed.withColumn("_c", F.coalesce((F.col("x0") > reach).cast("int"), F.lit(0))).withColumn("col", F.sum("_c").over(across))
+    t = t.withColumn("_n", F.max("col").over(Window.partitionBy("path", "page", "table")))
+    t = t.groupBy("path", "page", "body", "table", "line", "_n").agg(F.sort_array(F.collect_list(F.struct("x0", "text", "cell", "col"))).alias("_l"), F.min("x0").alias("x0"), F.min("y").alias("y"), F.max("size").alias("size"))
+    told = F.array_join(F.transform(F.array_sort(F.transform("_l", lambda c: F.named_struct(F.lit("cell"), c["cell"], F.lit("text"), c["text"]))), lambda c: c["text"]), " ")
+    cell = lambda k: F.array_join(F.transform(F.filter("_l", lambda c: c["col"] == k), lambda c: c["text"]), " ")
+    return t.select("path", "page", "body", "table", "line", "x0", "y", "size", told.alias("text"), F.when(F.col("table").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n")), cell)).alias("cells"))
+
+
+def tables(placed: DataFrame) -> DataFrame:
+    """path, page, table, x0, y, rows of ``placed_cells``."""
     rows = F.transform(F.sort_array(F.collect_list(F.struct("line", "cells"))), lambda r: r["cells"])
-    return row.groupBy("path", "page", "table").agg(F.min("x0").alias("x0"), F.min("y").alias("y"), rows.alias("rows"))
+    return _rows(placed.where("table is not null")).groupBy("path", "page", "table").agg(F.min("x0").alias("x0"), F.min("y").alias("y"), rows.alias("rows"))
 
 
 def heading_level(text: Column, size: Column, body: Column) -> Column:
@@ -470,33 +500,28 @@ def blocks(pages: DataFrame) -> DataFrame:
 
     Lines in a table are left out of the text.  Following lines of one size and no wide gap are one paragraph.
     """
-    placed = placed_cells(pages)
-    spans = pages.select("path", "page", F.explode("spans").alias("s"))
-    sizes = spans.groupBy("path", "page", F.col("s.size").alias("size")).agg(F.sum(F.length("s.text")).alias("n"))
-    body = sizes.groupBy("path", "page").agg(F.max_by("size", F.struct("n", F.negative("size"))).alias("body"))
-    told = F.transform(F.sort_array(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"])
-    lines = placed.where("table is null").groupBy("path", "page", "line").agg(F.array_join(told, " ").alias("text"), F.min("x0").alias("x0"), F.min("y").alias("y"), F.max("size").alias("size"))
-    lines = lines.join(body, ["path", "page"]).withColumn("level", heading_level(F.col("text"), F.col("size"), F.col("body")))
-    down = Window.partitionBy("path", "page").orderBy("line")
+    lines = _rows(placed_cells(pages)).withColumn("_free", F.col("table").isNull())
+    lines = lines.withColumn("level", F.when(F.col("_free"), heading_level(F.col("text"), F.col("size"), F.col("body"))).otherwise(0))
+    down = Window.partitionBy("path", "page", "_free").orderBy("line")
     same = (F.col("level") == 0) & (F.lag("level").over(down) == 0) & (F.lag("size").over(down) == F.col("size")) & (F.lag("line").over(down) == F.col("line") - 1) & (F.col("y") - F.lag("y").over(down) <= PARAGRAPH_GAP * F.col("size"))
-    lines = lines.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("_b", F.sum("_new").over(down))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda t: t["text"]), " ")
-    text = lines.groupBy("path", "page", "_b").agg(joined.alias("text"), F.max("level").alias("level"), F.min("x0").alias("x0"), F.min("y").alias("y"))
-    text = text.select("path", "page", F.when(F.col("level") > 0, "heading").otherwise("paragraph").alias("type"), "text", "level", F.lit(None).cast("array<array<string>>").alias("rows"), "x0", "y")
-    grids = tables(placed).select("path", "page", F.lit("table").alias("type"), F.lit("").alias("text"), F.lit(0).alias("level"), "rows", "x0", "y")
+    lines = lines.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("_b", F.coalesce("table", F.sum("_new").over(down)))
+    held = F.sort_array(F.collect_list(F.struct("line", "text", "cells")))
+    b = lines.groupBy("path", "page", "_free", "_b").agg(held.alias("_l"), F.max("level").alias("level"), F.min("x0").alias("x0"), F.min("y").alias("y"))
+    kind = F.when(~F.col("_free"), "table").when(F.col("level") > 0, "heading").otherwise("paragraph")
+    text = F.when(F.col("_free"), F.array_join(F.transform("_l", lambda r: r["text"]), " ")).otherwise("")
+    b = b.select("path", "page", kind.alias("type"), text.alias("text"), "level", F.when(~F.col("_free"), F.transform("_l", lambda r: r["cells"])).alias("rows"), "x0", "y")
     order = Window.partitionBy("path").orderBy("page", "y", "x0", "text")
-    return text.unionByName(grids).select("path", F.row_number().over(order).alias("seq"), "page", "type", "text", "level", "rows", F.lit(None).cast("string").alias("image"))
+    return b.select("path", F.row_number().over(order).alias("seq"), "page", "type", "text", "level", "rows", F.lit(None).cast("string").alias("image"))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """path, page, text: the page's lines and, under them, its tables' rows with bars between the cells; pages without text are left out."""
-    placed = placed_cells(pages)
-    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"]), " ")
-    lines = placed.groupBy("path", "page", "line").agg(line.alias("text"))
-    text = lines.groupBy("path", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda t: t["text"]), "\n").alias("text"))
-    bars = F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n")
-    grids = tables(placed).groupBy("path", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", bars.alias("t")))), lambda g: g["t"]), "\n").alias("grid"))
-    return text.join(grids, ["path", "page"], "left").select("path", "page", F.concat_ws("\n", "text", "grid").alias("text"))
+    held = F.sort_array(F.collect_list(F.struct("line", "text", "cells")))
+    parts = _rows(placed_cells(pages)).groupBy("path", "page", "table").agg(held.alias("l"), F.min("y").alias("y"))
+    bars = F.when(F.col("table").isNotNull(), F.array_join(F.transform("l", lambda r: F.array_join(r["cells"], " | ")), "\n"))
+    p = parts.select("path", "page", "l", F.struct("y", bars.alias("t")).alias("g")).groupBy("path", "page").agg(F.sort_array(F.flatten(F.collect_list("l"))).alias("l"), F.sort_array(F.collect_list("g")).alias("g"))
+    grid = F.transform(F.filter("g", lambda g: g["t"].isNotNull()), lambda g: g["t"])
+    return p.select("path", "page", F.array_join(F.concat(F.transform("l", lambda r: r["text"]), grid), "\n").alias("text"))
 
 
 def dated(cell: Column) -> Column:
@@ -516,10 +541,9 @@ def grid(pages: DataFrame) -> DataFrame:
     best = t.groupBy("path", "page").agg(F.max_by("rows", F.struct(full.alias("n"), F.negative("table"))).alias("rows"))
     starts = F.filter(F.transform("rows", lambda r, i: F.when(F.exists(r, dated), i)), lambda i: i.isNotNull())
     head = F.slice("rows", 1, F.when(F.size(starts) > 0, F.array_min(starts)).otherwise(F.size("rows")))
-    first = best.groupBy("path").agg(F.min_by("rows", "page").alias("rows"), F.min("page").alias("_first"))
     column = F.array_min(F.flatten(F.transform("_head", lambda r: F.filter(F.transform(r, lambda c, i: F.when(c.contains(DATE), i)), lambda i: i.isNotNull()))))
-    first = first.select("path", "_first", head.alias("_head")).withColumn("_date", column)
-    b = best.join(first, "path")
+    onward = Window.partitionBy("path").orderBy("page")
+    b = best.withColumn("_head", F.first(head).over(onward)).withColumn("_first", F.first("page").over(onward)).withColumn("_date", column)
     width = F.array_max(F.transform(F.concat("_head", "rows"), F.size))
     even = lambda rows: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.col("_wide") - F.size(r))))
     b = b.withColumn("_wide", width)
