@@ -1,7 +1,7 @@
 """Readers of DOCX files, HTML pages, conversion archives and attendance ledgers, with the standard library only.
 
 A file is one row of a ``binaryFile`` DataFrame (path, content) and is parsed where it lies; what is broken or of another kind
-gives no rows, whatever it is that fails.  The helpers take one file's bytes and yield its rows; they hold one file at a time.
+gives no rows, whatever it is that fails.  The helpers take one file's bytes and yield its rows; a task holds the rows of one file, or of some small ones.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
 
 from .records import parse_date
@@ -30,27 +31,37 @@ IMAGES = "path string, name string, mime string, page int, caption string, headi
 MIME = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp", ".bmp": "image/bmp"}
 #: Columns that a word processor allows a table, the most a merged cell can span.
 MOST_COLUMNS = 63
+#: Rows, and bytes of files, that a task reads before it hands on what it has.
+HELD_ROWS, HELD_BYTES = 1024, 1 << 20
 SEQ, IN, OUT = "序号", "上班", ("下班", "下")
 HEADINGS = ("中心", "岗位", "姓名")
 SYMBOLS = {"√": "√✓☑", "￥": "￥¥", "＄": "＄$", "×": "×xX✕", "★": "★*"}
 
 
 def _each(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    names = DataType.fromDDL(schema).names
-
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            out = []
-            for path, content in zip(f["path"], f["content"]):
-                try:
-                    out += [(path, *r) for r in parse(bytes(content or b""))]
-                except Exception:  # whatever a broken, encrypted or odd file raises is that file's alone
-                    continue
-            yield pd.DataFrame(out, columns=names)
-
-    return files.select("path", "content").mapInPandas(run, schema)
+    kinds = to_arrow_schema(DataType.fromDDL(schema))
+    return files.select("path", "content").mapInArrow(lambda batches: _parsed(batches, parse, kinds), schema)
+
+
+def _parsed(batches: Iterator, parse: Callable[[bytes], Iterator[tuple]], kinds) -> Iterator:
+    """Batches of the files' rows, handed on as soon as HELD_ROWS rows or HELD_BYTES bytes of files were read."""
+    import pyarrow as pa
+
+    out, read = [], 0
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
+    for b in batches:
+        for path, content in zip(b.column(0), b.column(1)):
+            path, content = path.as_py(), content.as_py() or b""
+            try:
+                out += [(path, *r) for r in parse(content)]
+            except Exception:  # whatever a broken, encrypted or odd file raises is that file's alone
+                continue
+            read += len(content)
+            if out and (len(out) >= HELD_ROWS or read >= HELD_BYTES):
+                yield pack(out)
+                out, read = [], 0
+    if out:
+        yield pack(out)
 
 
 def _style_level(name: str, key: str) -> int:

@@ -1,10 +1,13 @@
 """PDF queries parse every file once, in many tasks, and hand pages on as they are read."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 from quarry import plans
 from quarry.plans import pdfs
-from quarry.sources import pdf
+from quarry.sources import office, pdf
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +36,11 @@ def test_grids_are_parsed_once(spark):
     files = spark.createDataFrame([("f", pdfs._report([1, 2], ["2024-01-01", "2024-01-02"], ["O", "F"]))], "path string, content binary")
     g = pdf.grid(pdf.pages(files))
     assert _parses(g) == 1 and g.count() == 4
+
+
+def test_pages_are_handed_on_in_bounded_batches():
+    data = pdfs._report(list(range(100)), ["2024-01-01"] * 100, ["O"] * 100)  # four pages
+    files = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(600)]), pa.array([data] * 600)], names=["path", "content"])
+    sizes = [b.num_rows for b in office._parsed(iter([files]), pdf.parse, to_arrow_schema(DataType.fromDDL(pdf.PAGES)))]
+    assert sum(sizes) == 2400 and max(sizes) < office.HELD_ROWS + 4 and len(sizes) > 1
+    assert not list(office._parsed(iter([files.slice(0, 0)]), pdf.parse, to_arrow_schema(DataType.fromDDL(pdf.PAGES))))
