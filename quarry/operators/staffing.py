@@ -113,19 +113,31 @@ def correct_names(rows: DataFrame, roster: DataFrame) -> tuple[DataFrame, DataFr
 def match_projects(codes: DataFrame, projects: DataFrame) -> DataFrame:
     """codes (doc, code) against project codes, either being a prefix of the other: doc, status, project_id, n.
 
-    Prefixes of both sides are exploded and meet by equality; equal codes of many docs are matched once.
+    Prefixes of both sides are exploded and meet by equality.  Equal codes are matched once: a project of one code counts as one of those that
+    share it, so that neither side of a join has a row per project.  Only projects of several codes, and docs of several codes, are met one by one.
     """
-    prefixes = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(F.col(c), F.lit(1), i))
-    c = codes.where("code != ''").select("code").distinct()
+    prefixes = lambda c, most: F.transform(F.sequence(F.lit(1), most), lambda i: F.substring(F.col(c), F.lit(1), i))
+    whole = codes.where("code != ''")
+    c = whole.select("code").distinct()
     p = projects.select(F.col("id").alias("project_id"), F.col("code").alias("pcode")).where("pcode != ''")
-    short = c.join(p.select("project_id", F.explode(prefixes("pcode")).alias("code")), "code")
-    long = c.select("code", F.explode(prefixes("code")).alias("pcode")).join(p, "pcode")
-    pairs = short.select("code", "project_id").unionByName(long.select("code", "project_id")).distinct()
     found = [F.count(F.lit(1)).alias("n"), F.min("project_id").alias("p")]
+    added = [F.sum("n").alias("n"), F.min("p").alias("p")]
+
+    def met(projects, *cols):
+        """code, pcode and the columns ``cols`` of projects: those that start with the code, and those that are shorter than it and start it."""
+        wide = projects.select(F.explode(prefixes("pcode", F.length("pcode"))).alias("code"), *cols)
+        tail = c.where("length(code) > 1").select("code", F.explode(prefixes("code", F.length("code") - 1)).alias("pcode"))
+        return c.hint("merge").join(wide, "code").select("code", *cols).unionByName(tail.hint("merge").join(projects, "pcode").select("code", *cols))
+
+    per_id = p.groupBy("project_id").agg(F.min("pcode").alias("pcode"), F.max("pcode").alias("_last"))
+    shared = per_id.where(F.col("pcode") == F.col("_last")).groupBy("pcode").agg(*found)
+    mixed = p.join(per_id.where(F.col("pcode") != F.col("_last")).select(F.col("project_id").alias("_id")), F.col("project_id").eqNullSafe(F.col("_id")), "left_semi").distinct()
+    hits = met(shared, "n", "p").unionByName(met(mixed, "project_id").distinct().select("code", F.lit(1).cast("long").alias("n"), F.col("project_id").alias("p"))).groupBy("code").agg(*added)
     # a doc of one code has its code's hits; only docs of several codes are met with projects one by one
-    per = codes.where("code != ''").groupBy("doc").agg(F.collect_set("code").alias("c"))
-    one = per.where("size(c) = 1").select("doc", F.col("c")[0].alias("code")).join(pairs.groupBy("code").agg(*found), "code").select("doc", "n", "p")
-    several = per.where("size(c) > 1").select("doc", F.explode("c").alias("code")).join(pairs, "code").select("doc", "project_id").distinct().groupBy("doc").agg(*found)
+    per = whole.groupBy("doc").agg(F.min("code").alias("code"), F.max("code").alias("_last"))
+    one = per.where(F.col("code") == F.col("_last")).join(hits, "code").select("doc", "n", "p")
+    many = whole.join(per.where(F.col("code") != F.col("_last")).select(F.col("doc").alias("_doc")), F.col("doc") == F.col("_doc"), "left_semi").distinct()
+    several = many.join(met(p, "project_id").distinct(), "code").select("doc", "project_id").distinct().groupBy("doc").agg(*found)
     out = codes.select("doc").distinct().join(one.unionByName(several), "doc", "left")
     status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("unmatched")
     return out.select("doc", status.alias("status"), F.when(F.col("n") == 1, F.col("p")).alias("project_id"), F.coalesce("n", F.lit(0)).alias("n"))
